@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evidence_lake.llm.op1_quality import OP1_SQL, op1_quality
 from evidence_lake.llm.op2_packing import op2_packing
+from evidence_lake.llm.op8_topk import OP8_SQL, op8_topk
+from evidence_lake.llm.op9_mixing import op9_mixing
 from evidence_lake.llm.op10_token_file import op10_token_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_packing": op2_packing,
+    "op8_topk": op8_topk,
+    "op9_mixing": op9_mixing,
     "op10_token_file": op10_token_file,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_quality": OP1_SQL, "op8_topk": OP8_SQL}

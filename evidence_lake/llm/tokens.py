@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words kept in a worker's cache; beyond it the cache starts afresh (results don't change).
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 END_ID = 1
 
 
@@ -28,6 +28,10 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return np.array(ids, np.uint32).tobytes()
+
+
 class TextEncoder:
     """Ids of texts under the tokenizer file at `path`, as one flat array with lengths."""
 
@@ -39,8 +43,8 @@ class TextEncoder:
         spec = json.loads(self.tok.to_str())
         self.added = [a["content"] for a in spec.get("added_tokens", [])]
         self.word_level = self._drops_white_space(spec)
-        self.cache: dict[str, np.ndarray] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.ascii_pattern = self._ascii_pattern(spec) if self.word_level else None
 
     @staticmethod
@@ -66,10 +70,10 @@ class TextEncoder:
         regex = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         return re.compile(regex.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").replace("[[a-z]]", "[a-z]"), re.ASCII)
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            got = [t.id for t in self.tok.model.tokenize(piece)]
+            got = _bytes([t.id for t in self.tok.model.tokenize(piece)])
             if len(self.pieces) >= CACHE_WORDS:
                 self.pieces.clear()
             self.pieces[piece] = got
@@ -83,15 +87,15 @@ class TextEncoder:
         find = self.ascii_pattern.findall if self.ascii_pattern else None
         for w in new:
             if any(a in w for a in self.added):
-                self.cache[w] = np.array(self.tok.encode(w, add_special_tokens=False).ids, np.uint32)
+                self.cache[w] = _bytes(self.tok.encode(w, add_special_tokens=False).ids)
             elif find and w.isascii() and w.isprintable():
                 # printable ASCII stands for itself at byte level
-                self.cache[w] = np.array([i for p in find(w.lower()) for i in self._piece(p)], np.uint32)
+                self.cache[w] = b"".join(map(self._piece, find(w.lower())))
             else:
                 hard.append(w)
         for w in hard:
             pieces = self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(w))
-            self.cache[w] = np.array([i for p, _ in pieces for i in self._piece(p)], np.uint32)
+            self.cache[w] = b"".join(self._piece(p) for p, _ in pieces)
 
     def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts = pc.ascii_split_whitespace(texts)
@@ -106,10 +110,10 @@ class TextEncoder:
                 new = vocab
             self._learn(new)
         ids = [known[w] for w in vocab]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         first = np.zeros(len(ids) + 1, np.int64)
         np.cumsum(size, out=first[1:])
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        flat = np.frombuffer(b"".join(ids), np.uint32)
         code = coded.indices.to_numpy(zero_copy_only=False)
         many = size[code] if len(code) else np.zeros(0, np.int64)
         ends = np.cumsum(many)
