@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evidence_lake.llm.op1_quality import OP1_SQL, op1_quality
 from evidence_lake.llm.op2_packing import op2_packing
+from evidence_lake.llm.op3_minhash import op3_minhash
+from evidence_lake.llm.op4_language import op4_language
 from evidence_lake.llm.op8_topk import OP8_SQL, op8_topk
 from evidence_lake.llm.op9_mixing import op9_mixing
 from evidence_lake.llm.op10_token_file import op10_token_file
@@ -15,6 +17,8 @@ from evidence_lake.llm.op10_token_file import op10_token_file
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
+    "op3_minhash": op3_minhash,
+    "op4_language": op4_language,
     "op8_topk": op8_topk,
     "op9_mixing": op9_mixing,
     "op10_token_file": op10_token_file,
