@@ -1,9 +1,9 @@
 """Token ids of whole texts by the tokenizers library, vectorised over Arrow batches.
 
 A text of a word-level tokenizer (white space separates and is dropped) is the sequence of its
-white-space words, so a batch is split and dictionary-encoded by Arrow and only the words not met
-before go through the library's own normaliser, pre-tokeniser and model. Other tokenizers encode
-whole texts.
+white-space words, so a batch is split and dictionary-encoded by Arrow, its distinct words are split
+by the tokenizer file's own pattern, and the library's model is asked once for each piece. Words with
+rare characters, and other tokenizers' whole texts, go through the library's encode.
 """
 
 from __future__ import annotations
@@ -11,15 +11,21 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
-#: Words kept in a worker's cache; beyond it the cache starts afresh (results don't change).
-CACHE_WORDS = 300_000
+#: Split pieces kept in a worker's cache; beyond it the cache starts afresh (results don't change).
+CACHE_PIECES = 500_000
 END_ID = 1
+_END = np.uint32(0xFFFFFFFF)
+_MARK = _END.tobytes()
+#: Words of characters below U+0250 that print: lower case and NFC are plain there; others go through the library whole.
+_EASY = re.compile("[!-~\u00A1-\u024F]*").fullmatch
 
 
 def default_path() -> str:
@@ -29,7 +35,7 @@ def default_path() -> str:
 
 
 def _bytes(ids: list[int]) -> bytes:
-    return np.array(ids, np.uint32).tobytes()
+    return array("I", ids).tobytes()
 
 
 class TextEncoder:
@@ -42,101 +48,91 @@ class TextEncoder:
         self.tok = Tokenizer.from_file(path)
         spec = json.loads(self.tok.to_str())
         self.added = [a["content"] for a in spec.get("added_tokens", [])]
-        self.word_level = self._drops_white_space(spec)
-        self.cache: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.ascii_pattern = self._ascii_pattern(spec) if self.word_level else None
+        self.pattern = self._word_pattern(spec)
+        self.pieces = {"\n": _MARK}
 
     @staticmethod
-    def _drops_white_space(spec: dict) -> bool:
-        """Whether white space only separates: normalised per character, split by a pattern that leaves it out."""
+    def _word_pattern(spec: dict):
+        """The split pattern of a tokenizer for which white space only separates; None for others."""
         norm = spec.get("normalizer") or {}
         steps = [n["type"] for n in norm.get("normalizers", [norm] if norm else [])]
         pre = spec.get("pre_tokenizer") or {}
-        first = (pre.get("pretokenizers") or [pre])[0]
+        first, *rest = pre.get("pretokenizers") or [pre]
         removes = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
-        rest = (pre.get("pretokenizers") or [pre])[1:]
-        plain = all(p["type"] == "ByteLevel" and not p["add_prefix_space"] and not p["use_regex"] for p in rest)
+        plain = len(rest) == 1 and rest[0]["type"] == "ByteLevel" and not rest[0]["add_prefix_space"] and not rest[0]["use_regex"]
         added = all(not (a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"]) and not re.search(r"\s", a["content"]) for a in spec.get("added_tokens", []))
-        regex = first.get("pattern", {}).get("Regex", "")
-        return set(steps) <= {"NFC", "Replace", "Lowercase"} and removes and plain and added and r"[^\s\p{L}\p{N}]+" in regex
-
-    @staticmethod
-    def _ascii_pattern(spec: dict):
-        """The split pattern for lower-cased ASCII words, with the Unicode classes cut to ASCII."""
-        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
-        if "Lowercase" not in steps:
-            return None
-        regex = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        return re.compile(regex.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").replace("[[a-z]]", "[a-z]"), re.ASCII)
-
-    def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            got = _bytes([t.id for t in self.tok.model.tokenize(piece)])
-            if len(self.pieces) >= CACHE_WORDS:
-                self.pieces.clear()
-            self.pieces[piece] = got
-        return got
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode words that aren't in the cache."""
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-        hard = []
-        find = self.ascii_pattern.findall if self.ascii_pattern else None
-        for w in new:
-            if any(a in w for a in self.added):
-                self.cache[w] = _bytes(self.tok.encode(w, add_special_tokens=False).ids)
-            elif find and w.isascii() and w.isprintable():
+        split = first.get("pattern", {}).get("Regex", "")
+        if steps == ["NFC", "Replace", "Lowercase"] and removes and plain and added and r"[^\s\p{L}\p{N}]+" in split:
+            return regex.compile(r"\n|" + split)
+        return None
+
+    @property
+    def word_level(self) -> bool:
+        return self.pattern is not None
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Ids of split pieces that aren't in the cache."""
+        if len(self.pieces) + len(pieces) > CACHE_PIECES:
+            self.pieces = {"\n": _MARK}
+        level, model = self.tok.pre_tokenizer, self.tok.model
+        for p in pieces:
+            if p not in self.pieces:
                 # printable ASCII stands for itself at byte level
-                self.cache[w] = b"".join(map(self._piece, find(w.lower())))
-            else:
-                hard.append(w)
-        for w in hard:
-            pieces = self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(w))
-            self.cache[w] = b"".join(self._piece(p) for p, _ in pieces)
+                seen = [p] if p.isascii() and p.isprintable() else [x for x, _ in level.pre_tokenize_str(p)]
+                self.pieces[p] = _bytes([t.id for x in seen for t in model.tokenize(x)])
+
+    def _vocabulary(self, vocab: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words one after the other, number of ids of each)."""
+        marked = any(a in w for a in self.added for w in ("\n".join(vocab),))
+        hard = [i for i, w in enumerate(vocab) if not _EASY(w) or marked and any(a in w for a in self.added)]
+        known = {i: self.tok.encode(vocab[i], add_special_tokens=False).ids for i in hard}
+        easy = "\n".join("" if i in known else w for i, w in enumerate(vocab)) if known else "\n".join(vocab)
+        found = self.pattern.findall(easy.lower())
+        distinct = set(found)
+        if new := distinct.difference(self.pieces):
+            if len(self.pieces) + len(new) > CACHE_PIECES:
+                new = distinct
+            self._learn(new)
+        flat = np.frombuffer(b"".join(map(self.pieces.__getitem__, found)), np.uint32)
+        marks = np.flatnonzero(flat == _END)
+        size = np.diff(np.concatenate(([-1], marks, [len(flat)]))) - 1
+        flat = np.delete(flat, marks)
+        if known:
+            at = np.concatenate(([0], np.cumsum(size)))[hard]
+            flat = np.insert(flat, np.repeat(at, [len(x) for x in known.values()]), np.concatenate([np.array(x, np.uint32) for x in known.values()]))
+            size[hard] = [len(x) for x in known.values()]
+        return flat, size
 
     def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts = pc.ascii_split_whitespace(texts)
         per_text = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = pc.list_flatten(parts).dictionary_encode()
-        vocab = coded.dictionary.to_pylist()
-        known = self.cache
-        new = [w for w in vocab if w not in known]
-        if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = vocab
-            self._learn(new)
-        ids = [known[w] for w in vocab]
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        first = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum(size, out=first[1:])
-        flat = np.frombuffer(b"".join(ids), np.uint32)
         code = coded.indices.to_numpy(zero_copy_only=False)
-        many = size[code] if len(code) else np.zeros(0, np.int64)
-        ends = np.cumsum(many)
-        at = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
-        at += np.repeat(first[code] - (ends - many), many) if len(code) else 0
-        out = flat[at]
+        if not len(code):
+            return np.zeros(0, np.uint32), np.zeros(len(per_text), np.int64)
+        flat, size = self._vocabulary(coded.dictionary.to_pylist())
+        first = np.cumsum(size) - size
+        many = size[code]
         bound = np.zeros(len(code) + 1, np.int64)
-        bound[1:] = ends
+        np.cumsum(many, out=bound[1:])
+        kind = np.int32 if max(bound[-1], len(flat)) < 2**31 else np.int64
+        at = np.arange(bound[-1], dtype=kind)
+        at += np.repeat((first[code] - bound[:-1]).astype(kind), many)
         edge = np.zeros(len(per_text) + 1, np.int64)
         np.cumsum(per_text, out=edge[1:])
-        return out, np.diff(bound[edge])
+        return flat[at], np.diff(bound[edge])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, one after the other, as uint32; number of ids of each text). Null: no id."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        if self.word_level:
+        if self.word_level and len(texts):
             return self._by_words(texts)
         ids = [e.ids for e in self.tok.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         return (np.concatenate([np.array(x, np.uint32) for x in ids]) if ids else np.zeros(0, np.uint32)), size
 
 
-def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 12 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about most_bytes of text each."""
     size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     run = np.cumsum(size) // most_bytes

@@ -54,7 +54,7 @@ def test_other_tokenizer_encodes_whole_texts():
 
 
 def test_cache_that_overflows_changes_nothing(monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_WORDS", 3)
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 3)
     enc = tokens.TextEncoder(PATH)
     for _ in range(2):
         ids, size = enc.encode(pa.array(TEXTS, pa.string()))
