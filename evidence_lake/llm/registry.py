@@ -10,6 +10,9 @@ from evidence_lake.llm.op1_quality import OP1_SQL, op1_quality
 from evidence_lake.llm.op2_packing import op2_packing
 from evidence_lake.llm.op3_minhash import op3_minhash
 from evidence_lake.llm.op4_language import op4_language
+from evidence_lake.llm.op5_lines import op5_lines
+from evidence_lake.llm.op6_substring import op6_substring
+from evidence_lake.llm.op7_html import op7_html
 from evidence_lake.llm.op8_topk import OP8_SQL, op8_topk
 from evidence_lake.llm.op9_mixing import op9_mixing
 from evidence_lake.llm.op10_token_file import op10_token_file
@@ -19,6 +22,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_minhash": op3_minhash,
     "op4_language": op4_language,
+    "op5_lines": op5_lines,
+    "op6_substring": op6_substring,
+    "op7_html": op7_html,
     "op8_topk": op8_topk,
     "op9_mixing": op9_mixing,
     "op10_token_file": op10_token_file,
