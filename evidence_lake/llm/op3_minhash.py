@@ -139,7 +139,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def near_duplicate_rows(rows: DataFrame) -> DataFrame:
-    """near_duplicates of a staged table (row_key, doc_id, text)."""
+    """near_duplicates of a stable table (row_key, doc_id, text) with unique keys."""
     found = staged(rows.select("row_key", "doc_id", "text").mapInArrow(_features, "row_key long, doc_id long, n_shingles long, class binary, sig array<long>"), "signatures")
     classes = staged(
         found.where("class IS NOT NULL")

@@ -145,18 +145,22 @@ def mix(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str =
         plan.append((source, n, float(t), whole, max(0.0, rate - whole)))
     table = spark.createDataFrame(plan, "name string, source_size long, target double, whole long, fraction double")
     table = F.broadcast(table) if len(plan) <= BROADCAST_SOURCES else table
-    same = sizes["source"].eqNullSafe(table_col(table, "name"))
+    same = sizes["source"].eqNullSafe(table["name"])
     first = sizes.join(table.select("name", "fraction"), same).select("doc_id", "row_key", "source", "size", F.when(F.col("size") > 0, F.col("fraction")).otherwise(0.0).alias("p"))
     one = staged(first.mapInArrow(_flight(False, seed), OUT), "flight")
     open_ = one.where("p > 0 AND p < 1").repartition("source").sortWithinPartitions("source", "row_key")
     decided = one.where("p = 0 OR p = 1").unionByName(open_.mapInArrow(_flight(True, seed), OUT))
-    out = decided.join(table, decided["source"].eqNullSafe(table_col(table, "name")))
+    out = decided.join(table, decided["source"].eqNullSafe(table["name"]))
     taken = (F.col("size") * (F.col("whole") + F.col("p").cast("long"))).alias("taken")
     return out.select("doc_id", *(["row_key"] if keys else []), "size", "source_size", "target", taken)
 
 
-def table_col(table: DataFrame, name: str):
-    return table[name]
+def mixed_rows(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs (a stable table), each as often as the mix takes it."""
+    taken = mix(docs, seed, id_col, text_col, source_col, keys=True)
+    times = taken.where("taken > 0").select(F.col("row_key").alias("_row"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
+    return keyed.join(times, "_row").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
