@@ -1,0 +1,191 @@
+"""Edge cases and brute-force comparisons of the other operators."""
+
+import math
+import random
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from evidence_lake.llm import op1_quality, op4_language, op6_substring, op7_html, op8_topk, op9_mixing
+
+
+def saved(spark, tmp_path, rows, schema, parts=3):
+    spark.createDataFrame(rows, schema).repartition(parts).write.mode("overwrite").parquet(str(tmp_path / "t"))
+    return spark.read.parquet(str(tmp_path / "t"))
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_words int, kept boolean, size long, part long"
+
+
+def doc(i, text, lang="en", source="a"):
+    return (i, text, lang, source, 1, False, 5, 6)
+
+
+def brute_quality(text):
+    w = [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", text or "") if x]
+    tri = {}
+    for i in range(len(w) - 2):
+        tri.setdefault(tuple(w[i : i + 3]), []).append(i)
+    covered = {j for at in tri.values() if len(at) > 1 for i in at for j in (i, i + 1, i + 2)}
+    lines = [x for x in (text or "").split("\n") if x.strip(" \t\n\v\f\r")]
+    return len(w), sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_against_brute_force(spark, tmp_path):
+    rng = random.Random(5)
+    words = "the and of a thing wine day long house été".split()
+    texts = [None, "", " \n", "one", "a b c a b c", "a b a b a b a", "x" * 500, "été\n\nété\n été", "# $ | <b>\n# $ | <b>"]
+    texts += [" ".join(rng.choice(words) + (rng.choice(words) if rng.random() < 0.5 else "") for _ in range(rng.randrange(40, 120))) for _ in range(60)]
+    texts += ["word%%% " * 80, " ".join(f"{rng.choice(words)}{i}" for i in range(3000)), " ".join(f"w{i}***$$$" for i in range(90))]
+    df = saved(spark, tmp_path, [doc(i if i % 4 else None, t, [None, "en", "fr"][i % 3]) for i, t in enumerate(texts)], DOCS)
+    got = op1_quality.quality(df).toPandas()
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    assert sorted(map(tuple, got[names].astype(int).values.tolist())) == sorted(map(brute_quality, texts))
+    failed = (got["n_words"] < 50) | (100 * got["n_repeat_words"] > 50 * got["n_words"])
+    assert (got["base_failed"] == failed).all() and not (got["kept"] & got["base_failed"]).any()
+    assert got["kept"].any()
+    assert op1_quality.quality(df.limit(0)).count() == 0
+
+
+def test_long_texts_use_struct_keys(spark, monkeypatch):
+    monkeypatch.setattr(op1_quality, "PLACE_BITS", 2)
+    texts = ["a b c d a b c x y", "q w e r t y u i o p q w e", "m n o"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", op1_quality.n_repeat_words(F.split("t", " ")).alias("n"))
+    assert {r.t: r.n for r in df.collect()} == {t: brute_quality(t)[4] for t in texts}
+
+
+def test_language(spark, tmp_path):
+    rng = random.Random(1)
+    vocab = {"en": "the house and with water".split(), "fr": "une maison avec été eau".split(), "de": "das haus und mit wasser".split()}
+    rows = [doc(i, " ".join(rng.choice(vocab[lang]) for _ in range(rng.randrange(5, 40))), lang) for i, lang in enumerate(["en", "fr", "de"] * 60)]
+    rows += [doc(900, None), doc(901, "", None), doc(902, "123 !!! \n"), doc(None, "the water", None), doc(903, "HAUSEN wassers", None), doc(903, "maisonette", None)]
+    df = saved(spark, tmp_path, rows, DOCS)
+    model = op4_language.fit(df)
+    out = op4_language.identify(df.select("doc_id", "text", "lang"), model).collect()
+    right = [r.lang_pred == r.lang for r in out if r.lang and r.doc_id is not None and r.doc_id < 900]
+    assert sum(right) / len(right) > 0.97
+    by = {(r.doc_id, r.text): r for r in out}
+    assert all(by[k].lang_pred == "und" and by[k].score == 0 for k in ((900, None), (901, ""), (902, "123 !!! \n")))
+    assert by[(903, "HAUSEN wassers")].lang_pred == "de" and by[(903, "maisonette")].lang_pred == "fr"
+    assert all(0 <= r.score <= 1 for r in out)
+    assert op4_language.fit(df.limit(0)).langs == []
+    assert op4_language.identify(df.select("text").limit(3), op4_language.fit(df.limit(0))).where("lang_pred <> 'und'").count() == 0
+
+
+def test_held_out_documents_do_not_change_the_model(spark, tmp_path):
+    rows = [doc(i, f"word{i % 7} text", "en") for i in range(80)]
+    df = saved(spark, tmp_path, rows, DOCS, 1)
+    changed = df.withColumn("text", F.when(op4_language.held_out(F.col("doc_id")), "zzz yyy").otherwise(F.col("text")))
+    a, b = op4_language.fit(df), op4_language.fit(changed)
+    assert a.tables == b.tables
+
+
+def test_chunks_resist_shifts():
+    rng = np.random.default_rng(0)
+    data = rng.integers(97, 123, 6000, dtype=np.uint8).tobytes()
+
+    def pieces(raw):
+        ends = op6_substring.cuts(np.frombuffer(raw, np.uint8))
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    assert b"".join(pieces(data)) == data
+    moved = pieces(data[:1500] + b"inserted" + data[1500:])
+    assert len(set(pieces(data)) - set(moved)) <= 4
+    assert op6_substring.cuts(np.frombuffer(b"abc", np.uint8)) == [3]
+    assert max(map(len, pieces(b"a" * 20000))) <= op6_substring.LONGEST
+
+
+def test_repeated_passages(spark, tmp_path):
+    rng = random.Random(2)
+    text = lambda n: " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    passage = text(55)
+    rows = [doc(i, f"{text(40)} {passage} {text(30)}") for i in range(1, 9)] + [doc(100 + i, text(150)) for i in range(20)]
+    rows += [doc(200, None), doc(201, ""), doc(202, "short"), doc(300, rows[0][1]), doc(None, rows[1][1])]
+    got = op6_substring.repeated_spans(saved(spark, tmp_path, rows, DOCS)).collect()
+    assert {r.doc_id for r in got} == {2, 3, 4, 5, 6, 7, 8, 300, None}
+    texts = {r[0]: r[1] for r in rows}
+    for r in got:
+        if r.doc_id not in (None, 300):
+            assert r.first_doc_id == 1 and texts[r.doc_id].encode()[r.start : r.start + r.length].decode() in passage + " "
+    assert op6_substring.repeated_spans(saved(spark, tmp_path, [], DOCS, 1)).count() == 0
+
+
+PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href="/x">Menu one</a></li><li><a>two</a></li></ul></nav>
+<div class="cookie-notice">We use cookies here</div><article><h1>Main  head</h1><p>First &amp; <b>bold</b>&nbsp;words of it<br>go on
+here.</p><div class="ad">Buy this now</div><p>Second &lt;para&gt; é.</p><form><label>Name</label><input></form><div id="comments"><p>A comment that is long enough</p></div></article>
+<aside>Other things to read</aside><footer>&copy; me</footer><script>var a = "</p>";</script></body></html>"""
+
+
+def test_page_text(spark):
+    want = "Main head\n\nFirst & bold words of it go on here.\n\nSecond <para> é."
+    plain = PAGE.replace("<article>", "<div>").replace("</article>", "</div>")
+    rows = [(i, "u", PAGE) for i in range(6)] + [(10, None, plain), (11, "u", None), (12, "u", ""), (13, "u", "<p>unclosed <b>tags &bogus; & more words than tags"), (None, "u", "<nav>x y z</nav>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = {r.page_id: r for r in op7_html.extract(df, op7_html.fit(df)).collect()}
+    assert got[0].text == want and got[0].n_chars == len(want)
+    assert "Second <para> é." in got[10].text and "Menu" not in got[10].text and "comment" not in got[10].text
+    assert got[11].text == got[12].text == got[None].text == ""
+    assert got[13].text == "unclosed tags &bogus; & more words than tags"
+    assert op7_html.extract(df.limit(0), op7_html.fit(df.limit(0))).count() == 0
+
+
+def test_top_k_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(op8_topk, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(op8_topk, "QUERY_ROWS", 4)
+    rng = random.Random(4)
+    rows = [(i - 20, [round(rng.uniform(-1, 1), 1) for _ in range(5)]) for i in range(90)]
+    rows += [(7, rows[3][1]), (20, rows[9][1]), (20, rows[9][1]), (None, [1.0] * 5), (500, None), (501, [1.0, None, 0.0, 0.0, 0.0]), (502, [math.inf] * 5), (503, [math.nan] * 5), (520, [1.0, 2.0]), (521, [0.5, 0.5]), (540, []), (560, [3e9, -3e9, 1.0, 0.0, 1e9])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1)).repartition(3)
+    good = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for n, (q, a) in enumerate(good):
+        if q % 20 == 0:
+            s = sorted((-sum(x * y for x, y in zip(a, b)), i) for m, (i, b) in enumerate(good) if m != n and len(b) == len(a))
+            want += [(q, r + 1, i, max(-(2**63), min(2**63 - 1, -t))) for r, (t, i) in enumerate(s[:7])]
+    got = op8_topk.top_k(df, k=7).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+    assert op8_topk.top_k(df.limit(0)).count() == 0
+
+
+def test_targets():
+    assert op9_mixing.targets([]) == []
+    assert op9_mixing.targets([100, 100, 100]) == [200.0, 250 / 3, 500 / 3]
+    t = op9_mixing.targets([10, 1000, 5, 0])
+    assert t[0] == 20 and t[2] == 10 and t[3] == 0 and abs(sum(t) - 1.5 * 1015) < 1e-9
+    assert all(x <= 2 * s + 1e-9 for x, s in zip(t, [10, 1000, 5, 0]))
+
+
+def test_mixing(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [doc(rng.randrange(900), "w " * rng.randrange(0, 60), "en", rng.choice(["b", "a", "é", None, "a", "a"])) for _ in range(1500)]
+    rows += [doc(None, None, "en", "a"), doc(5, "", None, None), doc(7, "x " * 4000, "en", "b")]
+    df = saved(spark, tmp_path, rows, DOCS)
+    out = op9_mixing.mix(df).toPandas()
+    assert len(out) == len(rows)
+    assert sorted(out["size"]) == sorted(len((r[1] or "").split()) for r in rows)
+    for (total, target), g in out.groupby(["source_size", "target"]):
+        assert g["size"].sum() == total and abs(g["taken"].sum() - target) <= g["size"].max()
+    assert ((out["taken"] == 0) | (out["taken"] % out["size"].clip(lower=1) == 0)).all() and (out["taken"] <= 2 * out["size"]).all()
+    again = op9_mixing.mix(df).toPandas()
+    key = ["doc_id", "size", "source_size", "taken"]
+    assert out[key].sort_values(key).values.tolist() == again[key].sort_values(key).values.tolist() or np.array_equal(out[key].fillna(-1).sort_values(key), again[key].fillna(-1).sort_values(key))
+    n = sum(t // s for s, t in zip(out["size"], out["taken"]) if s)
+    assert op9_mixing.mixed_rows(df).count() == n and op9_mixing.mixed_rows(df).columns == df.columns
+    assert op9_mixing.mix(saved(spark, tmp_path, [], DOCS, 1)).count() == 0
+
+
+def test_flight_keeps_totals():
+    rng = random.Random(0)
+    units = [[0.37, rng.randrange(1, 50), "s", None, None] for _ in range(2000)]
+    want = sum(p * n for p, n, *_ in units)
+    out = list(op9_mixing.fly([list(u) for u in units], True, rng))
+    assert {u[0] for u in out} == {0.0, 1.0}
+    assert abs(sum(u[0] * u[1] for u in out) - want) <= 50 and abs(sum(u[0] for u in out) - 740) <= 2
+
+
+def test_arrow_split_keeps_words():
+    texts = pa.array(["a  b\tc\n", "", None, "é\x0bx"])
+    from evidence_lake.llm.op3_minhash import shingle_sets
+
+    assert [len(s) for s in shingle_sets(texts)] == [1, 0, 0, 1]
