@@ -30,7 +30,7 @@ def selected(spark, d):
 @query(
     f"""
 WITH {HIT_SQL}, {SELECTED},
-c AS (SELECT paper_id, category, min(rank) AS first, upper(category) || ' (avg ' || printf('%.3f', avg(score)) || '):' || chr(10) || string_agg('  • ' || printf('%.3f', score) || ': ' || text, chr(10) ORDER BY rank) AS b FROM sel GROUP BY paper_id, category)
+c AS (SELECT paper_id, category, min(rank) AS first, upper(category) || ' (avg ' || CAST(round(CAST(avg(score) AS DECIMAL(18, 12)), 3) AS VARCHAR) || '):' || chr(10) || string_agg('  • ' || CAST(round(CAST(score AS DECIMAL(18, 12)), 3) AS VARCHAR) || ': ' || text, chr(10) ORDER BY rank) AS b FROM sel GROUP BY paper_id, category)
 SELECT paper_id, string_agg(chr(10) || b, chr(10) ORDER BY first) AS block FROM c GROUP BY paper_id
 """
 )
