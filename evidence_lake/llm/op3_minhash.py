@@ -42,10 +42,10 @@ def _finish(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its word shingles; fewer words than `size`: one of them all."""
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    parts = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     flat = pc.list_flatten(parts).dictionary_encode()
     vocab = flat.dictionary.to_pylist()
-    hashed = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in vocab), np.uint64, len(vocab))
+    hashed = np.fromiter((xxhash.xxh3_64_intdigest(w.encode().lower()) for w in vocab), np.uint64, len(vocab))
     filled = np.fromiter((w != "" for w in vocab), bool, len(vocab))
     code = flat.indices.to_numpy(zero_copy_only=False)
     real = filled[code] if len(code) else np.zeros(0, bool)
