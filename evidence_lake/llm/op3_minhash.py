@@ -6,8 +6,9 @@ chance of 3e-8, so a class without MATCHES values that others have drops out, an
 the rarest values, all but MATCHES - 1, are posted (a prefix in order of frequency: values of very
 common passages come last and are skipped). Members of a posting list are compared with its few most
 central members; only members that are then still in different components are compared with each
-other, so a group of copies never meets in all pairs. Pairs with enough equal coordinates are
-confirmed on the full sets.
+other, so a group of copies never meets in all pairs. In long lists even these aren't: their members
+post the rarest shingles of their full sets, a quarter and one, of which two linked sets share one at
+least. Pairs with enough equal coordinates are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ COORDINATES = 32
 MATCHES = 10
 #: Members of a posting list that all its members are compared with.
 PIVOTS = 3
+#: Longer lists leave members of different components to an exact prefix join on their full sets.
+LONG_LIST = 64
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.array([xxhash.xxh64_intdigest(b"coordinate", i) for i in range(COORDINATES)], np.uint64)
@@ -124,6 +127,52 @@ def _links(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     return full.select("u", "v", "a", "b").mapInArrow(_confirmed, "u binary, v binary")
 
 
+def _mixed(lists: DataFrame, parts: DataFrame) -> DataFrame:
+    """key, class, part of the lists (key, class) whose members are in different components, with `most`, the component of most members."""
+    named = lists.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").select(*lists.columns, F.coalesce("component", "class").alias("part"))
+    counts = named.groupBy("key", "part").count().groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("count", "part")).alias("m"))
+    return named.join(counts.where("parts > 1").select("key", F.col("m.part").alias("most")), "key")
+
+
+def _across(lists: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs u > v of members of one list in different components; those of the largest component are met by the others only.
+
+    Lists with `place` (of the key in the set) and `n` (the set's size) join pairs only whose sets can
+    overlap enough from there on; linked sets can from their first common key.
+    """
+    placed = "place" in lists.columns
+    lists = lists if placed else lists.select("key", "class", F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("n"))
+    mixed = _mixed(lists, parts)
+    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("class", "part", "place", "n")]
+    few = mixed.where("part <> most").select("key", *side("a"))
+    pairs = few.join(mixed.select("key", "most", *side("b")), "key")
+    met = "a_part <> b_part AND (b_part = most OR a_class > b_class)"
+    if placed:
+        met += f" AND {100 + SIMILAR} * (least(a_n - a_place, b_n - b_place) + 1) >= {SIMILAR} * (a_n + b_n)"
+    return pairs.where(met).select(F.greatest("a_class", "b_class").alias("u"), F.least("a_class", "b_class").alias("v")).distinct()
+
+
+def _shingles(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            s = np.frombuffer(batch.column("cells")[i].as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column("class")[i].as_py()] * len(s), pa.binary()), pa.array(s), pa.array(np.full(len(s), len(s), np.int64))], names=["class", "key", "n"])
+
+
+def _rare_shingles(classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """key, class, place (from 1), n: a prefix of each set in order of frequency; sets with |A and B| >= 3/4 |A or B| share a key of their prefixes.
+
+    Shingles of one class come first and need no posting; a class with enough of them posts nothing.
+    """
+    every = sets.join(classes, "class", "left_semi").mapInArrow(_shingles, "class binary, key long, n long")
+    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    own = every.join(shared, "key").groupBy("class").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("many", "key"))).alias("keys"))  # one set
+    alone = F.col("n") - F.size("keys")
+    post = F.col("n") - F.ceil(F.col("n") * SIMILAR / 100) + 1 - alone
+    rows = own.where(post > 0).select("class", "n", alone.alias("alone"), F.posexplode(F.slice("keys", F.lit(1), post.cast("int"))["key"]).alias("at", "key"))
+    return rows.select("key", "class", (F.col("alone") + F.col("at") + 1).alias("place"), "n")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row_key, doc_id, n_shingles, component_id, kept for every row of docs; row_key is its place in the rows staged.
 
@@ -167,11 +216,11 @@ def near_duplicate_rows(rows: DataFrame) -> DataFrame:
     parts = staged(components(links), "parts")
 
     # what the stars have not joined: members of one list that are in different components
-    lists = posted.join(parts.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("component", "class").alias("part"))
-    mixed = lists.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("key")
-    lists = lists.join(mixed, "key", "left_semi")
-    other = lists.select("key", F.col("class").alias("v"), F.col("part").alias("v_part"))
-    rest = lists.select("key", F.col("class").alias("u"), "part").join(other, "key").where("u > v AND part <> v_part").select("u", "v").distinct()
+    sizes = posted.groupBy("key").count()
+    short, long = sizes.where(F.col("count") <= LONG_LIST).select("key"), sizes.where(F.col("count") > LONG_LIST).select("key")
+    rest = _across(posted.select("key", "class").join(short, "key", "left_semi"), parts)
+    in_long = _mixed(posted.select("key", "class").join(long, "key", "left_semi"), parts).select("class").distinct()
+    rest = rest.union(_across(_rare_shingles(in_long, sets), parts)).distinct()
     more = staged(_links(rest.join(stars, ["u", "v"], "left_anti"), small, sets), "links")
     if more.isEmpty():
         whole = parts

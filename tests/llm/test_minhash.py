@@ -68,3 +68,13 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 200), (301, 300), (300, 301)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {300: 300, 301: 300}
+
+
+def test_long_lists_take_the_exact_way(spark, monkeypatch):
+    from evidence_lake.llm import op3_minhash
+
+    monkeypatch.setattr(op3_minhash, "LONG_LIST", 3)
+    rows = corpus(9)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = near_duplicates(df).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
