@@ -11,30 +11,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidence_lake.llm.common import documents, staged, words
+from evidence_lake.llm.common import GAP, documents, staged, words
 
 MIN_WORDS = 50
 COMMON_WORDS = 40
 #: Common words are runs of at most so many lower-case letters.
 COMMON_CHARS = 8
-MOST_CHAR_DISTANCE = 0.25
-MOST_WORD_DISTANCE = 0.60
+MOST_CHAR_DISTANCE = 0.30
+MOST_WORD_DISTANCE = 0.38
 #: A language needs so many documents for a reference of its own; others use that of all documents.
 MIN_REFERENCE = 20
 #: Reference tables up to so many rows are broadcast.
 BROADCAST_LANGS = 10_000
+#: With so many languages at most, their common words make one set in the expression.
+SIEVE_LANGS = 200
 
 SYMBOLS = r"[#*$%&|<>]"
-#: Character classes by pattern; what none matches is the last class.
+#: Character classes by pattern; white space is another, and what none matches (lower case above all) is the last.
 CLASSES = {
-    "lower": "[a-z]",
     "upper": "[A-Z]",
     "digit": "[0-9]",
-    "gap": r"[\x20\x09-\x0D]",
     "symbol": SYMBOLS,
     "punct": r"[.,;:!?'\"()\-]",
     "wide": r"[^\x00-\x7F]",
 }
+BINS = [f"c_{c}" for c in [*CLASSES, "gap", "rest"]]
 COMMON = f"^[a-z\\u00DF-\\u00FF]{{1,{COMMON_CHARS}}}$"
 
 
@@ -48,6 +49,10 @@ def n_matching(text: Column, pattern: str) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, f"{pattern}+", ""))).cast("long")
 
 
+#: Places of windows take so many low bits of the sorted keys; longer texts have structs as keys.
+PLACE_BITS = 20
+
+
 def n_repeat_words(w: Column) -> Column:
     """Words in 3-word windows that occur twice or more: equal windows become neighbours in an order by hash."""
 
@@ -56,42 +61,55 @@ def n_repeat_words(w: Column) -> Column:
         spans = F.when(F.size(places) == 0, F.array().cast("array<int>")).otherwise(F.zip_with(places, nexts, lambda a, b: F.least(b - a, F.lit(3))))
         return F.aggregate(spans, F.lit(0).cast("long"), lambda s, x: s + x)
 
-    def repeated(s: Column) -> Column:
-        flagged = F.transform(
-            s,
-            lambda t, i: F.when(
-                (F.try_element_at(s, i + 2)["h"] == t["h"]) | ((i > 0) & (F.try_element_at(s, F.when(i > 0, i).otherwise(-1))["h"] == t["h"])), t["i"]
-            ),
-        )
-        return F.sort_array(F.array_compact(flagged))
+    def flagged(s: Column, same, place) -> Column:
+        """Places of the sorted windows that equal a neighbour, ascending."""
+        before = lambda i: F.try_element_at(s, F.when(i > 0, i).otherwise(-1))
+        near = lambda t, i: same(F.try_element_at(s, i + 2), t) | ((i > 0) & same(before(i), t))
+        return F.sort_array(F.transform(F.filter(s, near), place))
 
-    windows = F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.struct(F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2)).alias("h"), i.alias("i")))
-    return F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(let(let(F.sort_array(windows), repeated), covered))
+    def of_hashes(h: Column) -> Column:
+        mask = (1 << PLACE_BITS) - 1
+        place = lambda t: t.bitwiseAND(F.lit(mask).cast("long")).cast("int")
+        same = lambda a, b: (F.shiftright(a, PLACE_BITS) == F.shiftright(b, PLACE_BITS)) & (h[place(a)] == h[place(b)])
+        short = F.sort_array(F.transform(h, lambda x, i: F.shiftleft(x, PLACE_BITS).bitwiseOR(i.cast("long"))))
+        long = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        by_key = let(short, lambda s: flagged(s, same, place))
+        by_struct = let(long, lambda s: flagged(s, lambda a, b: a["h"] == b["h"], lambda t: t["i"]))
+        return F.when(F.size(h) <= mask, by_key).otherwise(by_struct)
 
+    hashes = F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2)))
+    return F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(let(let(hashes, of_hashes), covered))
 
-def common_counts(lower: Column, ref: Column) -> Column:
-    """Of each reference word that occurs: struct(word, count)."""
-    return F.transform(F.array_intersect(ref, lower), lambda c: F.struct(c.alias("word"), F.size(F.filter(lower, lambda x: x == c)).alias("n")))
 
+def common_counts(w: Column, ref: Column, any_ref: list[str] | None) -> Column:
+    """Of each reference word that occurs (in any case): its count. any_ref: all groups' words, a hashed first sieve."""
+    low = F.transform(w, F.lower)
+    found = F.filter(low, lambda x: x.isin(any_ref)) if any_ref is not None else low
+    return let(found, lambda f: F.map_from_entries(F.transform(F.array_intersect(f, ref), lambda c: F.struct(c.alias("word"), (F.size(f) - F.size(F.array_remove(f, c))).alias("n")))))
 
-def features(docs: DataFrame) -> DataFrame:
+
+def features(docs: DataFrame, any_ref: list[str] | None) -> DataFrame:
     """Base counts, class counts and common-word counts of rows (doc_id, text, lang_group, common)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    ref = F.coalesce(F.col("common"), F.array().cast("array<string>"))
     by_words = let(
         words(F.col("text")),
-        lambda w: F.struct(F.size(w).cast("long").alias("n_words"), n_repeat_words(w).alias("n_repeat_words")),
+        lambda w: F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.aggregate(w, F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("word_chars"),
+            n_repeat_words(w).alias("n_repeat_words"),
+            common_counts(w, ref, any_ref).alias("common_n"),
+        ),
     )
-    lower = let(words(F.lower("text")), lambda w: common_counts(w, F.coalesce(F.col("common"), F.array().cast("array<string>"))))
     return docs.select(
         "doc_id",
         "lang_group",
         by_words.alias("w"),
-        F.map_from_entries(lower).alias("common_n"),
         F.length(text).cast("long").alias("n_chars"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         *[n_matching(text, p).alias(f"c_{c}") for c, p in CLASSES.items()],
-    ).select("doc_id", "lang_group", "w.*", "common_n", "n_chars", "n_dup_lines", *[f"c_{c}" for c in CLASSES])
+    ).select("doc_id", "lang_group", "w.*", "n_chars", "n_dup_lines", *[f"c_{c}" for c in CLASSES])
 
 
 def js_distance(parts: Column) -> Column:
@@ -117,24 +135,28 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = own.groupBy("lang").count().where(f"lang IS NOT NULL AND count >= {MIN_REFERENCE}").select("lang", F.concat(F.lit("="), "lang").alias("known"))
-    small = known.count() <= BROADCAST_LANGS
+    n_known = known.count()
+    small = n_known <= BROADCAST_LANGS
     hint = F.broadcast if small else (lambda df: df)
     group = F.coalesce("known", F.lit("*")).alias("lang_group")
 
-    # scan one: common words of each group, over the whole corpus
-    token = F.explode(F.filter(words(F.lower("text")), lambda w: w.rlike(COMMON)))
+    # scan one: the words that most documents of each group have, over the whole corpus
+    small_words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), GAP), lambda w: F.length(w) <= COMMON_CHARS))
+    token = F.explode(F.filter(small_words, lambda w: w.rlike(COMMON)))
     counts = own.select("lang", token.alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.join(hint(known), "lang", "left").groupBy(group, "word").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang_group").orderBy(F.desc("n"), F.asc("word")))
     top = counts.withColumn("place", place).where(F.col("place") <= COMMON_WORDS)
+    top = staged(top.select("lang_group", "word"), "common-words")
+    any_ref = [r[0] for r in top.select("word").distinct().collect()] if n_known <= SIEVE_LANGS else None
     common = top.groupBy("lang_group").agg(F.sort_array(F.collect_list("word")).alias("common"))
 
     # scan two: every document's counts, as a narrow table
     grouped = own.join(hint(known), "lang", "left").select("doc_id", "text", group).join(hint(common), "lang_group", "left")
-    base = features(grouped).select(
+    base = features(grouped, any_ref).select(
         "*",
-        (F.col("n_chars") - F.col("c_gap")).alias("word_chars"),
-        (F.col("n_chars") - sum(F.col(f"c_{c}") for c in CLASSES)).alias("c_rest"),
+        (F.col("n_chars") - F.col("word_chars")).alias("c_gap"),
+        (F.col("word_chars") - sum(F.col(f"c_{c}") for c in CLASSES)).alias("c_rest"),
         ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
     )
     return verdicts(staged(base, "quality-counts"), hint)
@@ -142,7 +164,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 def verdicts(base: DataFrame, hint) -> DataFrame:
     """Distances to the groups' references, and the verdict."""
-    bins = [f"c_{c}" for c in [*CLASSES, "rest"]]
+    bins = BINS
     good = base.where("NOT base_failed")
     chars = good.groupBy("lang_group").agg(F.sum("n_chars").alias("all_chars"), F.sum("n_words").alias("all_words"), *[F.sum(b).alias(b) for b in bins])
     chars = chars.select("lang_group", "all_words", F.array(*[F.col(b) / F.col("all_chars") for b in bins]).alias("q_chars"))
@@ -156,8 +178,11 @@ def verdicts(base: DataFrame, hint) -> DataFrame:
     p = F.array(*[F.col(b) / F.col("n_chars") for b in bins])
     by_char = js_distance(F.zip_with(p, F.col("q_chars"), lambda a, b: F.struct(a.alias("p"), b.alias("q"))))
     named = F.transform("q_words", lambda x: F.struct((F.coalesce(F.try_element_at("common_n", x["word"]), F.lit(0)) / F.col("n_words")).alias("p"), x["q"].alias("q")))
-    rest = F.aggregate(named, F.struct(F.lit(1.0).alias("p"), F.lit(1.0).alias("q")), lambda s, x: F.struct((s["p"] - x["p"]).alias("p"), (s["q"] - x["q"]).alias("q")))
-    by_word = js_distance(F.concat(named, F.array(let(rest, lambda r: F.struct(F.greatest(r["p"], F.lit(0.0)).alias("p"), F.greatest(r["q"], F.lit(0.0)).alias("q"))))))
+    def with_rest(n: Column) -> Column:
+        left = lambda side: F.greatest(F.lit(1.0) - F.aggregate(n, F.lit(0.0), lambda s, x: s + x[side]), F.lit(0.0))
+        return F.concat(n, F.array(F.struct(left("p").alias("p"), left("q").alias("q"))))
+
+    by_word = let(let(named, with_rest), js_distance)
     some = F.col("n_words") > 0
     out = base.join(hint(refs), base["lang_group"] == refs["g"], "left").select(
         "doc_id",
@@ -181,7 +206,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     classes = ",\n    ".join(f"length(t) - length(regexp_replace(t, '{p.replace(chr(39), chr(39) * 2)}+', '', 'g')) AS c_{c}" for c, p in CLASSES.items() if c != "wide")
     wide = "length(t) - length(regexp_replace(t, '[^\\x00-\\x7F]+', '', 'g')) AS c_wide"
-    bins = [f"c_{c}" for c in [*CLASSES, "rest"]]
+    bins = BINS
     term = "CASE WHEN {x} > 0 THEN {x} * log2({x} / (({p} + {q}) / 2)) ELSE 0 END"
     js = lambda p, q: f"{term.format(x=p, p=p, q=q)} + {term.format(x=q, p=p, q=q)}"
     char_js = " + ".join(js(f"(b.{b} / b.n_chars)", f"(r.{b} / r.all_chars)") for b in bins)
@@ -198,7 +223,7 @@ WITH own AS (
 ), tok AS (
   SELECT rid, lang_group, unnest(list_transform(w, lambda x: lower(x))) AS word FROM g
 ), cnt AS (
-  SELECT lang_group, word, count(*) AS n FROM tok WHERE regexp_matches(word, '^[a-zß-ÿ]{{1,{COMMON_CHARS}}}$') GROUP BY ALL
+  SELECT lang_group, word, count(DISTINCT rid) AS n FROM tok WHERE regexp_matches(word, '^[a-zß-ÿ]{{1,{COMMON_CHARS}}}$') GROUP BY ALL
 ), common AS (
   SELECT lang_group, word FROM cnt QUALIFY row_number() OVER (PARTITION BY lang_group ORDER BY n DESC, word) <= {COMMON_WORDS}
 ), win AS (
@@ -210,10 +235,10 @@ WITH own AS (
 ), base AS (
   SELECT g.rid, doc_id, lang_group, len(w) AS n_words, length(t) AS n_chars, len(l) - len(list_distinct(l)) AS n_dup_lines,
     coalesce(n_repeat_words, 0) AS n_repeat_words,
-    {classes}, {wide}
+    {classes}, {wide}, length(t) - length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS c_gap
   FROM g LEFT JOIN cover USING (rid)
 ), full_base AS (
-  SELECT *, n_chars - ({" + ".join(f"c_{c}" for c in CLASSES)}) AS c_rest,
+  SELECT *, n_chars - c_gap - ({" + ".join(f"c_{c}" for c in CLASSES)}) AS c_rest,
     (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AS base_failed
   FROM base
 ), refs AS (
