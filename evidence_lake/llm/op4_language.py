@@ -19,7 +19,7 @@ from evidence_lake.llm.common import documents
 from evidence_lake.llm.tokens import slices
 
 #: Bounds of the sample the model is fitted on, and of the model.
-TRAIN_DOCS = 3000  # of each language, by the hash of their ids
+TRAIN_DOCS = 1000  # of each language, by the hash of their ids; the sample's row keys are broadcast
 TRAIN_LANGS = 64  # the most frequent labels
 WORDS = 8000  # of each language
 NGRAMS = 6000  # of each language and length
@@ -107,11 +107,14 @@ class Model:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model of the documents whose crc32(doc_id as text) mod 4 isn't 2, from TRAIN_DOCS of each language at most."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    """A model of the documents whose crc32(doc_id as text) mod 4 isn't 2, from TRAIN_DOCS of each language at most. docs must be a stable table (files)."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.monotonically_increasing_id().alias("row_key"))
     usable = own.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     langs = [r[0] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TRAIN_LANGS).collect()]
-    chosen = usable.where(F.col("lang").isin(langs)).select("lang", "text", "doc_id", F.xxhash64("text").alias("h")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "h"))).where(F.col("r") <= TRAIN_DOCS) if langs else usable.limit(0)
+    narrow = usable.where(F.col("lang").isin(langs) if langs else F.lit(False)).select("lang", "row_key", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "row_key"))
+    keys = narrow.withColumn("r", place).where(F.col("r") <= TRAIN_DOCS).select("row_key")
+    chosen = own.join(F.broadcast(keys), "row_key").select("lang", "text")
     token = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
     words = chosen.select("lang", token.alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
     grams = [words.select("lang", F.lit(0).alias("size"), "gram", "n")]
