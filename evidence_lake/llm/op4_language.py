@@ -26,6 +26,7 @@ NGRAMS = 6000  # of each language and length
 LONGEST = 4
 MIN_COUNT = 2
 SMOOTH = 0.5
+BLOCK = 8  # languages scored at a time
 UNKNOWN = "und"
 
 _LETTERS = regex.compile(r"\p{L}+|\n")
@@ -36,27 +37,39 @@ def held_out(doc_id):
 
 
 class Model:
-    """langs; tables[0]: word -> row of weights[0]; tables[n]: n-gram -> row of weights[n]."""
+    """langs; tables[0]: word -> row; tables[n]: n-gram -> row; a row's weights are those of the languages that have it, base[n] is the others'."""
 
     def __init__(self, langs: list[str], counts: dict[int, dict[tuple[str, str], int]], totals: dict[tuple[int, str], int]):
-        self.langs, self.tables, self.weights = langs, [], []
+        self.langs, self.tables, self.base = langs, [], []
+        self.starts, self.owners, self.weights = [], [], []  # rows' runs of (language, weight), by n
+        number = {x: i for i, x in enumerate(langs)}
         for n in range(LONGEST + 1):
+            own = counts.get(n, {})
             table: dict[str, int] = {}
-            for _, gram in counts.get(n, {}):
-                table.setdefault(gram, len(table))
-            w = np.full((len(table) + 1, len(langs)), SMOOTH)
-            for (lang, gram), c in counts.get(n, {}).items():
-                w[table[gram], langs.index(lang)] += c
+            row = np.fromiter((table.setdefault(gram, len(table)) for _, gram in own), np.int64, len(own))
+            owner = np.fromiter((number[lang] for lang, _ in own), np.int64, len(own))
+            count = np.fromiter(own.values(), float, len(own))
             total = np.array([totals.get((n, x), 0) for x in langs], float) + SMOOTH * (len(table) + 1)
+            order = np.argsort(row, kind="stable")
             self.tables.append(table)
-            self.weights.append(np.log(w / total) if len(langs) else w)
+            self.base.append(np.log(SMOOTH / total))
+            self.starts.append(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(table))))))
+            self.owners.append(owner[order])
+            self.weights.append(np.log((SMOOTH + count[order]) / total[owner[order]]))
 
-    def rows(self, words: list[str]) -> np.ndarray:
-        """Scores of words by language."""
-        out = np.zeros((len(words), len(self.langs)))
+    def entries(self, n: int, rows: np.ndarray, block: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place in rows, language within the block and weight of what the languages of the block have."""
+        low = self.starts[n][rows]
+        size = self.starts[n][rows + 1] - low
+        flat = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        mine = (self.owners[n][flat] >= block.start) & (self.owners[n][flat] < block.stop)
+        return np.repeat(np.arange(len(rows)), size)[mine], self.owners[n][flat][mine] - block.start, self.weights[n][flat][mine]
+
+    def lookups(self, words: list[str]) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """n, places of words, rows of their n-grams, how many rows each; n is 0 for known words."""
         known = self.tables[0].get
         at = np.fromiter((known(w, -1) for w in words), np.int64, len(words))
-        out[at >= 0] = self.weights[0][at[at >= 0]]
+        out = [(0, np.flatnonzero(at >= 0), at[at >= 0], np.ones((at >= 0).sum(), np.int64))]
         left = np.flatnonzero(at < 0).tolist()
         for n in range(LONGEST, 0, -1):
             if not left:
@@ -64,17 +77,42 @@ class Model:
             find = self.tables[n].get
             found = [[g for i in range(len(w) - n + 1) if (g := find(w[i : i + n])) is not None] for w in (f" {words[j]} " if n > 1 else words[j] for j in left)]
             size = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((g for f in found for g in f), np.int64, int(size.sum()))
             hit = np.flatnonzero(size)
-            if len(hit):
-                starts = (np.cumsum(size) - size)[hit]
-                sums = np.add.reduceat(self.weights[n][flat], starts, axis=0)
-                out[np.array(left)[hit]] = sums / size[hit][:, None]
+            out.append((n, np.array(left)[hit], np.fromiter((g for f in found for g in f), np.int64, int(size.sum())), size[hit]))
             left = [j for j, s in zip(left, size.tolist()) if not s]
         return out
 
+    def scores(self, found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], n_words: int, block: slice) -> np.ndarray:
+        """Scores of words by language of the block."""
+        out = np.zeros((n_words, block.stop - block.start))
+        for n, who, flat, size in found:
+            if len(who):
+                rows, back = np.unique(flat, return_inverse=True)
+                cells = np.tile(self.base[n][block], (len(rows), 1))
+                at, lang, weight = self.entries(n, rows, block)
+                cells[at, lang] = weight
+                out[who] = np.add.reduceat(cells[back], np.cumsum(size) - size, axis=0) / size[:, None]
+        return out
+
+    def known(self, found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], n_words: int, block: slice) -> np.ndarray:
+        """1 for each word that a language of the block knows."""
+        out = np.zeros((n_words, block.stop - block.start))
+        _, who, rows, _ = found[0]
+        at, lang, _ = self.entries(0, rows, block)
+        out[who[at], lang] = 1.0
+        return out
+
     def judge(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """(language, score) of each text."""
+        return self._judge(texts, False)[:2]
+
+    def judge_known(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """(language, score, runs of letters, those of them that are known words of the language) of each text."""
+        return self._judge(texts, True)
+
+    def _judge(self, texts: pa.Array, count_known: bool):
+        if not self.langs:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
         parts = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         coded = pc.list_flatten(parts).dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False)
@@ -83,38 +121,61 @@ class Model:
         pieces = _LETTERS.findall("\n".join(coded.dictionary.to_pylist()).lower()) if len(code) else []
         place: dict[str, int] = {}
         at = np.fromiter((-1 if p == "\n" else place.setdefault(p, len(place)) for p in pieces), np.int64, len(pieces))
-        by_piece = self.rows(list(place))
+        found = self.lookups(list(place))
         word = np.cumsum(at < 0)  # each break ends a word
         n_words = len(coded.dictionary)
         real = at >= 0
-        by_word = np.zeros((n_words, len(self.langs)))
         letters = np.bincount(word[real], minlength=n_words) if n_words else np.zeros(0)
-        if real.any():
-            starts = np.flatnonzero(np.diff(word[real], prepend=-1))
-            by_word[np.unique(word[real])] = np.add.reduceat(by_piece[at[real]], starts, axis=0)
-        total = np.zeros((len(texts), len(self.langs)))
-        some = np.zeros(len(texts), bool)
+        filled = np.flatnonzero(np.diff(edge))
+
+        def by_text(by_piece: np.ndarray) -> np.ndarray:
+            """Sums over the pieces of each text."""
+            by_word = np.zeros((n_words, by_piece.shape[1]))
+            if real.any():
+                starts = np.flatnonzero(np.diff(word[real], prepend=-1))
+                by_word[np.unique(word[real])] = np.add.reduceat(by_piece[at[real]], starts, axis=0)
+            out = np.zeros((len(texts), by_piece.shape[1]))
+            if len(code):
+                out[filled] = np.add.reduceat(by_word[code], edge[filled], axis=0)
+            return out
+
+        n_pieces = np.zeros(len(texts))
         if len(code):
-            cells = by_word[code]
-            filled = np.flatnonzero(np.diff(edge))
-            total[filled] = np.add.reduceat(cells, edge[filled], axis=0)
-            some[filled] = np.add.reduceat(letters[code], edge[filled]) > 0
-        if not self.langs:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+            n_pieces[filled] = np.add.reduceat(letters[code], edge[filled])
+        blocks = [slice(i, min(i + BLOCK, len(self.langs))) for i in range(0, len(self.langs), BLOCK)]
+        total = np.concatenate([by_text(self.scores(found, len(place), b)) for b in blocks], axis=1)
         best = total.argmax(axis=1)
+        n_known = np.zeros(len(texts))
+        for b in blocks if count_known else []:
+            mine = np.flatnonzero((best >= b.start) & (best < b.stop))
+            if len(mine):
+                n_known[mine] = by_text(self.known(found, len(place), b))[mine, best[mine] - b.start]
         score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-        return [self.langs[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist())], np.where(some, score, 0.0)
+        some = n_pieces > 0
+        return [self.langs[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist())], np.where(some, score, 0.0), n_pieces, n_known
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model of the documents whose crc32(doc_id as text) mod 4 isn't 2, from TRAIN_DOCS of each language at most. docs must be a stable table (files)."""
+def _labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text, lang, row_key of all rows, and of those that have all three."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.monotonically_increasing_id().alias("row_key"))
-    usable = own.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    langs = [r[0] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TRAIN_LANGS).collect()]
-    narrow = usable.where(F.col("lang").isin(langs) if langs else F.lit(False)).select("lang", "row_key", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
+    return own, own.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+
+
+def _sampled(own: DataFrame, usable: DataFrame) -> DataFrame:
+    """lang, text of TRAIN_DOCS usable rows of each language at most."""
+    narrow = usable.select("lang", "row_key", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "row_key"))
     keys = narrow.withColumn("r", place).where(F.col("r") <= TRAIN_DOCS).select("row_key")
-    chosen = own.join(F.broadcast(keys), "row_key").select("lang", "text")
+    return own.join(F.broadcast(keys), "row_key").select("lang", "text")
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """A model of the documents whose crc32(doc_id as text) mod 4 isn't 2, from TRAIN_DOCS of each language at most. docs must be a stable table (files)."""
+    own, usable = _labelled(docs, id_col, text_col, lang_col)
+    usable = usable.where(~held_out(F.col("doc_id")))
+    langs = [r[0] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TRAIN_LANGS).collect()]
+    usable = usable.where(F.col("lang").isin(langs) if langs else F.lit(False))
+    chosen = _sampled(own, usable)
     token = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
     words = chosen.select("lang", token.alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
     grams = [words.select("lang", F.lit(0).alias("size"), "gram", "n")]
@@ -136,8 +197,33 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(sorted(langs, key=lambda x: x.encode()), counts, totals)
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score (the language's share of the likelihood, 0 to 1).
+def known_shares(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
+    """Of each language: the median share of known words in held-out documents (TRAIN_DOCS at most) that are judged as labelled.
+
+    A language without such documents has no entry. docs must be a stable table (files).
+    """
+    own, usable = _labelled(docs, id_col, text_col, lang_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            for rows in slices(batch, "text"):
+                pred, _, n, known = shared.value.judge_known(rows.column("text"))
+                good = [i for i, (p, x) in enumerate(zip(pred, rows.column("lang").to_pylist())) if p == x and n[i]]
+                yield pa.RecordBatch.from_arrays([pa.array([pred[i] for i in good], pa.string()), pa.array(known[good] / n[good])], names=["lang", "share"])
+
+    shares = _sampled(own, usable.where(held_out(F.col("doc_id")))).mapInArrow(run, "lang string, share double")
+    return {r[0]: r[1] for r in shares.groupBy("lang").agg(F.median("share")).collect()}
+
+
+def is_typical(n: np.ndarray, known: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Whether the share of known words is least or more, but for what chance explains (two deviations) in a text of n words."""
+    return known >= n * least - 2 * np.sqrt(n * least * (1 - least))
+
+
+def identify(docs: DataFrame, model: Model, text_col: str = "text", least: dict[str, float] | None = None) -> DataFrame:
+    """docs with lang_pred and score (the language's share of the likelihood, 0 to 1); with least, the least share
+    of known words by language, also typical: whether the text has that share of words its language knows.
 
     Null text or no letter: `und`, 0. Ties go to the smaller language code. Without a model every text
     is `und`. Empty table: no rows. docs must not have columns lang_pred and score.
@@ -146,13 +232,19 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     fields = [f for f in docs.schema.fields]
     from pyspark.sql import types as T
 
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())] + [T.StructField("typical", T.BooleanType())] * (least is not None)
+    schema = T.StructType([*fields, *made])
 
     def run(batches):
         for batch in batches:
             for rows in slices(batch, text_col):
-                lang, score = shared.value.judge(rows.column(text_col))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*rows.schema.names, "lang_pred", "score"])
+                if least is None:
+                    lang, score = shared.value.judge(rows.column(text_col))
+                    more = []
+                else:
+                    lang, score, n, known = shared.value.judge_known(rows.column(text_col))
+                    more = [pa.array(is_typical(n, known, np.array([least.get(x, 0.0) for x in lang])), pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lang, pa.string()), pa.array(score), *more], names=[*rows.schema.names, *schema.names[len(fields) :]])
 
     return docs.mapInArrow(run, schema)
 
