@@ -1,7 +1,8 @@
 """Line dedup by a deletion-neighbourhood join.
 
-A line is dropped when an earlier line of the corpus equals it or is one edit away (a character
-inserted, deleted or replaced). Distinct lines emit each variant with one character deleted, and
+A line is dropped when an earlier line of the corpus equals it or, from LEAST_CHARS characters on, is
+one edit away (a character inserted, deleted or replaced). Equal lines are found by their digest
+alone. Distinct lines emit each variant with one character deleted, and
 themselves, as hashed keys. Lines that share a variant with the deletion at the same place differ by
 a replacement, a line that is another's variant by an insertion, so the earliest line of each key is
 found by aggregation, never by pairs; the edit distance to it is verified. Before that, lines that
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from evidence_lake.llm.common import documents, staged
 from evidence_lake.llm.tokens import slices
 
-#: Shorter lines (without the white space around them) say too little and are never dropped.
+#: Of shorter lines (without the white space around them) one edit says too little; only repeats of them are dropped.
 LEAST_CHARS = 20
+#: The query and the pipeline drop repeats of every line that isn't blank.
+NOT_BLANK = 1
 _BLANK = "\t\n\v\f\r "
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -39,15 +42,15 @@ def halves(line: str) -> list[int]:
     return out
 
 
-def _lines(batches):
+def _lines(batches, least_repeat: int):
     for batch in batches:
         for rows in slices(batch, "text", 4 << 20):
             d, k, n, g, h = [], [], [], [], []
             for doc, key, text in zip(rows.column("doc_id").to_pylist(), rows.column("row_key").to_pylist(), rows.column("text").to_pylist()):
                 for i, line in enumerate((text or "").split("\n")):
                     line = line.strip(_BLANK)
-                    if len(line) >= LEAST_CHARS:
-                        d.append(doc), k.append(key), n.append(i), g.append(xxhash.xxh3_128_digest(line.encode())), h.append(halves(line))
+                    if len(line) >= least_repeat:
+                        d.append(doc), k.append(key), n.append(i), g.append(xxhash.xxh3_128_digest(line.encode())), h.append(halves(line) if len(line) >= LEAST_CHARS else [])
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.int64()), pa.array(n, pa.int32()), pa.array(g, pa.binary()), pa.array(h, pa.list_(pa.int64()))], names=["doc_id", "row_key", "line", "digest", "halves"])
 
 
@@ -100,16 +103,16 @@ def place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row_key", "line")
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_repeat: int = LEAST_CHARS) -> DataFrame:
     """row_key, doc_id, dropped: the numbers (from 0) of the lines to drop, ascending, of each row that has some.
 
     row_key is monotonically_increasing_id over docs, which must be a stable table (files). Lines are
     what `\\n` separates, compared without the ASCII white space around them. Null or empty texts have
-    no lines to drop. Rows that repeat a doc_id are documents of their own. Empty table: no rows.
+    no lines to drop. Lines under least_repeat (1 to LEAST_CHARS) characters stay. Rows that repeat a doc_id are documents of their own. Empty table: no rows.
     Extra columns are ignored.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_key"), F.col(text_col).cast("string").alias("text"))
-    lines = staged(own.mapInArrow(_lines, LINES), "lines")
+    lines = staged(own.mapInArrow(lambda batches: _lines(batches, least_repeat), LINES), "lines")
     keyed = lines.select("digest", place().alias("p"), "halves")
     distinct = staged(keyed.groupBy("digest").agg(F.min("p").alias("first"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("many")), "distinct-lines")
     half = distinct.select("digest", F.explode("halves").alias("half"))
@@ -144,10 +147,10 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.groupBy(F.col("p.row_key").alias("row_key")).agg(F.first("p.doc_id").alias("doc_id"), F.sort_array(F.collect_list("p.line")).alias("dropped"))  # a text's own lines
 
 
-def without_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def without_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", least_repeat: int = LEAST_CHARS) -> DataFrame:
     """docs (a stable table) with the dropped lines cut out of the text; rows of which no word is left go, rows without lines to drop stay as they are."""
     cols = docs.columns
-    drops = dropped_lines(docs, id_col, text_col).select("row_key", "dropped")
+    drops = dropped_lines(docs, id_col, text_col, least_repeat).select("row_key", "dropped")
     own = docs.select(F.struct(*[F.col(c) for c in cols]).alias("row"), F.monotonically_increasing_id().alias("row_key")).join(drops, "row_key", "left")
     left = F.filter(F.split(F.col("row")[text_col], "\n"), lambda x, i: ~F.array_contains("dropped", i))
     text = F.when(F.col("dropped").isNull(), F.col("row")[text_col]).otherwise(F.array_join(left, "\n"))
@@ -157,4 +160,4 @@ def without_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, dropped (line numbers), n_dropped of every document that loses lines."""
-    return dropped_lines(documents(spark, sf_dir)).select("doc_id", "dropped", F.size("dropped").cast("long").alias("n_dropped"))
+    return dropped_lines(documents(spark, sf_dir), least_repeat=NOT_BLANK).select("doc_id", "dropped", F.size("dropped").cast("long").alias("n_dropped"))

@@ -4,6 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from evidence_lake.llm import op5_lines as o
 
 
@@ -73,3 +74,12 @@ def test_nothing_to_drop(spark, tmp_path, rows):
     df = spark.read.parquet(str(tmp_path / "t"))
     assert o.dropped_lines(df).count() == 0
     assert o.without_lines(df).count() == len(rows)
+
+
+def test_repeats_of_short_lines_are_dropped(spark, tmp_path):
+    rows = [(1, "And ornd.\n\n}"), (2, " And ornd.\t\nAnd orn.\n\n"), (3, "And ornd."), (None, "}\nx"), (4, "y\nz\ny\nbut this line is a long one")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.dropped for r in o.op5_lines(spark, str(tmp_path)).collect()} == {2: [0], 3: [0], None: [0], 4: [2]}
+    df = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    want = {1: "And ornd.\n\n}", 2: "And orn.\n\n", None: "x", 4: "y\nz\nbut this line is a long one"}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, df, str(tmp_path)).collect()} == want
