@@ -2,8 +2,8 @@
 
 A page is a sequence of words (positive) and tags (negative). The weights are log-odds of each token
 inside and outside the marked article of labelled pages, those that have exactly one article or main
-element; a linear scan finds the run of the largest sum, and the text is what it holds, or what the
-article around it holds, without parts that are never content.
+element; a linear scan finds the run of the largest sum, and the text is what it holds, out to the
+edges of the blocks it begins and ends in, without parts that are never content.
 """
 
 from __future__ import annotations
@@ -123,6 +123,10 @@ def log_odds(inside: Counter, outside: Counter) -> dict[str, float]:
     return out | {"": -1.0}
 
 
+def is_edge(token: tuple) -> bool:
+    return token[0] == "tag" and token[1] in BLOCKS
+
+
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     got = tokens(page or "")
     word, other = weights["text"], weights[""]
@@ -138,14 +142,13 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         elif total > best:
             best, span = total, (start, i + 1)
     a, b = span
-    inside = Counter(t[-1] for t in got[a:b] if t[0] == "text" and not t[2] for _ in range(len(t[1].split())))
-    region = max(inside, key=inside.get, default=0)
-    if region and 2 * inside[region] >= sum(inside.values()):  # the article it lies in, whole
-        part = [t for t in got if t[-1] == region]
-    else:
-        part = got[a:b]
+    if a < b:  # whole blocks
+        while a and not is_edge(got[a - 1]):
+            a -= 1
+        while b < len(got) and not is_edge(got[b]):
+            b += 1
     blocks, now = [], []
-    for t in part:
+    for t in got[a:b]:
         if t[0] == "text":
             if not t[2]:
                 now.append(entities.unescape(t[1]))

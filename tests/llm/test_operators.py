@@ -130,6 +130,19 @@ def test_page_text(spark):
     assert op7_html.extract(df.limit(0), op7_html.fit(df.limit(0))).count() == 0
 
 
+def test_page_text_is_the_run():
+    weights = op7_html.log_odds(*op7_html.labels(PAGE))
+    want = "Main head\n\nFirst & bold words of it go on here.\n\nSecond <para> é."
+    for mark in ("div", "section", "main"):  # pages without an article or any marked element
+        page = PAGE.replace("<article>", f"<{mark}>").replace("</article>", f"</{mark}>")
+        assert op7_html.main_text(page, weights) == want
+    links = "".join(f"<li><a href='{i}'>go{i}</a></li>" for i in range(40))
+    page = f"<article><h1>Some head of it</h1><p>Many words are <b>in</b> this first part of the page.</p><ul>{links}</ul></article>"
+    flat = {"text": 1.0, "p": -0.5, "h1": -0.5, "": -3.0}
+    assert op7_html.main_text(page, flat) == "Some head of it\n\nMany words are in this first part of the page."
+    assert op7_html.main_text("<p>all <b>of it</b> and more words here</p>", {"text": 1.0, "b": -6.0, "p": -0.5, "": -1.0}) == "all of it and more words here"
+
+
 def test_top_k_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(op8_topk, "BLOCK_ROWS", 16)
     monkeypatch.setattr(op8_topk, "QUERY_ROWS", 4)
