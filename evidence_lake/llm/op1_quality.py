@@ -15,7 +15,7 @@ from evidence_lake.llm.common import GAP, documents, staged, words
 
 MIN_WORDS = 50
 COMMON_WORDS = 40
-#: Common words are runs of at most so many lower-case letters.
+#: OP1_SQL takes common words of at most so many letters; the DataFrames take any.
 COMMON_CHARS = 8
 MOST_CHAR_DISTANCE = 0.30
 MOST_WORD_DISTANCE = 0.38
@@ -36,7 +36,8 @@ CLASSES = {
     "wide": r"[^\x00-\x7F]",
 }
 BINS = [f"c_{c}" for c in [*CLASSES, "gap", "rest"]]
-COMMON = f"^[a-z\\u00DF-\\u00FF]{{1,{COMMON_CHARS}}}$"
+#: Common words are letters of any script with their marks.
+COMMON = r"^\p{L}[\p{L}\p{M}]*$"
 
 
 def let(value: Column, body) -> Column:
@@ -141,8 +142,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     group = F.coalesce("known", F.lit("*")).alias("lang_group")
 
     # scan one: the words that most documents of each group have, over the whole corpus
-    small_words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), GAP), lambda w: F.length(w) <= COMMON_CHARS))
-    token = F.explode(F.filter(small_words, lambda w: w.rlike(COMMON)))
+    low_words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), GAP))
+    token = F.explode(F.filter(low_words, lambda w: w.rlike(COMMON)))
     counts = own.select("lang", token.alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.join(hint(known), "lang", "left").groupBy(group, "word").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang_group").orderBy(F.desc("n"), F.asc("word")))

@@ -48,6 +48,22 @@ def test_quality_against_brute_force(spark, tmp_path):
     assert op1_quality.quality(df.limit(0)).count() == 0
 
 
+def test_quality_knows_common_words_of_every_script(spark, tmp_path):
+    rng = random.Random(12)
+    common = {"ru": "это который непосредственно жизнь", "pl": "się źródło społeczeństwo żeby", "el": "και αυτός άνθρωπος όταν", "hi": "में और विश्वविद्यालय नहीं", "de": "gesellschaft wissenschaft und das"}
+    rows = []
+    for n, (lang, own) in enumerate(common.items()):
+        rare = ["".join(rng.choice(own.replace(" ", "")[:6]) for _ in range(6)) for _ in range(3000)]
+        for i in range(30):
+            text = " ".join(rng.choice(own.split()) if rng.random() < 0.5 else rng.choice(rare) for _ in range(80))
+            rows.append(doc(100 * n + i, text, lang))
+        rows.append(doc(100 * n + 99, " ".join(rng.choice(rare) for _ in range(80)), lang))
+    got = {r.doc_id: r for r in op1_quality.quality(saved(spark, tmp_path, rows, DOCS)).collect()}
+    for n in range(len(common)):
+        assert not got[100 * n + 99].base_failed and got[100 * n + 99].word_distance > op1_quality.MOST_WORD_DISTANCE and not got[100 * n + 99].kept
+        assert sum(got[100 * n + i].kept for i in range(30)) == 30
+
+
 def test_long_texts_use_struct_keys(spark, monkeypatch):
     monkeypatch.setattr(op1_quality, "PLACE_BITS", 2)
     texts = ["a b c d a b c x y", "q w e r t y u i o p q w e", "m n o"]
