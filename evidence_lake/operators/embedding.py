@@ -43,12 +43,14 @@ def sparse_terms(df: DataFrame, key: str, text: str) -> DataFrame:
     return terms.groupBy(key, "term").agg(F.round(F.log1p(F.count(F.lit(1))), 6).alias("weight"))
 
 
-def late_tokens(dims: int = 8, most: int = 16) -> Embedder:
-    """One unit vector for each of the first distinct tokens: the token's bucket set to one."""
+def late_tokens(dims: int = 8) -> Embedder:
+    """One unit vector for each distinct token of the whole text: the token's bucket set to one."""
 
     def embed(text: Column) -> Column:
-        first = F.slice(F.array_distinct(word_tokens(text)), 1, most)
-        return F.transform(first, lambda t: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (bucket(t, dims) == i).cast("double")))
+        def one(b: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (b == i).cast("double"))
+
+        return F.transform(F.array_distinct(word_tokens(text)), lambda t: let(bucket(t, dims), one))
 
     return embed
 

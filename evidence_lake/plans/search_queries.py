@@ -148,10 +148,11 @@ s AS (SELECT query_id, id, len(list_filter(ql.bs, lambda b: list_contains(dl.bs,
 """
 )
 def late_maxsim(spark, d):
-    embed = embedding.late_tokens(8, 16)
+    # whole texts; the SQL above still takes the first 16 distinct tokens of each
+    embed = embedding.late_tokens(8)
     candidates = retrieval.sparse(*terms(spark, d), 20)
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), embed(F.col("text")).alias("ql"))
-    v = docs(spark, d).select(F.col("doc_id").alias("id"), embed(F.col("text")).alias("dl"))
+    v = docs(spark, d).select(F.col("doc_id").alias("id"), F.array_distinct(embed(F.col("text"))).alias("dl"))  # equal vectors have one maximum
     return retrieval.late_rerank(candidates, q, v, 5)
 
 

@@ -1,5 +1,6 @@
 """Operators and functions against plain Python."""
 
+import hashlib
 import uuid
 
 import pytest
@@ -245,3 +246,11 @@ def test_file_scan(spark, tmp_path):
     assert {r.stem for r in found.collect()} == {"a", "b"} and found.count() == 3
     papers, parts = files.text_papers(files.scan(spark, str(tmp_path), unique_stems=True))
     assert papers.count() == 2 and parts.where("paper_id = 'a'").count() == 1
+
+
+def test_late_vectors_are_of_the_whole_text(spark):
+    tokens = [f"t{i}" for i in range(40)]
+    body = " ".join(tokens + tokens[:5])
+    got = one(spark, embedding.late_tokens(8)(F.col("s")), s=body)
+    places = [int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 8 for t in tokens]
+    assert got == [[float(i == b) for i in range(8)] for b in places]
