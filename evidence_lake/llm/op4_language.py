@@ -20,7 +20,6 @@ from evidence_lake.llm.tokens import slices
 
 #: Bounds of the sample the model is fitted on, and of the model.
 TRAIN_DOCS = 1000  # of each language, by the hash of their ids; the sample's row keys are broadcast
-TRAIN_LANGS = 64  # the most frequent labels
 WORDS = 8000  # of each language
 NGRAMS = 6000  # of each language and length
 LONGEST = 4
@@ -170,11 +169,10 @@ def _sampled(own: DataFrame, usable: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model of the documents whose crc32(doc_id as text) mod 4 isn't 2, from TRAIN_DOCS of each language at most. docs must be a stable table (files)."""
+    """A model of the documents whose crc32(doc_id as text) mod 4 isn't 2, from TRAIN_DOCS of each language at most; every label is learned. docs must be a stable table (files)."""
     own, usable = _labelled(docs, id_col, text_col, lang_col)
     usable = usable.where(~held_out(F.col("doc_id")))
-    langs = [r[0] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TRAIN_LANGS).collect()]
-    usable = usable.where(F.col("lang").isin(langs) if langs else F.lit(False))
+    langs = [r[0] for r in usable.select("lang").distinct().collect()]
     chosen = _sampled(own, usable)
     token = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
     words = chosen.select("lang", token.alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))

@@ -89,6 +89,19 @@ def test_language(spark, tmp_path):
     assert op4_language.identify(df.select("text").limit(3), op4_language.fit(df.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_every_label_is_learned(spark, tmp_path):
+    rng = random.Random(9)
+    names = [f"l{i:02d}" for i in range(70)]
+    vocab = {x: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(6)] for x in names}
+    rows = [doc(i, " ".join(rng.choice(vocab[x]) for _ in range(30)), x) for i, x in enumerate(names * 6)]
+    rows += [doc(9000 + i, " ".join(vocab[x] * 2), x) for i, x in enumerate(names[:64])]  # the last six are the rarest
+    df = saved(spark, tmp_path, rows, DOCS)
+    model = op4_language.fit(df)
+    assert model.langs == names
+    out = op4_language.identify(df.select("text", "lang"), model).collect()
+    assert all(r.lang_pred == r.lang and r.score > 0.99 for r in out)
+
+
 def test_held_out_documents_do_not_change_the_model(spark, tmp_path):
     rows = [doc(i, f"word{i % 7} text", "en") for i in range(80)]
     df = saved(spark, tmp_path, rows, DOCS, 1)
