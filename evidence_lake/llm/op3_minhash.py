@@ -184,11 +184,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     own = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = staged(own, "texts")
-    return near_duplicate_rows(rows)
+    return near_duplicate_rows(rows).drop("group_key")
 
 
 def near_duplicate_rows(rows: DataFrame) -> DataFrame:
-    """near_duplicates of a stable table (row_key, doc_id, text) with unique keys."""
+    """near_duplicates of a stable table (row_key, doc_id, text) with unique keys, and group_key: the group's own key, null for rows without near duplicates."""
     found = staged(rows.select("row_key", "doc_id", "text").mapInArrow(_features, "row_key long, doc_id long, n_shingles long, class binary, sig array<long>"), "signatures")
     classes = staged(
         found.where("class IS NOT NULL")
@@ -231,11 +231,11 @@ def near_duplicate_rows(rows: DataFrame) -> DataFrame:
     # the smallest doc_id of each component; classes of one row that link with nothing need no entry
     known = classes.join(whole.withColumnRenamed("node", "class"), "class", "left").where("component IS NOT NULL OR copies > 1").select("class", "first_id", F.coalesce("component", "class").alias("component"))
     least = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    ids = known.join(least, "component").select("class", "component_id", F.lit(True).alias("grouped"))
+    ids = known.join(least, "component").select("class", "component_id", F.col("component").alias("group_key"), F.lit(True).alias("grouped"))
     out = found.select("row_key", "doc_id", "n_shingles", "class").join(ids, "class", "left")
     out = out.withColumn("component", F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id")))
     kept = F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)) | (F.col("doc_id").isNull() & F.col("grouped").isNull())
-    return out.select("row_key", "doc_id", "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
+    return out.select("row_key", "doc_id", "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"), "group_key")
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
