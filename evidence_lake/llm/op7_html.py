@@ -174,7 +174,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_co
                 if page and (found := labels(page)):
                     inside.update(found[0])
                     outside.update(found[1])
-        names = sorted({*inside, *outside})[:500]
+        names = sorted({*inside, *outside})
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([inside[x] for x in names], pa.int64()), pa.array([outside[x] for x in names], pa.int64())], names=["name", "inside", "outside"])
 
     rows = share.select("html").mapInArrow(run, "name string, inside long, outside long").groupBy("name").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).collect()  # tag names

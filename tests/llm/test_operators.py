@@ -159,6 +159,17 @@ def test_page_text(spark):
     assert op7_html.extract(df.limit(0), op7_html.fit(df.limit(0))).count() == 0
 
 
+def test_weights_have_every_name(spark):
+    odd = "".join(f"<c{i:03d}>x y</c{i:03d}>" for i in range(600))
+    pages = [(i, "u", f"<nav><a>some link</a></nav><article>{odd}</article><footer>f</footer>") for i in range(4)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    weights = op7_html.fit(df)
+    assert {f"c{i:03d}" for i in range(600)} <= set(weights)
+    assert weights == op7_html.fit(df.coalesce(1))
+    whole = op7_html.labels(pages[0][2])
+    assert weights == op7_html.log_odds(*[type(c)({k: 4 * n for k, n in c.items()}) for c in whole])
+
+
 def test_page_text_is_the_run():
     weights = op7_html.log_odds(*op7_html.labels(PAGE))
     want = "Main head\n\nFirst & bold words of it go on here.\n\nSecond <para> é."
