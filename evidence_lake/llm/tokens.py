@@ -2,8 +2,9 @@
 
 A text of a word-level tokenizer (white space separates and is dropped) is the sequence of its
 white-space words, so a batch is split and dictionary-encoded by Arrow, its distinct words are split
-by the tokenizer file's own pattern, and the library's model is asked once for each piece. Words with
-rare characters, and other tokenizers' whole texts, go through the library's encode.
+by the tokenizer file's own pattern, and the library is asked once for each new piece: many new
+pieces go through it as one text, and the model's end-of-word marks tell them apart. Words with rare
+characters, and other tokenizers' whole texts, go through the library's encode.
 """
 
 from __future__ import annotations
@@ -11,21 +12,21 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Split pieces kept in a worker's cache; beyond it the cache starts afresh (results don't change).
-CACHE_PIECES = 500_000
+#: Split pieces kept in a worker's cache; beyond it only those of the batch at hand stay (results don't change).
+CACHE_PIECES = 600_000
 END_ID = 1
-_END = np.uint32(0xFFFFFFFF)
-_MARK = _END.tobytes()
-#: Words of characters below U+0250 that print: lower case and NFC are plain there; others go through the library whole.
-_EASY = re.compile("[!-~\u00A1-\u024F]*").fullmatch
+#: Words of other characters than these below U+0250 that print go through the library whole; there lower case and NFC are plain.
+_RARE = r"[^!-~\x{A1}-\x{24F}]"
+#: Words of letters alone are one piece; U+0130 has a lower case of two characters.
+_LETTERS = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]+$"
 
 
 def default_path() -> str:
@@ -34,8 +35,10 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _bytes(ids: list[int]) -> bytes:
-    return array("I", ids).tobytes()
+def _lower_joined(words: pa.Array) -> str:
+    """The words in lower case, a line each."""
+    whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
+    return pc.binary_join(whole, "\n")[0].as_py().lower()
 
 
 class TextEncoder:
@@ -49,7 +52,20 @@ class TextEncoder:
         spec = json.loads(self.tok.to_str())
         self.added = [a["content"] for a in spec.get("added_tokens", [])]
         self.pattern = self._word_pattern(spec)
-        self.pieces = {"\n": _MARK}
+        suffix = (spec.get("model") or {}).get("end_of_word_suffix")
+        self.ends = np.array([bool(suffix) and (self.tok.id_to_token(i) or "").endswith(suffix) for i in range(self.tok.get_vocab_size())])
+        # the cache: piece -> number; the ids of piece i are flat[first[i] : first[i + 1]]. The line break is piece 0, without ids
+        self.pieces = {"\n": 0}
+        self.flat, self.first = np.zeros(0, np.uint32), np.zeros(2, np.int64)
+
+    def _keep(self, pieces: list[str]) -> None:
+        """Forgets all but these known pieces."""
+        numbers = self._numbers(pieces)
+        size = np.diff(self.first)[numbers]
+        ends = np.cumsum(size)
+        self.flat = self.flat[np.repeat(self.first[numbers] - ends + size, size) + np.arange(size.sum())]
+        self.first = np.concatenate(([0, 0], ends))
+        self.pieces = {"\n": 0} | dict(zip(pieces, range(1, len(pieces) + 1)))
 
     @staticmethod
     def _word_pattern(spec: dict):
@@ -62,7 +78,7 @@ class TextEncoder:
         plain = len(rest) == 1 and rest[0]["type"] == "ByteLevel" and not rest[0]["add_prefix_space"] and not rest[0]["use_regex"]
         added = all(not (a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"]) and not re.search(r"\s", a["content"]) for a in spec.get("added_tokens", []))
         split = first.get("pattern", {}).get("Regex", "")
-        if steps == ["NFC", "Replace", "Lowercase"] and removes and plain and added and r"[^\s\p{L}\p{N}]+" in split:
+        if steps == ["NFC", "Replace", "Lowercase"] and removes and plain and added and r"[^\s\p{L}\p{N}]+" in split and regex.findall(split, "a\u00e0\u024fz") == ["a\u00e0\u024fz"]:
             return regex.compile(r"\n|" + split)
         return None
 
@@ -70,38 +86,61 @@ class TextEncoder:
     def word_level(self) -> bool:
         return self.pattern is not None
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Ids of split pieces that aren't in the cache."""
-        if len(self.pieces) + len(pieces) > CACHE_PIECES:
-            self.pieces = {"\n": _MARK}
-        level, model = self.tok.pre_tokenizer, self.tok.model
-        for p in pieces:
-            if p not in self.pieces:
-                # printable ASCII stands for itself at byte level
-                seen = [p] if p.isascii() and p.isprintable() else [x for x, _ in level.pre_tokenize_str(p)]
-                self.pieces[p] = _bytes([t.id for x in seen for t in model.tokenize(x)])
-
-    def _vocabulary(self, vocab: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of the words one after the other, number of ids of each)."""
-        marked = any(a in w for a in self.added for w in ("\n".join(vocab),))
-        hard = [i for i, w in enumerate(vocab) if not _EASY(w) or marked and any(a in w for a in self.added)]
-        known = {i: self.tok.encode(vocab[i], add_special_tokens=False).ids for i in hard}
-        easy = "\n".join("" if i in known else w for i, w in enumerate(vocab)) if known else "\n".join(vocab)
-        found = self.pattern.findall(easy.lower())
-        distinct = set(found)
-        if new := distinct.difference(self.pieces):
+    def _learn(self, pieces: list[str]) -> None:
+        """Takes new split pieces into the cache."""
+        plain = [p for p in pieces if p.isalpha()]
+        ids = np.array(self.tok.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.ends[ids])
+        if len(ends) != len(plain) or len(ids) and ends[-1] != len(ids) - 1:  # no such marks
+            plain, ids, ends = [], ids[:0], ends[:0]
+        done, level, model = set(plain), self.tok.pre_tokenizer, self.tok.model
+        other = [p for p in pieces if p not in done]
+        # printable ASCII stands for itself at byte level
+        split = [[t.id for x in ([p] if p.isascii() and p.isprintable() else [x for x, _ in level.pre_tokenize_str(p)]) for t in model.tokenize(x)] for p in other]
+        size = np.concatenate([np.diff(ends, prepend=-1), np.fromiter(map(len, split), np.int64, len(split))])
+        self.pieces.update(zip(plain + other, range(len(self.pieces), len(self.pieces) + len(size))))
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(size)])
+        self.flat = np.concatenate([self.flat, ids, np.array([i for x in split for i in x], np.uint32)])
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """Cache numbers of known pieces, -1 of others."""
+        return np.fromiter(map(self.pieces.get, pieces, repeat(-1)), np.int64, len(pieces))
+
+    def _vocabulary(self, vocab: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a flat array of ids, where the ids of each word begin in it, how many they are)."""
+        rare = pc.match_substring_regex(vocab, _RARE)
+        for a in self.added:
+            rare = pc.or_(rare, pc.match_substring(vocab, a))
+        whole = pc.and_not(pc.match_substring_regex(vocab, _LETTERS), rare)
+        mixed = pc.invert(pc.or_(rare, whole))
+        at_rare, at_whole, at_mixed = (np.flatnonzero(m.to_numpy(zero_copy_only=False)) for m in (rare, whole, mixed))
+        words = _lower_joined(vocab.filter(whole)).split("\n") if len(at_whole) else []
+        split = self.pattern.findall(_lower_joined(vocab.filter(mixed)) + "\n") if len(at_mixed) else []
+        of_words, of_split = self._numbers(words), self._numbers(split)
+        sides = [(words, of_words, np.flatnonzero(of_words < 0)), (split, of_split, np.flatnonzero(of_split < 0))]
+        missing = [[all_[i] for i in at.tolist()] for all_, _, at in sides]
+        if new := set(missing[0]).union(missing[1]):
             if len(self.pieces) + len(new) > CACHE_PIECES:
-                new = distinct
-            self._learn(new)
-        flat = np.frombuffer(b"".join(map(self.pieces.__getitem__, found)), np.uint32)
-        marks = np.flatnonzero(flat == _END)
-        size = np.diff(np.concatenate(([-1], marks, [len(flat)]))) - 1
-        flat = np.delete(flat, marks)
-        if known:
-            at = np.concatenate(([0], np.cumsum(size)))[hard]
-            flat = np.insert(flat, np.repeat(at, [len(x) for x in known.values()]), np.concatenate([np.array(x, np.uint32) for x in known.values()]))
-            size[hard] = [len(x) for x in known.values()]
-        return flat, size
+                self._keep(list({*words, *split, "\n"}.difference(new, "\n")))
+                sides = [(all_, numbers, slice(None)) for all_, numbers, _ in sides]
+                missing = [words, split]
+            self._learn(list(new))
+            for (_, numbers, at), wanted in zip(sides, missing):
+                numbers[at] = self._numbers(wanted)
+        begin, many = np.zeros(len(vocab), np.int64), np.zeros(len(vocab), np.int64)
+        size = np.diff(self.first)
+        begin[at_whole], many[at_whole] = self.first[of_words], size[of_words]
+        # words of several pieces lie behind the cache's ids
+        per = size[of_split]
+        bound = np.cumsum(per)
+        got = self.flat[np.repeat(self.first[of_split] - bound + per, per) + np.arange(bound[-1] if len(bound) else 0)]
+        ends = bound[of_split == 0]
+        many[at_mixed] = np.diff(ends, prepend=0)
+        begin[at_mixed] = len(self.flat) + ends - many[at_mixed]
+        known = [self.tok.encode(w, add_special_tokens=False).ids for w in vocab.take(pa.array(at_rare)).to_pylist()]
+        many[at_rare] = np.fromiter(map(len, known), np.int64, len(known))
+        begin[at_rare] = len(self.flat) + len(got) + np.cumsum(many[at_rare]) - many[at_rare]
+        return np.concatenate([self.flat, got, np.array([i for x in known for i in x], np.uint32)]), begin, many
 
     def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts = pc.ascii_split_whitespace(texts)
@@ -110,8 +149,7 @@ class TextEncoder:
         code = coded.indices.to_numpy(zero_copy_only=False)
         if not len(code):
             return np.zeros(0, np.uint32), np.zeros(len(per_text), np.int64)
-        flat, size = self._vocabulary(coded.dictionary.to_pylist())
-        first = np.cumsum(size) - size
+        flat, first, size = self._vocabulary(coded.dictionary)
         many = size[code]
         bound = np.zeros(len(code) + 1, np.int64)
         np.cumsum(many, out=bound[1:])
