@@ -32,23 +32,26 @@ ESCAPE = (1 << 60) - 1
 HEADER = struct.Struct("<4sIQQII")
 
 
+def bit_widths(values: np.ndarray) -> np.ndarray:
+    """Bits that each value takes, 0 for 0."""
+    if values.max(initial=0) < 2**53:  # a double's exponent
+        return np.maximum((values.astype(np.float64).view(np.int64) >> 52) - 1022, 0).astype(np.uint8)
+    high = values >> np.uint64(32)
+    return np.where(high > 0, bit_widths(high) + np.uint8(32), bit_widths(values & np.uint64(0xFFFFFFFF)))
+
+
 def pack_words(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, first word of each mini-block, escaped values) of an array of uint64."""
     n = len(values)
     minis = -(-n // MINI)
     big = values >= ESCAPE
     escapes = values[big]
-    grid = np.zeros((minis, MINI + 240), np.uint64)
     body = np.zeros(minis * MINI, np.uint64)
-    body[:n] = np.where(big, np.uint64(ESCAPE), values)
+    body[:n] = np.where(big, np.uint64(ESCAPE), values) if len(escapes) else values
+    grid = np.zeros((minis, MINI + 240), np.uint64)
     grid[:, :MINI] = body.reshape(minis, MINI)
     width = np.zeros(grid.shape, np.uint8)
-    rest = grid.copy()
-    for shift in (32, 16, 8, 4, 2, 1):
-        over = rest >= np.uint64(1 << shift)
-        width += over.astype(np.uint8) * np.uint8(shift)
-        rest = np.where(over, rest >> np.uint64(shift), rest)
-    width += (rest > 0).astype(np.uint8)
+    width[:, :MINI] = bit_widths(body).reshape(minis, MINI)
     # widest value among the next c, for each count c, from windows of a power of two
     power, windows = 1, {1: width}
     while power < 128:
