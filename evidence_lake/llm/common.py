@@ -31,18 +31,16 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_in = path
+    return out
 
 
 def released(*frames: DataFrame) -> None:
     """Delete staged tables that no later step reads."""
     for df in frames:
-        jvm = df.sparkSession._jvm
-        conf = df.sparkSession._jsc.hadoopConfiguration()
-        tops = {f.rpartition("/")[0] for f in df.inputFiles()}
-        for top in tops:
-            path = jvm.org.apache.hadoop.fs.Path(top)
-            path.getFileSystem(conf).delete(path, True)
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_in)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def words(text: Column) -> Column:

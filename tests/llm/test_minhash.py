@@ -1,8 +1,10 @@
 import random
 import re
 
-from evidence_lake.llm.components import components
-from evidence_lake.llm.op3_minhash import near_duplicates
+import pytest
+
+from evidence_lake.llm.components import components, merged
+from evidence_lake.llm.op3_minhash import miss, near_duplicates
 
 
 def shingles(text):
@@ -51,10 +53,12 @@ def corpus(seed=3):
     return list(zip(ids, texts))
 
 
-def test_against_brute_force(spark):
-    rows = corpus()
+@pytest.mark.parametrize("seed", [3, 9])
+def test_against_brute_force(spark, tmp_path, seed):
+    rows = corpus(seed)
     df = spark.createDataFrame([(d, t, b"x", 1, "s") for d, t in rows], "doc_id long, text string, sig binary, n long, class string").repartition(5)
-    got = near_duplicates(df).collect()
+    df.write.parquet(str(tmp_path / "t"))
+    got = near_duplicates(spark.read.parquet(str(tmp_path / "t"))).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
 
@@ -70,11 +74,12 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {300: 300, 301: 300}
 
 
-def test_long_lists_take_the_exact_way(spark, monkeypatch):
-    from evidence_lake.llm import op3_minhash
+def test_components_of_more_edges(spark):
+    frame = lambda e: spark.createDataFrame(e, "u long, v long")
+    parts = components(frame([(2, 1), (3, 2), (11, 10), (20, 21)]))
+    got = {r.node: r.component for r in merged(parts, frame([(11, 3), (31, 30), (30, 21), (40, 41)])).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 20: 20, 21: 20, 30: 20, 31: 20, 40: 40, 41: 40}
 
-    monkeypatch.setattr(op3_minhash, "LONG_LIST", 3)
-    rows = corpus(9)
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = near_duplicates(df).collect()
-    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
+
+def test_chance_of_a_miss():
+    assert miss() < 1e-7 and miss(0.76) < miss()
