@@ -13,6 +13,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
+#: Tables of one long a row (keys) are broadcast up to so many rows: 16 MB, counted before.
+BROADCAST_ROWS = 1_000_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)

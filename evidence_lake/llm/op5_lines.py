@@ -2,12 +2,13 @@
 
 A line is dropped when an earlier line of the corpus equals it or, from LEAST_CHARS characters on, is
 one edit away (a character inserted, deleted or replaced). Equal lines are found by their digest
-alone. Distinct lines emit each variant with one character deleted, and
-themselves, as hashed keys. Lines that share a variant with the deletion at the same place differ by
-a replacement, a line that is another's variant by an insertion, so the earliest line of each key is
-found by aggregation, never by pairs; the edit distance to it is verified. Before that, lines that
-share neither a first nor a second half with another can have no neighbour and are left out: of two
-lines one edit apart, one half is the same.
+alone. Of two lines one edit apart, either the first characters are the same, up to nearly half, or the
+last ones; so a distinct line posts keys of these two ends, and where another has the same end, emits
+the variants of the rest: itself and itself without each of its characters, hashed with the end's key.
+Lines that share a variant with the deletion at the same place differ by a replacement, a line that is
+another's variant by an insertion; so the earliest line of each variant is found by windows, never by
+pairs (distinct lines of one variant are as many as a place has characters, at most); the edit distance
+to it is verified.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidence_lake.llm.common import documents, staged
+from evidence_lake.llm.common import BROADCAST_ROWS, documents, released, staged
 from evidence_lake.llm.tokens import slices
 
 #: Of shorter lines (without the white space around them) one edit says too little; only repeats of them are dropped.
@@ -28,17 +29,22 @@ NOT_BLANK = 1
 _BLANK = "\t\n\v\f\r "
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
-LINES = "doc_id long, row_key long, line int, digest binary, halves array<long>"
+LINES = "doc_id long, row_key long, line int, digest binary, ends array<long>"
+#: Lengths of the ends are multiples of it, so that lines of neighbouring lengths mostly have the same.
+STEP = 8
 
 
-def halves(line: str) -> list[int]:
-    """Keys of the first and the second half, for this length and the next: lines one edit apart share one."""
-    out = []
-    for m in (len(line), len(line) + 1):
-        first = (m - 1) // 2
-        rest = m - 1 - first
-        for kind, part in (("a", line[:first]), ("b", line[len(line) - rest :] if rest else "")):
-            out.append(xxhash.xxh3_64_intdigest(f"{kind}{m} {part}".encode("utf-8", "surrogatepass")) - (1 << 63))
+def end_size(n: int) -> int:
+    """Characters of each end of a line of n characters; two of them, and one character more, fit into it."""
+    return (n - 1) // 2 // STEP * STEP
+
+
+def ends(line: str) -> list[int]:
+    """Keys of the line's two ends; also of those of a line that is longer by one, where these are of another size."""
+    n, out = len(line), []
+    for size in dict.fromkeys((end_size(n), end_size(n + 1))):
+        for kind, part in (("a", line[:size]), ("b", line[n - size :])):
+            out.append(xxhash.xxh3_64_intdigest(f"{kind}{size} {part}".encode("utf-8", "surrogatepass")) - (1 << 63))
     return out
 
 
@@ -50,8 +56,8 @@ def _lines(batches, least_repeat: int):
                 for i, line in enumerate((text or "").split("\n")):
                     line = line.strip(_BLANK)
                     if len(line) >= least_repeat:
-                        d.append(doc), k.append(key), n.append(i), g.append(xxhash.xxh3_128_digest(line.encode())), h.append(halves(line) if len(line) >= LEAST_CHARS else [])
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.int64()), pa.array(n, pa.int32()), pa.array(g, pa.binary()), pa.array(h, pa.list_(pa.int64()))], names=["doc_id", "row_key", "line", "digest", "halves"])
+                        d.append(doc), k.append(key), n.append(i), g.append(xxhash.xxh3_128_digest(line.encode())), h.append(ends(line) if len(line) >= LEAST_CHARS else [])
+            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.int64()), pa.array(n, pa.int32()), pa.array(g, pa.binary()), pa.array(h, pa.list_(pa.int64()))], names=["doc_id", "row_key", "line", "digest", "ends"])
 
 
 def variants(line: str) -> np.ndarray:
@@ -73,13 +79,30 @@ def variants(line: str) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+def line_variants(line: str, roles: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(variants, deleted places; -1: nothing deleted) of what the line has besides its ends of these numbers (in `ends`).
+
+    The third and the fourth end are those of a longer line, whose variant only the whole line can be.
+    """
+    n, keys, out, places = len(line), ends(line), [], []
+    for r in roles:
+        size = end_size(n + (r > 1))
+        got = variants(line[: n - size] if r % 2 else line[size:])
+        got = got[:1] if r > 1 else got
+        out.append((got ^ np.uint64(keys[r] % (1 << 64))) * _BASE)
+        places.append(np.arange(-1, len(got) - 1, dtype=np.int32))
+    return np.concatenate(out), np.concatenate(places)
+
+
 def _variants(batches):
-    """variant, deleted (the place; -1: the line itself) and number of the line, for each variant."""
+    """variant, deleted and number of the line, for each variant."""
     for batch in batches:
-        for number, line in zip(batch.column("number").to_pylist(), batch.column("text").to_pylist()):
-            keys = variants(line).view(np.int64)
-            n = len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.arange(-1, n - 1, dtype=np.int32)), pa.array(np.full(n, number, np.int64))], names=["variant", "deleted", "number"])
+        for a in range(0, batch.num_rows, 512):
+            rows = batch.slice(a, 512)
+            made = [line_variants(t, r) for t, r in zip(rows.column("text").to_pylist(), rows.column("roles").to_pylist())]
+            keys, places = np.concatenate([x for x, _ in made]), np.concatenate([x for _, x in made])
+            number = np.repeat(rows.column("number").to_numpy(), [len(x) for x, _ in made])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(places), pa.array(number)], names=["variant", "deleted", "number"])
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -113,49 +136,54 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_key"), F.col(text_col).cast("string").alias("text"))
     lines = staged(own.mapInArrow(lambda batches: _lines(batches, least_repeat), LINES), "lines")
-    keyed = lines.select("digest", place().alias("p"), "halves")
-    distinct = staged(keyed.groupBy("digest").agg(F.min("p").alias("first"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("many")), "distinct-lines")
-    half = distinct.select("digest", F.explode("halves").alias("half"))
-    shared = half.groupBy("half").count().where("count > 1").select("half")
-    near = half.join(shared, "half", "left_semi").select("digest").distinct()
-    # texts of the lines that may have a neighbour, from their first places; numbers follow the order of lines
-    wanted = distinct.join(near, "digest", "left_semi").select(F.col("first.row_key").alias("row_key"), F.struct(F.col("first.line").alias("line"), "digest", F.col("first").alias("at")).alias("w"))
-    by_row = wanted.groupBy("row_key").agg(F.collect_list("w").alias("want"))  # a text's own lines
-    split = own.select("row_key", "text").join(by_row, "row_key").select(F.split("text", "\n").alias("all"), "want")
-    cut = F.transform("want", lambda w: F.struct(w["digest"].alias("digest"), w["at"].alias("at"), F.element_at("all", w["line"] + 1).alias("text")))
-    texts = split.select(F.explode(cut).alias("x")).select("x.digest", "x.at", F.regexp_replace("x.text", r"^[\t-\r ]+|[\t-\r ]+$", "").alias("text"))
-    texts = staged(texts.orderBy("at").select(F.monotonically_increasing_id().alias("number"), "digest", "text"), "line-texts")
-    made = staged(texts.select("number", "text").mapInArrow(_variants, "variant long, deleted int, number long"), "variants")
-
-    # an earlier line: with the same deletion at the same place; that is one of the line's variants; of which the line is a variant
-    groups = made.groupBy("variant", "deleted").agg(F.min("number").alias("least"), F.max("number").alias("most"))
-    replaced = groups.where("deleted >= 0 AND least < most").select("variant", "deleted", "least")
-    whole = groups.where("deleted = -1").select("variant", F.col("least").alias("shorter"))
-    longer = groups.where("deleted >= 0").groupBy("variant").agg(F.min("least").alias("longer"))
-    met = whole.join(longer, "variant")
-    witnesses = (
-        made.join(replaced, ["variant", "deleted"]).where("number > least").select("number", F.col("least").alias("witness"))
-        .union(met.where("longer < shorter").select(F.col("shorter").alias("number"), F.col("longer").alias("witness")))
-        .union(made.where("deleted >= 0").join(met.select("variant", "shorter"), "variant").where("number > shorter").select("number", F.col("shorter").alias("witness")))
-    ).distinct()
+    keyed = lines.select("digest", place().alias("p"))
+    distinct = staged(lines.select("digest", place().alias("p"), "ends").groupBy("digest").agg(F.min("p").alias("first"), F.first("ends").alias("ends"), F.count(F.lit(1)).alias("many")), "distinct-lines")
+
+    # lines that share an end with another, which has it as its own and not as that of a longer line
+    at = F.struct("first.row_key", "first.line")
+    end = distinct.select(at.alias("at"), F.posexplode("ends").alias("role", "end"))
+    shared = end.groupBy("end").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("role") < 2).alias("own")).where("n > 1 AND own > 0").select("end")
+    roles = end.join(shared, "end", "left_semi").groupBy("at").agg(F.collect_set("role").alias("roles"))  # four at most
+    near = distinct.select("digest", "first", at.alias("at")).join(roles, "at")
+    near = staged(near.select("digest", "first", F.sort_array("roles").alias("roles")), "near-lines")
+    near = near.orderBy("first").select(F.monotonically_increasing_id().alias("number"), "digest", "first", "roles")  # numbers follow the order of lines
+    by_row = near.groupBy(F.col("first.row_key").alias("row_key")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "number", "digest", "roles")).alias("want"))  # a text's own lines
+    by_row = staged(by_row, "wanted-lines")
+    having = own.select("row_key", "text")
+    if by_row.count() <= BROADCAST_ROWS:
+        having = having.join(F.broadcast(by_row.select("row_key")), "row_key", "left_semi")
+    split = having.join(by_row, "row_key").select(F.split("text", "\n").alias("all"), "want")
+    cut = F.transform("want", lambda w: F.struct(w["digest"].alias("digest"), w["number"].alias("number"), w["roles"].alias("roles"), F.element_at("all", w["line"] + 1).alias("text")))
+    texts = split.select(F.explode(cut).alias("x")).select("x.digest", "x.number", "x.roles", F.regexp_replace("x.text", r"^[\t-\r ]+|[\t-\r ]+$", "").alias("text"))
+    texts = staged(texts, "line-texts")
+    made = texts.select("number", "text", "roles").mapInArrow(_variants, "variant long, deleted int, number long").repartition("variant")
+
+    # an earlier line: with the same deletion at the same place; of which the line is a variant; that is one of the line's variants
+    same, group = Window.partitionBy("variant", "deleted"), Window.partitionBy("variant")
+    met = made.withColumn("replaced", F.min("number").over(same))
+    met = met.withColumn("whole", F.min(F.when(F.col("deleted") < 0, F.col("number"))).over(group)).withColumn("longer", F.min(F.when(F.col("deleted") >= 0, F.col("number"))).over(group))
+    earlier = F.when(F.col("deleted") < 0, F.array("longer")).otherwise(F.array("replaced", "whole"))
+    witnesses = met.select("number", F.explode(earlier).alias("witness")).where("witness < number").distinct()
     sides = witnesses.join(texts.select("number", "text"), "number").join(texts.select(F.col("number").alias("witness"), F.col("text").alias("other")), "witness")
     edited = sides.select("number", "text", "other").mapInArrow(_verified, "number long").distinct()
     near_dropped = texts.join(edited, "number", "left_semi").select("digest", F.lit(True).alias("near"))
 
-    verdict = distinct.join(near_dropped, "digest", "left").where("many > 1 OR near").select("digest", "first", "near")
-    out = keyed.select("digest", "p").join(verdict, "digest").where(F.col("near") | (F.col("p.row_key") != F.col("first.row_key")) | (F.col("p.line") != F.col("first.line")))
+    verdict = distinct.select("digest", "first", "many").join(near_dropped, "digest", "left").where("many > 1 OR near")
+    verdict = staged(verdict.select("digest", F.col("first.row_key").alias("first_row"), F.col("first.line").alias("first_line"), "near"), "line-verdicts")
+    released(distinct, by_row, texts)
+    out = keyed.join(verdict, "digest").where(F.col("near") | (F.col("p.row_key") != F.col("first_row")) | (F.col("p.line") != F.col("first_line")))
     return out.groupBy(F.col("p.row_key").alias("row_key")).agg(F.first("p.doc_id").alias("doc_id"), F.sort_array(F.collect_list("p.line")).alias("dropped"))  # a text's own lines
 
 
 def without_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", least_repeat: int = LEAST_CHARS) -> DataFrame:
-    """docs (a stable table) with the dropped lines cut out of the text; rows of which no word is left go, rows without lines to drop stay as they are."""
+    """docs (a stable table) with the dropped lines cut out of the text; rows of which no word is left go, rows without lines to drop stay as they are; other columns keep names and values."""
     cols = docs.columns
     drops = dropped_lines(docs, id_col, text_col, least_repeat).select("row_key", "dropped")
     own = docs.select(F.struct(*[F.col(c) for c in cols]).alias("row"), F.monotonically_increasing_id().alias("row_key")).join(drops, "row_key", "left")
     left = F.filter(F.split(F.col("row")[text_col], "\n"), lambda x, i: ~F.array_contains("dropped", i))
     text = F.when(F.col("dropped").isNull(), F.col("row")[text_col]).otherwise(F.array_join(left, "\n"))
-    out = own.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in cols], F.col("dropped").isNull().alias("_whole"))
-    return out.where(F.col("_whole") | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(*cols)
+    out = own.select("row", F.col("dropped").isNull().alias("whole"), text.alias("left")).where(F.col("whole") | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(*[F.col("left").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in cols])
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

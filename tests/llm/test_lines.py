@@ -24,11 +24,29 @@ def distance_one(a, b):
 @given(st.text("abé", max_size=9), st.text("abé", max_size=9))
 def test_neighbours_share_halves_and_variants(a, b):
     assert o.one_edit(a, b) == distance_one(a, b)
-    if a and b and distance_one(a, b):
-        assert set(o.halves(a)) & set(o.halves(b))
+    if distance_one(a, b):
         assert set(o.variants(a).tolist()) & set(o.variants(b).tolist())
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.integers(1, 60), st.integers(0, 59), st.sampled_from("idr"), st.data())
+def test_neighbours_share_an_end_and_a_variant_there(n, at, what, data):
+    a = data.draw(st.text("ab", min_size=n, max_size=n))
+    i = at % n
+    b = {"i": a[:i] + "#" + a[i:], "d": a[:i] + a[i + 1 :], "r": a[:i] + "#" + a[i + 1 :]}[what]
+    if not b:
+        return
+    keys, other = o.ends(a), o.ends(b)
+    both = [(r, other.index(k)) for r, k in enumerate(keys) if k in other and min(r, other.index(k)) < 2]
+    assert both
+    mine, his = (set(zip(*(x.tolist() for x in o.line_variants(x, roles)))) for x, roles in ((a, [r for r, _ in both]), (b, [q for _, q in both])))
+    if what == "r":
+        assert mine & his
+    else:
+        wholes = {v for v, p in mine if p < 0} & {v for v, p in his if p >= 0} | {v for v, p in his if p < 0} & {v for v, p in mine if p >= 0}
+        assert wholes
+
+
 def edit(rng, line, times):
     for _ in range(times):
         i = rng.randrange(len(line))
