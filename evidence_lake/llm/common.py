@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,14 +18,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
+#: Arrow batches for Python workers hold about so many bytes at most (and a row at least).
+BATCH_BYTES = 16 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Tables of one long a row (keys) are broadcast up to so many rows: 16 MB, counted before.
 BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a session of one process (tests) gets a temporary one; on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="evidence_lake_")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -47,6 +57,27 @@ def released(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _tidied(batches, f: Callable):
+    """f's batches; then memory that the task no longer uses goes back to the system, as workers stay for later stages."""
+    try:
+        yield from f(batches)
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
+def in_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
+    """df.mapInArrow(f, schema) with batches bounded by bytes, and with tidy workers."""
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH_CONF).rstrip("b")) > BATCH_BYTES:
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
+    return df.mapInArrow(lambda batches: _tidied(batches, f), schema)
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidence_lake.llm import tokens
-from evidence_lake.llm.common import documents, staged
+from evidence_lake.llm.common import documents, in_arrow, staged
 
 MAGIC = b"ELS8"
 MINI = 1024
@@ -176,7 +176,7 @@ def written(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = own.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    return staged(dealt.mapInArrow(run, "shard long, record long, before long, n_ids long, body binary"), "token-file")
+    return staged(dealt.transform(in_arrow, run, "shard long, record long, before long, n_ids long, body binary"), "token-file")
 
 
 def read_back(file: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def read_back(file: DataFrame) -> DataFrame:
                 )
 
     rows = file.join(F.broadcast(base), "shard").select((F.col("base") + F.col("before")).alias("first"), "body")
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.transform(in_arrow, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:

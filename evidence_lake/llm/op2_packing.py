@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidence_lake.llm import tokens
-from evidence_lake.llm.common import documents, staged
+from evidence_lake.llm.common import documents, in_arrow, staged
 
 SEQUENCE_TOKENS = 2048
 STAGED = "part long, doc_id long, at long, n long, ids binary"
@@ -38,7 +38,7 @@ def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             at += int(ends[-1])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return staged(own.mapInArrow(run, STAGED), "tokenised")
+    return staged(own.transform(in_arrow, run, STAGED), "tokenised")
 
 
 def global_offsets(parts: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_lake.llm.common import documents, released, staged
+from evidence_lake.llm.common import documents, in_arrow, released, staged
 from evidence_lake.llm.components import components, merged
 from evidence_lake.llm.tokens import slices
 
@@ -124,7 +124,7 @@ def _links(pairs: DataFrame, held: DataFrame) -> DataFrame:
     near = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v")
     near = near.where((100 * F.least("a_n", "b_n") >= SIMILAR * F.greatest("a_n", "b_n")) & (F.size(F.array_intersect("a_sig", "b_sig")) >= MATCHES))
     cells = lambda x, c: held.select(F.col("class").alias(x), F.col("cells").alias(c))
-    return near.select("u", "v").join(cells("u", "a"), "u").join(cells("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(_confirmed, "u long, v long")
+    return near.select("u", "v").join(cells("u", "a"), "u").join(cells("v", "b"), "v").select("u", "v", "a", "b").transform(in_arrow, _confirmed, "u long, v long")
 
 
 def _across(lists: DataFrame, parts: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def _rare_shingles(classes: DataFrame, held: DataFrame) -> DataFrame:
 
     Shingles of one class come first and need no posting; a class with enough of them posts nothing.
     """
-    every = held.select("class", "cells").join(classes, "class", "left_semi").mapInArrow(_shingles, "class long, key long, n long")
+    every = held.select("class", "cells").join(classes, "class", "left_semi").transform(in_arrow, _shingles, "class long, key long, n long")
     shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     own = every.join(shared, "key").groupBy("class").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("many", "key"))).alias("keys"))  # one set
     alone = F.col("n") - F.size("keys")
@@ -195,7 +195,7 @@ def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs must be a stable table (files): row_key is monotonically_increasing_id over it.
     """
     rows = keyed(docs, id_col, text_col)
-    found = staged(rows.mapInArrow(_features, "row_key long, doc_id long, n_shingles long, digest binary, sig array<long>"), "signatures", "snappy")
+    found = staged(rows.transform(in_arrow, _features, "row_key long, doc_id long, n_shingles long, digest binary, sig array<long>"), "signatures", "snappy")
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row_key")
     grouped = found.where("digest IS NOT NULL").groupBy("digest").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = staged(grouped.select("digest", F.col("place.row_key").alias("class"), "place", "copies", "n", "sig"), "classes", "snappy")
@@ -220,7 +220,7 @@ def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     ids = stars.select(F.explode(F.array("u", "v")).alias("class")).distinct()
     texts = near.join(ids, "class", "left_semi").join(rows.select(F.col("row_key").alias("class"), "text"), "class")
-    held = staged(texts.select("class", "n", "sig", "text").mapInArrow(_sets, "class long, n long, sig array<long>, cells binary"), "held-classes", "snappy")
+    held = staged(texts.select("class", "n", "sig", "text").transform(in_arrow, _sets, "class long, n long, sig array<long>, cells binary"), "held-classes", "snappy")
     links = staged(_links(stars, held), "links")
     parts = components(links)
 

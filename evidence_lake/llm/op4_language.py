@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidence_lake.llm.common import documents
+from evidence_lake.llm.common import documents, in_arrow
 from evidence_lake.llm.tokens import slices
 
 #: Bounds of the sample the model is fitted on, and of the model.
@@ -210,7 +210,7 @@ def known_shares(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
                 good = [i for i, (p, x) in enumerate(zip(pred, rows.column("lang").to_pylist())) if p == x and n[i]]
                 yield pa.RecordBatch.from_arrays([pa.array([pred[i] for i in good], pa.string()), pa.array(known[good] / n[good])], names=["lang", "share"])
 
-    shares = _sampled(own, usable.where(held_out(F.col("doc_id")))).mapInArrow(run, "lang string, share double")
+    shares = _sampled(own, usable.where(held_out(F.col("doc_id")))).transform(in_arrow, run, "lang string, share double")
     return {r[0]: r[1] for r in shares.groupBy("lang").agg(F.median("share")).collect()}
 
 
@@ -244,7 +244,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", least: dict[
                     more = [pa.array(is_typical(n, known, np.array([least.get(x, 0.0) for x in lang])), pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lang, pa.string()), pa.array(score), *more], names=[*rows.schema.names, *schema.names[len(fields) :]])
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(in_arrow, run, schema)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

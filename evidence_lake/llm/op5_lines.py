@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidence_lake.llm.common import BROADCAST_ROWS, documents, released, staged
+from evidence_lake.llm.common import BROADCAST_ROWS, documents, in_arrow, released, staged
 from evidence_lake.llm.tokens import slices
 
 #: Of shorter lines (without the white space around them) one edit says too little; only repeats of them are dropped.
@@ -135,7 +135,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Extra columns are ignored.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_key"), F.col(text_col).cast("string").alias("text"))
-    lines = staged(own.mapInArrow(lambda batches: _lines(batches, least_repeat), LINES), "lines")
+    lines = staged(own.transform(in_arrow, lambda batches: _lines(batches, least_repeat), LINES), "lines")
     keyed = lines.select("digest", place().alias("p"))
     distinct = staged(lines.select("digest", place().alias("p"), "ends").groupBy("digest").agg(F.min("p").alias("first"), F.first("ends").alias("ends"), F.count(F.lit(1)).alias("many")), "distinct-lines")
 
@@ -156,7 +156,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     cut = F.transform("want", lambda w: F.struct(w["digest"].alias("digest"), w["number"].alias("number"), w["roles"].alias("roles"), F.element_at("all", w["line"] + 1).alias("text")))
     texts = split.select(F.explode(cut).alias("x")).select("x.digest", "x.number", "x.roles", F.regexp_replace("x.text", r"^[\t-\r ]+|[\t-\r ]+$", "").alias("text"))
     texts = staged(texts, "line-texts")
-    made = texts.select("number", "text", "roles").mapInArrow(_variants, "variant long, deleted int, number long").repartition("variant")
+    made = texts.select("number", "text", "roles").transform(in_arrow, _variants, "variant long, deleted int, number long").repartition("variant")
 
     # an earlier line: with the same deletion at the same place; of which the line is a variant; that is one of the line's variants
     same, group = Window.partitionBy("variant", "deleted"), Window.partitionBy("variant")
@@ -165,7 +165,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     earlier = F.when(F.col("deleted") < 0, F.array("longer")).otherwise(F.array("replaced", "whole"))
     witnesses = met.select("number", F.explode(earlier).alias("witness")).where("witness < number").distinct()
     sides = witnesses.join(texts.select("number", "text"), "number").join(texts.select(F.col("number").alias("witness"), F.col("text").alias("other")), "witness")
-    edited = sides.select("number", "text", "other").mapInArrow(_verified, "number long").distinct()
+    edited = sides.select("number", "text", "other").transform(in_arrow, _verified, "number long").distinct()
     near_dropped = texts.join(edited, "number", "left_semi").select("digest", F.lit(True).alias("near"))
 
     verdict = distinct.select("digest", "first", "many").join(near_dropped, "digest", "left").where("many > 1 OR near")

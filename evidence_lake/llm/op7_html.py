@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidence_lake.llm.common import in_arrow
+
 #: Pages the weights are fitted on, the smallest by the hash of page_id and url.
 LABELLED = 2000
 WORD_RANGE = (0.1, 3.0)
@@ -177,7 +179,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_co
         names = sorted({*inside, *outside})
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([inside[x] for x in names], pa.int64()), pa.array([outside[x] for x in names], pa.int64())], names=["name", "inside", "outside"])
 
-    rows = share.select("html").mapInArrow(run, "name string, inside long, outside long").groupBy("name").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).collect()  # tag names
+    rows = share.select("html").transform(in_arrow, run, "name string, inside long, outside long").groupBy("name").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).collect()  # tag names
     return log_odds(Counter({r[0]: r[1] for r in rows}), Counter({r[0]: r[2] for r in rows}))
 
 
@@ -196,7 +198,7 @@ def extract(pages: DataFrame, weights: dict[str, float], id_col: str = "page_id"
             text = [main_text(x, weights) for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return own.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return own.transform(in_arrow, run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:

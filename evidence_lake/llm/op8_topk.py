@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidence_lake.llm.common import staged
+from evidence_lake.llm.common import in_arrow, staged
 
 SCALE = 64.0
 LISTS = 4
@@ -129,11 +129,11 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     table: no rows. Extra columns are ignored.
     """
     own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    blocks = staged(own.mapInArrow(lambda b: _quantised(b, every, BLOCK_ROWS), BLOCKS), "vector-blocks")
+    blocks = staged(own.transform(in_arrow, lambda b: _quantised(b, every, BLOCK_ROWS), BLOCKS), "vector-blocks")
     n_queries = blocks.agg(F.sum("n_queries")).first()[0] or 0
     asked = blocks.where("n_queries > 0").select("block", "dim", "n", "ids", "cells")
     asked = asked.repartition(max(1, -(-n_queries // (4 * QUERY_ROWS))))
-    q_blocks = staged(asked.mapInArrow(lambda b: _queries(b, every, QUERY_ROWS), "q_block long, dim int, q_n int, q_ids binary, q_home binary, q_at binary, q_cells binary"), "query-blocks")
+    q_blocks = staged(asked.transform(in_arrow, lambda b: _queries(b, every, QUERY_ROWS), "q_block long, dim int, q_n int, q_ids binary, q_home binary, q_at binary, q_cells binary"), "query-blocks")
     # each query block goes to each block of its dimension: one row a pair of blocks, never a pair of vectors
     places = blocks.groupBy("dim").agg(F.collect_list("block").alias("all_blocks"))
 
@@ -159,7 +159,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
                     [pa.array(np.full(len(q), r["q_block"])), pa.array(np.arange(len(q), dtype=np.int32)), pa.array(kth)], names=["q_block", "q_row", "kth"]
                 )
 
-    local = paired(q_blocks).mapInArrow(lists, "q_block long, q_row int, kth long")
+    local = paired(q_blocks).transform(in_arrow, lists, "q_block long, q_row int, kth long")
     cutoff = local.groupBy("q_block", "q_row").agg(F.max("kth").alias("cutoff")).groupBy("q_block").agg(F.sort_array(F.collect_list(F.struct("q_row", "cutoff"))).alias("cutoffs"))
     ready = staged(q_blocks.join(cutoff, "q_block").withColumn("cutoffs", F.col("cutoffs.cutoff")), "query-cutoffs")
 
@@ -187,7 +187,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
                     names=["q_block", "q_row", "query_id", "vec_id", "score"],
                 )
 
-    found = paired(ready).mapInArrow(resolve, "q_block long, q_row int, query_id long, vec_id long, score long")
+    found = paired(ready).transform(in_arrow, resolve, "q_block long, q_row int, query_id long, vec_id long, score long")
     best = Window.partitionBy("q_block", "q_row").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

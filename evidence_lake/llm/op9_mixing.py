@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_lake.llm.common import WORD, documents, staged
+from evidence_lake.llm.common import WORD, documents, in_arrow, staged
 
 #: Weights of the sources in code-point order, null last, repeating.
 WEIGHTS = (3, 1, 2)
@@ -147,9 +147,9 @@ def mix(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str =
     table = F.broadcast(table) if len(plan) <= BROADCAST_SOURCES else table
     same = sizes["source"].eqNullSafe(table["name"])
     first = sizes.join(table.select("name", "fraction"), same).select("doc_id", "row_key", "source", "size", F.when(F.col("size") > 0, F.col("fraction")).otherwise(0.0).alias("p"))
-    one = staged(first.mapInArrow(_flight(False, seed), OUT), "flight")
+    one = staged(first.transform(in_arrow, _flight(False, seed), OUT), "flight")
     open_ = one.where("p > 0 AND p < 1").repartition("source").sortWithinPartitions("source", "row_key")
-    decided = one.where("p = 0 OR p = 1").unionByName(open_.mapInArrow(_flight(True, seed), OUT))
+    decided = one.where("p = 0 OR p = 1").unionByName(open_.transform(in_arrow, _flight(True, seed), OUT))
     out = decided.join(table, decided["source"].eqNullSafe(table["name"]))
     taken = (F.col("size") * (F.col("whole") + F.col("p").cast("long"))).alias("taken")
     return out.select("doc_id", *(["row_key"] if keys else []), "size", "source_size", "target", taken)

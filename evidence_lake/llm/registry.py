@@ -11,7 +11,7 @@ from evidence_lake.llm.op2_packing import op2_packing
 from evidence_lake.llm.op3_minhash import op3_minhash
 from evidence_lake.llm.op4_language import op4_language
 from evidence_lake.llm.op5_lines import op5_lines
-from evidence_lake.llm.op6_substring import op6_substring
+from evidence_lake.llm.op6_substring import op6_substring, substring_repeats_inside
 from evidence_lake.llm.op7_html import op7_html
 from evidence_lake.llm.op8_topk import OP8_SQL, op8_topk
 from evidence_lake.llm.op9_mixing import op9_mixing
@@ -28,5 +28,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_mixing": op9_mixing,
     "op10_token_file": op10_token_file,
+    "substring_repeats_inside": substring_repeats_inside,
 }
 ORACLE_SQL: dict[str, str] = {"op1_quality": OP1_SQL, "op8_topk": OP8_SQL}

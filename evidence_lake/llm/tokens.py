@@ -170,7 +170,7 @@ class TextEncoder:
         return (np.concatenate([np.array(x, np.uint32) for x in ids]) if ids else np.zeros(0, np.uint32)), size
 
 
-def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about most_bytes of text each."""
     size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     run = np.cumsum(size) // most_bytes

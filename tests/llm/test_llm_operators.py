@@ -133,6 +133,7 @@ def test_repeated_passages(spark, tmp_path):
     rows += [doc(200, None), doc(201, ""), doc(202, "short"), doc(300, rows[0][1]), doc(None, rows[1][1])]
     got = op6_substring.repeated_spans(saved(spark, tmp_path, rows, DOCS)).collect()
     assert {r.doc_id for r in got} == {2, 3, 4, 5, 6, 7, 8, 300, None}
+    assert all(r.n_chunks > 0 for r in got)
     texts = {r[0]: r[1] for r in rows}
     for r in got:
         if r.doc_id not in (None, 300):
@@ -140,6 +141,38 @@ def test_repeated_passages(spark, tmp_path):
     assert op6_substring.repeated_spans(saved(spark, tmp_path, [], DOCS, 1)).count() == 0
 
 
+def brute_spans(rows, inside, least=op6_substring.LEAST_BYTES):
+    seen, out = {}, []
+    for n, (doc_id, text, *_) in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))):
+        raw = (text or "").encode()
+        ends = op6_substring.cuts(np.frombuffer(raw, np.uint8)) if raw else []
+        runs, last = [], None
+        for i, (a, b) in enumerate(zip([0, *ends], ends)):
+            origin = seen.setdefault(raw[a:b], (n, doc_id))
+            fresh = origin[0] == n and (not inside or raw[a:b] not in {raw[x:y] for x, y in zip([0, *ends][:i], ends[:i])})
+            if not fresh:
+                if last == i - 1:
+                    runs[-1][1] += b - a
+                    runs[-1][2] += 1
+                else:
+                    runs.append([a, b - a, 1, origin[1]])
+                last = i
+        out += [(doc_id, *r) for r in runs if r[1] >= least]
+    return out
+
+
+def test_repeats_against_brute_force(spark, tmp_path):
+    rng = random.Random(21)
+    text = lambda n: " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    passages = [text(50) for _ in range(4)]
+    rows = [doc(i, " ".join(rng.choice(passages) if rng.random() < 0.4 else text(12) for _ in range(rng.randrange(1, 9)))) for i in range(60)]
+    rows += [doc(99, None), doc(98, ""), doc(97, "spam " * 4000), doc(None, passages[0] + "é" * 900)]
+    df = saved(spark, tmp_path, rows, DOCS)
+    for inside in (False, True):
+        got = [(r.doc_id, r.start, r.length, r.n_chunks, r.first_doc_id) for r in op6_substring.repeated_spans(df, inside=inside).collect()]
+        assert sorted(got, key=str) == sorted(brute_spans(rows, inside), key=str)
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href="/x">Menu one</a></li><li><a>two</a></li></ul></nav>
 <div class="cookie-notice">We use cookies here</div><article><h1>Main  head</h1><p>First &amp; <b>bold</b>&nbsp;words of it<br>go on
 here.</p><div class="ad">Buy this now</div><p>Second &lt;para&gt; é.</p><form><label>Name</label><input></form><div id="comments"><p>A comment that is long enough</p></div></article>
