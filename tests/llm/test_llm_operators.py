@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from evidence_lake.llm import op1_quality, op4_language, op6_substring, op7_html, op8_topk, op9_mixing
@@ -242,7 +243,12 @@ def test_targets():
     assert all(x <= 2 * s + 1e-9 for x, s in zip(t, [10, 1000, 5, 0]))
 
 
-def test_mixing(spark, tmp_path):
+def order_of(df):
+    rows = df.groupBy("source").agg(F.sum(F.size(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != ""))).alias("n")).collect()
+    return sorted(rows, key=lambda r: (r.source is None, (r.source or "").encode()))
+
+
+def test_mixing(spark, tmp_path, monkeypatch):
     rng = random.Random(8)
     rows = [doc(rng.randrange(900), "w " * rng.randrange(0, 60), "en", rng.choice(["b", "a", "é", None, "a", "a"])) for _ in range(1500)]
     rows += [doc(None, None, "en", "a"), doc(5, "", None, None), doc(7, "x " * 4000, "en", "b")]
@@ -253,9 +259,21 @@ def test_mixing(spark, tmp_path):
     for (total, target), g in out.groupby(["source_size", "target"]):
         assert g["size"].sum() == total and abs(g["taken"].sum() - target) <= g["size"].max()
     assert ((out["taken"] == 0) | (out["taken"] % out["size"].clip(lower=1) == 0)).all() and (out["taken"] <= 2 * out["size"]).all()
-    again = op9_mixing.mix(df).toPandas()
-    key = ["doc_id", "size", "source_size", "taken"]
-    assert out[key].sort_values(key).values.tolist() == again[key].sort_values(key).values.tolist() or np.array_equal(out[key].fillna(-1).sort_values(key), again[key].fillna(-1).sort_values(key))
+    assert op9_mixing.targets([r.n for r in order_of(df)]) == pytest.approx([out[out["source_size"] == r.n]["target"].iloc[0] for r in order_of(df)])
+    # another order, partitioning and file layout give the same mix
+    key = ["doc_id", "size", "source_size", "target", "taken"]
+    sort = lambda x: sorted(map(tuple, x[key].fillna(-1).values.tolist()))
+    df.orderBy(F.desc("size"), F.rand(3)).repartition(7).write.parquet(str(tmp_path / "other"))
+    monkeypatch.setattr(op9_mixing, "BUCKET_ROWS", 100)
+    few = sort(op9_mixing.mix(df).toPandas())
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert sort(op9_mixing.mix(spark.read.parquet(str(tmp_path / "other"))).toPandas()) == few
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    for (total, target), g in op9_mixing.mix(df).toPandas().groupby(["source_size", "target"]):
+        assert abs(g["taken"].sum() - target) <= g["size"].max()
+    monkeypatch.undo()
     n = sum(t // s for s, t in zip(out["size"], out["taken"]) if s)
     assert op9_mixing.mixed_rows(df).count() == n and op9_mixing.mixed_rows(df).columns == df.columns
     assert op9_mixing.mix(saved(spark, tmp_path, [], DOCS, 1)).count() == 0
@@ -263,11 +281,15 @@ def test_mixing(spark, tmp_path):
 
 def test_flight_keeps_totals():
     rng = random.Random(0)
-    units = [[0.37, rng.randrange(1, 50), "s", None, None] for _ in range(2000)]
-    want = sum(p * n for p, n, *_ in units)
-    out = list(op9_mixing.fly([list(u) for u in units], True, rng))
-    assert {u[0] for u in out} == {0.0, 1.0}
-    assert abs(sum(u[0] * u[1] for u in out) - want) <= 50 and abs(sum(u[0] for u in out) - 740) <= 2
+    rows = [(i, i, "s", rng.randrange(1, 50), i // 700, i, 0.37) for i in range(2000)]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=op9_mixing.NAMES)
+    got = [r for b in op9_mixing._flight(False, 1)(iter([batch(rows[:900]), batch(rows[900:])])) for r in zip(*b.to_pydict().values())]
+    open_ = [r for r in got if 0 < r[-1] < 1]
+    assert len(got) == 2000 and len(open_) <= 6
+    out = [r for r in got if r[-1] in (0.0, 1.0)] + [r for b in op9_mixing._flight(True, 1)(iter([batch(open_)])) for r in zip(*b.to_pydict().values())]
+    assert {r[-1] for r in out} == {0.0, 1.0} and len(out) == 2000
+    want = sum(0.37 * r[3] for r in rows)
+    assert abs(sum(r[-1] * r[3] for r in out) - want) <= 50 and abs(sum(r[-1] for r in out) - 740) <= 2
 
 
 def test_arrow_split_keeps_words():
