@@ -2,8 +2,11 @@
 
 A page is a sequence of words (positive) and tags (negative). The weights are log-odds of each token
 inside and outside the marked article of labelled pages, those that have exactly one article or main
-element; a linear scan finds the run of the largest sum, and the text is what it holds, out to the
-edges of the blocks it begins and ends in, without parts that are never content.
+element. The class, id and role names of the elements around a word add theirs, learned likewise from
+the words inside such elements; a name of the parts that aren't content (PARTS) has a prior against it,
+as marked articles hold such parts, too. Words of a negative score, and those in elements
+that by HTML's own meaning aren't content (APART), are left out. A linear scan finds the run of the
+largest sum; the text is what it holds, out to the edges of the blocks it begins and ends in.
 """
 
 from __future__ import annotations
@@ -22,45 +25,54 @@ from evidence_lake.llm.common import in_arrow
 #: Pages the weights are fitted on, the smallest by the hash of page_id and url.
 LABELLED = 2000
 WORD_RANGE = (0.1, 3.0)
-TAG_RANGE = (-6.0, -0.1)
+TAG_RANGE = (-2.5, -0.1)
 
 MARKED = frozenset("article main".split())
-RAW = frozenset("script style noscript template textarea svg iframe object canvas math select title".split())
+RAW = frozenset("script style noscript template textarea svg iframe object canvas select title".split())
 APART = frozenset("nav footer aside form button dialog menu head header".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: class, id or role words of parts that aren't content.
-ASIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets related recommended share sharing social comment comments commentlist reply replies respond discussion disqus footer header masthead subscribe newsletter signup login search form pagination pager complementary contentinfo".split()
-)
+#: Names of the parts that the text is to be without, and the log-odds they start from.
+PARTS = frozenset("menu nav navbar navigation footer sidebar notice cookie cookies ad ads advert advertisement banner comment comments".split())
+PRIOR = -8.0
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:[!?/]?)([a-zA-Z][^\s/>]*)?((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(?:[!?/]?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 GAP = re.compile(r"[\s ]+")
 
 
-def is_aside(attrs: str) -> bool:
+def is_part(name: str) -> bool:
+    """Whether a class, id or role name begins or ends with a part's name."""
+    words = re.split(r"[_-]+", name)
+    return words[0] in PARTS or words[-1] in PARTS
+
+
+def attributes(attrs: str) -> tuple[list[str], bool]:
+    """(class, id and role names of an element, whether it is hidden)."""
+    names, hidden = [], False
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" and not value or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id", "role") and not ASIDE_WORDS.isdisjoint(re.split(r"[\s_-]+", value)):
-            return True
-    return False
+        if name in ("class", "id", "role"):
+            names += value.split()
+        else:
+            hidden |= name == "hidden" and not value or name == "aria-hidden" and value == "true"
+    return names, hidden
 
 
 def tokens(page: str) -> list[tuple]:
-    """('text', text, apart, marked) and ('tag', name, is_end, apart, marked); marked: depth and number of the article around."""
+    """('text', text, names, apart, region) and ('tag', name, region): names of the elements around, whether an APART one is, the number of the article around (0: none)."""
     out, at, n = [], 0, len(page)
-    stack: list[tuple[str, bool]] = []  # open elements that matter: (name, apart)
+    stack: list[tuple[str, bool, int]] = []  # open elements: (name, apart, names before it)
+    names: list[str] = []
+    around: tuple[str, ...] = ()
     apart = marked = region = 0
     low = None
     while at < n:
         m = TAG.search(page, at)
         end = m.start() if m else n
         if end > at:
-            out.append(("text", page[at:end], apart, region if marked else 0))
+            out.append(("text", page[at:end], around, apart > 0, region if marked else 0))
         if not m:
             break
         at = m.end()
@@ -68,19 +80,20 @@ def tokens(page: str) -> list[tuple]:
         if not name or m[0].startswith(("<!", "<?")):
             continue
         name = name.lower()
-        closing = m[0].startswith("</")
-        if closing:
+        if m[0].startswith("</"):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    for what, was in stack[i:]:
+                    for what, was, _ in stack[i:]:
                         apart -= was
                         marked -= what in MARKED
+                    del names[stack[i][2] :]
                     del stack[i:]
+                    around = tuple(names)
                     break
-            out.append(("tag", name, True, apart, region if marked else 0))
+            out.append(("tag", name, region if marked else 0))
             continue
         attrs = m[2] if m[1] else m[4] or ""
-        out.append(("tag", name, False, apart, region if marked else 0))
+        out.append(("tag", name, region if marked else 0))
         if name in VOID or attrs.rstrip().endswith("/"):
             continue
         if name in RAW:
@@ -90,19 +103,23 @@ def tokens(page: str) -> list[tuple]:
             close = low.find(f"</{name}", at)
             at = n if close < 0 else (page.find(">", close) + 1 or n)
             continue
-        own = name in APART and not (name == "header" and marked) or name not in ("html", "body", *MARKED) and is_aside(attrs)
+        own, hidden = attributes(attrs) if attrs else ([], False)
+        off = hidden or name in APART and not (name == "header" and marked)
         if name in MARKED and not apart:
             region += not marked
             marked += 1
         elif name in MARKED:
             name = "div"
-        stack.append((name, own))
-        apart += own
+        stack.append((name, off, len(names)))
+        apart += off
+        if own:
+            names += own
+            around = tuple(names)
     return out
 
 
 def labels(page: str) -> tuple[Counter, Counter] | None:
-    """Tokens inside and outside the article of a page that marks exactly one; None for others."""
+    """Tokens inside and outside the article of a page that marks exactly one, names ('@') by the words in their elements; None for others."""
     got = tokens(page)
     if {t[-1] for t in got} - {0} != {1}:
         return None
@@ -110,18 +127,27 @@ def labels(page: str) -> tuple[Counter, Counter] | None:
     for t in got:
         side = inside if t[-1] else outside
         if t[0] == "text":
-            side["text"] += len(t[1].split())
+            n = len(t[1].split())
+            side["text"] += n
+            for name in {*t[2]}:
+                side["@" + name] += n
         else:
             side[t[1]] += 1
     return inside, outside
 
 
 def log_odds(inside: Counter, outside: Counter) -> dict[str, float]:
-    """Weights: words within WORD_RANGE, tags within TAG_RANGE; '' is the weight of tags not seen."""
-    n_in, n_out = sum(inside.values()) + 1, sum(outside.values()) + 1
-    raw = {k: math.log((inside[k] + 0.5) / n_in) - math.log((outside[k] + 0.5) / n_out) for k in {*inside, *outside, "text"}}
+    """Weights: words within WORD_RANGE, tags within TAG_RANGE, names ('@'); '' is the weight of tags not seen."""
+    every = {*inside, *outside, "text"}
+    kinds = [k for k in every if k[0] != "@"]
+    n_in, n_out = (sum(c[k] for k in kinds) + 1 for c in (inside, outside))
+    raw = {k: math.log((inside[k] + 0.5) / n_in) - math.log((outside[k] + 0.5) / n_out) for k in kinds}
     out = {k: min(max(v, TAG_RANGE[0]), TAG_RANGE[1]) for k, v in raw.items()}
     out["text"] = min(max(raw["text"] if len(raw) > 1 else 1.0, WORD_RANGE[0]), WORD_RANGE[1])
+    w_in, w_out = inside["text"] + 1, outside["text"] + 1
+    share = w_in / (w_in + w_out)  # one word more for each name, dealt out as all words are
+    for k in every.difference(kinds):
+        out[k] = math.log((inside[k] + share) / w_in) - math.log((outside[k] + 1 - share) / w_out) + (PRIOR if is_part(k[1:]) else 0.0)
     return out | {"": -1.0}
 
 
@@ -129,30 +155,57 @@ def is_edge(token: tuple) -> bool:
     return token[0] == "tag" and token[1] in BLOCKS
 
 
-def main_text(page: str | None, weights: dict[str, float]) -> str:
-    got = tokens(page or "")
-    word, other = weights["text"], weights[""]
+def _scored(got: list[tuple], weights: dict[str, float], by_name: bool) -> list[float | None]:
+    """Scores of tags and of a word of each text; None: no content, by APART elements or a negative score."""
+    word, other, known, out = weights["text"], weights[""], {}, []
+    for t in got:
+        if t[0] == "tag":
+            out.append(weights.get(t[1], other))
+        elif t[3]:
+            out.append(None)
+        elif not by_name or not t[2]:
+            out.append(word)
+        else:
+            if t[2] not in known:
+                known[t[2]] = word + sum(weights.get("@" + x, PRIOR if is_part(x) else 0.0) for x in {*t[2]})
+            out.append(min(known[t[2]], WORD_RANGE[1]) if known[t[2]] >= 0 else None)
+    return out
+
+
+def _best_run(got: list[tuple], scores: list[float | None]) -> tuple[int, int]:
+    """The run of the largest sum, out to the edges of blocks."""
     best = total = 0.0
     span, start = (0, 0), 0
-    for i, t in enumerate(got):
-        if t[0] == "text":
-            total += word * len(t[1].split()) if not t[2] else 0.0
-        else:
-            total += weights.get(t[1], other)
+    for i, (t, w) in enumerate(zip(got, scores)):
+        if t[0] == "tag":
+            total += w
+        elif w is not None:
+            total += w * len(t[1].split())
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
             best, span = total, (start, i + 1)
     a, b = span
-    if a < b:  # whole blocks
+    if a < b:
         while a and not is_edge(got[a - 1]):
             a -= 1
         while b < len(got) and not is_edge(got[b]):
             b += 1
+    return a, b
+
+
+def main_text(page: str | None, weights: dict[str, float]) -> str:
+    """The text of the best run; where names put every word of the page off, that without regard to names."""
+    got = tokens(page or "")
+    scores = _scored(got, weights, True)
+    a, b = _best_run(got, scores)
+    if a == b:
+        scores = _scored(got, weights, False)
+        a, b = _best_run(got, scores)
     blocks, now = [], []
-    for t in got[a:b]:
+    for t, w in zip(got[a:b], scores[a:b]):
         if t[0] == "text":
-            if not t[2]:
+            if w is not None:
                 now.append(entities.unescape(t[1]))
         elif t[1] in BLOCKS:
             blocks.append("".join(now))
@@ -179,14 +232,14 @@ def fit(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_co
         names = sorted({*inside, *outside})
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([inside[x] for x in names], pa.int64()), pa.array([outside[x] for x in names], pa.int64())], names=["name", "inside", "outside"])
 
-    rows = share.select("html").transform(in_arrow, run, "name string, inside long, outside long").groupBy("name").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).collect()  # tag names
+    rows = share.select("html").transform(in_arrow, run, "name string, inside long, outside long").groupBy("name").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).collect()  # names of tags and attributes of the sampled pages
     return log_odds(Counter({r[0]: r[1] for r in rows}), Counter({r[0]: r[2] for r in rows}))
 
 
 def extract(pages: DataFrame, weights: dict[str, float], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
-    Null or empty html, or no words outside the parts left out: empty text, 0. Unclosed elements end
+    Null or empty html, or no words outside elements that are never content: empty text, 0. Unclosed elements end
     with the page; an unknown character reference stays as it is. Repeated rows are pages of their own.
     Without labelled pages every word scores 1 or the range's bound. Empty table: no rows. Extra columns are ignored.
     """

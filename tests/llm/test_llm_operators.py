@@ -1,7 +1,10 @@
 """Edge cases and brute-force comparisons of the other operators."""
 
 import math
+import os
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ def doc(i, text, lang="en", source="a"):
 
 
 def brute_quality(text):
-    w = [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", text or "") if x]
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x]
     tri = {}
     for i in range(len(w) - 2):
         tri.setdefault(tuple(w[i : i + 3]), []).append(i)
@@ -191,6 +194,57 @@ def test_page_text(spark):
     assert got[11].text == got[12].text == got[None].text == ""
     assert got[13].text == "unclosed tags &bogus; & more words than tags"
     assert op7_html.extract(df.limit(0), op7_html.fit(df.limit(0))).count() == 0
+    twice = op7_html.extract(df.where("page_id = 0").union(df.where("page_id = 0")), op7_html.fit(df)).collect()
+    assert [r.text for r in twice] == [want] * 2
+
+
+def test_parts_by_name_are_learned_not_listed():
+    weights = op7_html.log_odds(*op7_html.labels(PAGE))
+    body = "<p>The first part of this story has many words in it.</p><p>And so has the second part of this same story here.</p>"
+    want = "The first part of this story has many words in it.\n\nAnd so has the second part of this same story here."
+    page = lambda inner: f"<html><body><nav><a>Menu</a></nav><article>{inner}</article><footer>f</footer></body></html>"
+    text = lambda inner, w=weights: op7_html.main_text(page(inner), w)
+    assert text(f'<section id="discussion">{body}</section>') == want
+    assert text(f'<div class="entry-header"><h1>A title</h1></div>{body}') == "A title\n\n" + want
+    assert text(f'<div class="search">{body}</div>') == want
+    assert text(f'<div class="comments">{body}</div>') == want  # all there is
+    assert text(f'{body}<div id="comments"><p>I liked this story</p></div><div class="ad-slot">Buy</div>') == want
+    assert text(f"{body}<p>With <math><mi>x</mi> = 2</math> in it.</p>") == want + "\n\nWith x = 2 in it."
+    # labelled pages teach names
+    odd = '<div class="promo-x"><p>Buy some more of these things now</p></div>'
+    pages = [f'<body>{odd}<article>{body}<div class="law"><p>A law that belongs to the story</p></div></article></body>'] * 30
+    inside, outside = (sum(c, Counter()) for c in zip(*map(op7_html.labels, pages)))
+    learned = op7_html.log_odds(inside, outside)
+    assert text(body + odd, learned) == want and learned["@promo-x"] < -2
+    assert text(body + '<div class="law">Words of law</div>', learned) == want + "\n\nWords of law"
+
+
+def test_long_page_and_long_attributes():
+    weights = op7_html.log_odds(*op7_html.labels(PAGE))
+    para = "<p class='" + "c " * 50 + "'>words of a long page &amp; more of them</p>"
+    got = op7_html.main_text("<article>" + para * 20_000 + "</article>", weights)
+    assert got == "\n\n".join(["words of a long page & more of them"] * 20_000)
+
+
+SF = "/root/testdata/sf0.01/pages.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="no test tables")
+def test_accuracy_on_pages_without_marks():
+    """Weights of the one half of the pages find the articles of the other, whose marks are taken off."""
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table(SF).to_pylist()
+    found = [x for x in (op7_html.labels(r["html"]) for r in rows[::2]) if x]
+    inside, outside = (sum(c, Counter()) for c in zip(*found))
+    weights, scores = op7_html.log_odds(inside, outside), []
+    for r in rows[1::2]:
+        gold = Counter(w for t in op7_html.tokens(r["html"]) if t[0] == "text" and t[-1] for w in op7_html.entities.unescape(t[1]).split())
+        plain = re.sub(r"<(/?)(article|main)\b", r"<\1div", r["html"])
+        got = Counter(op7_html.main_text(plain, weights).split())
+        both = (gold & got).total()
+        scores.append(2 * both / (gold.total() + got.total()))
+    assert sum(scores) / len(scores) > 0.98
 
 
 def test_weights_have_every_name(spark):
