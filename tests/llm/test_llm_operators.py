@@ -289,6 +289,25 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     assert op8_topk.top_k(df.limit(0)).count() == 0
 
 
+def test_blocks_out_of_reach_are_not_visited(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(op8_topk, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(op8_topk, "QUERY_ROWS", 4)
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(8, 16))
+    rows = [(i, (m / np.linalg.norm(m) + rng.normal(size=16) * 0.03).tolist()) for i, m in enumerate(middle.repeat(50, axis=0))]  # a cluster after the other
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    blocks, q_blocks, visited = op8_topk.visiting(df, k=5, every=20)
+    pairs = sum(len(r[0]) // 4 for r in visited.select("rows").collect())
+    assert blocks.count() == 8 and q_blocks.agg(F.sum("q_n")).first()[0] == 20
+    assert 20 <= pairs <= 40  # of 160
+    cells = np.floor(64 * np.array([v for _, v in rows]))
+    got = {(r.query_id, r["rank"]): r.score for r in op8_topk.top_k(df, k=5).collect()}
+    for q in range(0, 400, 20):
+        best = sorted((int(cells[q] @ cells[j]) for j in range(400) if j != q), reverse=True)[:5]
+        assert [got[(q, n + 1)] for n in range(5)] == best
+
+
 def test_targets():
     assert op9_mixing.targets([]) == []
     assert op9_mixing.targets([100, 100, 100]) == [200.0, 250 / 3, 500 / 3]
