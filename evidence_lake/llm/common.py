@@ -19,7 +19,7 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 #: Arrow batches for Python workers hold about so many bytes at most (and a row at least).
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Tables of one long a row (keys) are broadcast up to so many rows: 16 MB, counted before.
 BROADCAST_ROWS = 1_000_000

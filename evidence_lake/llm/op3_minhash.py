@@ -89,7 +89,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 def _features(batches):
     for batch in batches:
-        for rows in slices(batch, "text"):
+        for rows in slices(batch, "text", 3 << 20):
             sets = shingle_sets(rows.column("text"))
             size = np.fromiter(map(len, sets), np.int64, len(sets))
             classes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
@@ -102,7 +102,7 @@ def _features(batches):
 
 def _sets(batches):
     for batch in batches:
-        for rows in slices(batch, "text"):
+        for rows in slices(batch, "text", 3 << 20):
             sets = [s.tobytes() for s in shingle_sets(rows.column("text"))]
             yield pa.RecordBatch.from_arrays([*map(rows.column, ("class", "n", "sig")), pa.array(sets, pa.binary())], names=["class", "n", "sig", "cells"])
 

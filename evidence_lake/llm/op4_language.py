@@ -19,7 +19,7 @@ from evidence_lake.llm.common import documents, in_arrow
 from evidence_lake.llm.tokens import slices
 
 #: Bounds of the sample the model is fitted on, and of the model.
-TRAIN_DOCS = 1000  # of each language, by the hash of their ids; the sample's row keys are broadcast
+TRAIN_DOCS = 1000  # of each language, about, by the hash of their ids; the sample's row keys are broadcast
 WORDS = 8000  # of each language
 NGRAMS = 6000  # of each language and length
 LONGEST = 4
@@ -161,15 +161,15 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tup
 
 
 def _sampled(own: DataFrame, usable: DataFrame) -> DataFrame:
-    """lang, text of TRAIN_DOCS usable rows of each language at most."""
+    """lang, text of about TRAIN_DOCS usable rows of each language, or all it has: those of the smallest hashes of doc_id, without ordering a language's rows in one task."""
     narrow = usable.select("lang", "row_key", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "row_key"))
-    keys = narrow.withColumn("r", place).where(F.col("r") <= TRAIN_DOCS).select("row_key")
+    rates = narrow.groupBy("lang").agg((F.lit(float(TRAIN_DOCS)) / F.count(F.lit(1))).alias("rate"))
+    keys = narrow.join(rates, "lang").where(F.pmod("h", F.lit(1 << 40)) < F.col("rate") * float(1 << 40)).select("row_key")
     return own.join(F.broadcast(keys), "row_key").select("lang", "text")
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model of the documents whose crc32(doc_id as text) mod 4 isn't 2, from TRAIN_DOCS of each language at most; every label is learned. docs must be a stable table (files)."""
+    """A model of the documents whose crc32(doc_id as text) mod 4 isn't 2, from about TRAIN_DOCS of each language; every label is learned. docs must be a stable table (files)."""
     own, usable = _labelled(docs, id_col, text_col, lang_col)
     usable = usable.where(~held_out(F.col("doc_id")))
     langs = [r[0] for r in usable.select("lang").distinct().collect()]
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def known_shares(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
-    """Of each language: the median share of known words in held-out documents (TRAIN_DOCS at most) that are judged as labelled.
+    """Of each language: the median share of known words in held-out documents (about TRAIN_DOCS) that are judged as labelled.
 
     A language without such documents has no entry. docs must be a stable table (files).
     """

@@ -27,7 +27,7 @@ REPEATS = 2.0
 BROADCAST_SOURCES = 100_000
 BROADCAST_CHARS = 8 << 20
 #: Documents of a source's bucket, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 NEAR = 1e-9
 
 

@@ -111,7 +111,20 @@ def test_held_out_documents_do_not_change_the_model(spark, tmp_path):
     df = saved(spark, tmp_path, rows, DOCS, 1)
     changed = df.withColumn("text", F.when(op4_language.held_out(F.col("doc_id")), "zzz yyy").otherwise(F.col("text")))
     a, b = op4_language.fit(df), op4_language.fit(changed)
-    assert a.tables == b.tables
+    assert a.tables == b.tables and all(np.array_equal(x, y) for x, y in zip([*a.weights, *a.base], [*b.weights, *b.base]))
+
+
+def test_ties_go_to_the_smaller_code():
+    model = op4_language.Model(["aa", "xx"], {0: {("aa", "same"): 3, ("xx", "same"): 3}}, {(0, "aa"): 3, (0, "xx"): 3})
+    assert model.judge(pa.array(["same", "same same", "", None]))[0] == ["aa", "aa", "und", "und"]
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test tables")
+def test_accuracy_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = op4_language.op4_language(spark, "/root/testdata/sf0.01").where("held_out").join(docs.select("doc_id", "lang", "n_chars"), "doc_id").where("lang IS NOT NULL AND lang_pred <> 'und'")
+    got = out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count(F.lit(1))).first()
+    assert got[1] > 150 and got[0] > 0.97
 
 
 def test_chunks_resist_shifts():
