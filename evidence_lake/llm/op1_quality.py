@@ -15,8 +15,6 @@ from evidence_lake.llm.common import GAP, documents, staged, words
 
 MIN_WORDS = 50
 COMMON_WORDS = 40
-#: OP1_SQL takes common words of at most so many letters; the DataFrames take any.
-COMMON_CHARS = 8
 MOST_CHAR_DISTANCE = 0.30
 MOST_WORD_DISTANCE = 0.38
 #: A language needs so many documents for a reference of its own; others use that of all documents.
@@ -224,7 +222,7 @@ WITH own AS (
 ), tok AS (
   SELECT rid, lang_group, unnest(list_transform(w, lambda x: lower(x))) AS word FROM g
 ), cnt AS (
-  SELECT lang_group, word, count(DISTINCT rid) AS n FROM tok WHERE regexp_matches(word, '^[a-zß-ÿ]{{1,{COMMON_CHARS}}}$') GROUP BY ALL
+  SELECT lang_group, word, count(DISTINCT rid) AS n FROM tok WHERE regexp_matches(word, '{COMMON}') GROUP BY ALL
 ), common AS (
   SELECT lang_group, word FROM cnt QUALIFY row_number() OVER (PARTITION BY lang_group ORDER BY n DESC, word) <= {COMMON_WORDS}
 ), win AS (
