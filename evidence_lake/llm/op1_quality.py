@@ -141,8 +141,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     # scan one: the words that most documents of each group have, over the whole corpus
     low_words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), GAP))
-    token = F.explode(F.filter(low_words, lambda w: w.rlike(COMMON)))
-    counts = own.select("lang", token.alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    # outer, as else Spark computes the words once more to see whether there are any
+    token = F.explode_outer(F.filter(low_words, lambda w: w.rlike(COMMON)))
+    counts = own.select("lang", token.alias("word")).where("word IS NOT NULL").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.join(hint(known), "lang", "left").groupBy(group, "word").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang_group").orderBy(F.desc("n"), F.asc("word")))
     top = counts.withColumn("place", place).where(F.col("place") <= COMMON_WORDS)

@@ -174,8 +174,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     usable = usable.where(~held_out(F.col("doc_id")))
     langs = [r[0] for r in usable.select("lang").distinct().collect()]
     chosen = _sampled(own, usable)
-    token = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
-    words = chosen.select("lang", token.alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
+    token = F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
+    words = chosen.select("lang", token.alias("gram")).where("gram IS NOT NULL").groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
     grams = [words.select("lang", F.lit(0).alias("size"), "gram", "n")]
     for size in range(1, LONGEST + 1):
         padded = F.concat(F.lit(" "), "gram", F.lit(" ")) if size > 1 else F.col("gram")
