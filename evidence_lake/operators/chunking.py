@@ -63,7 +63,8 @@ def config(strategy: str, **params) -> dict:
 
 def chunk(df: DataFrame, pieces: Column, keep: list[str]) -> DataFrame:
     """One row a piece: keep, chunk_ord (from 0), text."""
-    return df.select(*keep, F.posexplode(pieces).alias("chunk_ord", "text")).withColumn("chunk_ord", F.col("chunk_ord").cast("long"))
+    # outer, as else Spark computes the pieces once more to see whether there are any
+    return df.select(*keep, F.posexplode_outer(pieces).alias("chunk_ord", "text")).where("chunk_ord IS NOT NULL").withColumn("chunk_ord", F.col("chunk_ord").cast("long"))
 
 
 def chunk_papers(papers: DataFrame, sections: DataFrame, how: Chunker, scope: str = "text") -> DataFrame:

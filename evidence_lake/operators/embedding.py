@@ -15,14 +15,20 @@ from evidence_lake.functions.vectors import let, unit
 Embedder = Callable[[Column], Column]
 
 
+#: Characters that stand for buckets follow this one.
+_FIRST_CHAR = ord("!")
+
+
 def hashed(dims: int = 32) -> Embedder:
     """Counts of hashed tokens, of unit length; without tokens the zero vector."""
 
     def embed(text: Column) -> Column:
-        def counts(buckets: Column) -> Column:
-            return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
+        def counts(drawn: Column) -> Column:
+            # a character for each token's bucket; each count is the length that goes without its character
+            return F.array(*[(F.length(drawn) - F.length(F.replace(drawn, F.lit(chr(_FIRST_CHAR + i)), F.lit("")))).cast("double") for i in range(dims)])
 
-        return unit(let(F.transform(word_tokens(text), lambda t: bucket(t, dims)), counts))
+        alphabet = F.lit("".join(chr(_FIRST_CHAR + i) for i in range(dims)))
+        return unit(let(F.array_join(F.transform(word_tokens(text), lambda t: F.substring(alphabet, bucket(t, dims) + 1, F.lit(1))), ""), counts))
 
     return embed
 
@@ -39,7 +45,7 @@ def keywords(vocabulary: list[str]) -> Embedder:
 
 def sparse_terms(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, term, weight: log(1 + occurrences) of each token."""
-    terms = df.select(key, F.explode(word_tokens(F.col(text))).alias("term"))
+    terms = df.select(key, F.explode_outer(word_tokens(F.col(text))).alias("term")).where("term IS NOT NULL")
     return terms.groupBy(key, "term").agg(F.round(F.log1p(F.count(F.lit(1))), 6).alias("weight"))
 
 

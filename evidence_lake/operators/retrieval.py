@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidence_lake.functions.vectors import dot, dot_unrolled, max_sim
+from evidence_lake.functions.vectors import dot, max_sim
+from evidence_lake.operators import blocks
 
 #: Query tables of at most so many rows are broadcast.
 BROADCAST_QUERIES = 10_000
@@ -45,24 +46,27 @@ def top(scored: DataFrame, k: int, query: list[str], score: str = "score", tie:
 
 
 def met(points: DataFrame, queries: DataFrame, most: int = BROADCAST_QUERIES) -> DataFrame:
-    """Every point with every query: a query table of checked size is broadcast and the points stay where they are; a larger one is dealt into blocks that each point visits."""
+    """Every point with every query: a query table of checked size is broadcast and the points stay where they are; a larger one is dealt into blocks that each point visits, in as many lanes as there are cores."""
     n = queries.count()
     if n <= most:
         return points.join(F.broadcast(queries), F.lit(True))
-    blocks = -(-n // most)
-    dealt = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    return points.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "_block").drop("_block")
+    groups, lanes = -(-n // most), points.sparkSession.sparkContext.defaultParallelism
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")).withColumn("_lane", each(lanes))
+    laid = points.withColumn("_lane", F.pmod(F.xxhash64("id"), F.lit(lanes)).cast("int")).withColumn("_block", each(groups))
+    return laid.join(dealt, ["_block", "_lane"]).drop("_block", "_lane")
 
 
 def dense(queries: DataFrame, points: DataFrame, k: int, scope: str | None = None, dims: int | None = None) -> DataFrame:
     """query_id, id, score, rank by inner product of q (queries) and v (points), to six digits.
 
-    With `scope`, queries meet the points of equal scope only (an equi-join). Known `dims` give one
-    unrolled expression that stays in generated code.
+    With `scope`, queries meet the points of equal scope only (an equi-join). Vectors of known `dims` are
+    multiplied in blocks, others pair by pair.
     """
+    if dims:
+        return top(blocks.nearest(queries, points, k, dims, scope), k, ["query_id"])
     pairs = points.join(small(queries), scope) if scope else met(points, queries)
-    product = dot_unrolled(F.col("q"), F.col("v"), dims) if dims else dot(F.col("q"), F.col("v"))
-    return top(pairs.select("query_id", "id", F.round(product, 6).alias("score")), k, ["query_id"])
+    return top(pairs.select("query_id", "id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score")), k, ["query_id"])
 
 
 def sparse(query_terms: DataFrame, point_terms: DataFrame, k: int) -> DataFrame:

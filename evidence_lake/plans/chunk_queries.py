@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidence_lake.functions.text import stem, title_from_key, truncate, uuid5
 from evidence_lake.operators import chunking, embedding, index
+from evidence_lake.operators.blocks import spread
 from evidence_lake.sources import sections
 
 QUERIES: dict = {}
@@ -31,7 +32,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def docs(spark, d) -> DataFrame:
-    return table(spark, d, "documents")
+    """The documents; a table of a few small files is dealt out over the cores."""
+    return spread(table(spark, d, "documents"))
 
 
 def paragraphs(spark, d) -> DataFrame:
@@ -214,7 +216,7 @@ SELECT doc_id, dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS
 )
 def embed_hash_dense(spark, d):
     vectors = docs(spark, d).select("doc_id", embedding.hashed(DIMS)(F.col("text")).alias("v"))
-    return vectors.select("doc_id", F.posexplode("v").alias("dim", "x")).where("x <> 0").withColumn("x", F.round("x", 6))
+    return vectors.select("doc_id", F.posexplode_outer("v").alias("dim", "x")).where("x <> 0").withColumn("x", F.round("x", 6))
 
 
 KEYWORD_COUNTS = ", ".join(f"len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: w IN ('{t}', '{t}s')))::DOUBLE" for t in VOCABULARY)
@@ -228,7 +230,7 @@ SELECT doc_id, unnest(range({len(VOCABULARY)}))::INTEGER AS dim, unnest(list_tra
 )
 def embed_keyword(spark, d):
     vectors = docs(spark, d).select("doc_id", embedding.keywords(VOCABULARY)(F.col("text")).alias("v"))
-    return vectors.select("doc_id", F.posexplode("v").alias("dim", "x")).withColumn("x", F.round("x", 6))
+    return vectors.select("doc_id", F.posexplode_outer("v").alias("dim", "x")).where("dim IS NOT NULL").withColumn("x", F.round("x", 6))
 
 
 @query(f"SELECT doc_id, term, round(ln(1 + count(*)), 6) AS weight FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents) GROUP BY ALL")
@@ -301,9 +303,10 @@ CLEAN = "trim(regexp_replace(regexp_replace({0}, '<[^>]*>', ' ', 'g'), '\\s+', '
 
 @query(
     f"""
-WITH b AS (SELECT page_id, string_split_regex(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script\\b.*?</script>', '', 'g'), '(?s)<style\\b.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '<h[1-6][^>]*>') AS p FROM pages),
-s AS (SELECT page_id, unnest(range(len(p) - 1)) AS section_ord, unnest(p[2:]) AS piece FROM b)
-SELECT page_id, section_ord, {CLEAN.format("regexp_extract(piece, '(?s)^(.*?)</h[1-6]>', 1)")} AS title, {CLEAN.format("regexp_replace(piece, '(?s)^.*?</h[1-6]>', '')")} AS content FROM s
+WITH b AS (SELECT page_id, string_split_regex(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<script\\b.*?</script>', '', 'g'), '(?s)<style\\b.*?</style>', '', 'g'), '(?s)<head\\b.*?</head>', '', 'g'), '<h[1-6][^>]*>') AS p FROM pages),
+s AS (SELECT page_id, unnest(range(len(p))) AS section_ord, unnest(p) AS piece FROM b),
+c AS (SELECT page_id, section_ord, CASE WHEN section_ord = 0 THEN '' ELSE {CLEAN.format("regexp_extract(piece, '(?s)^(.*?)</h[1-6]>', 1)")} END AS title, CASE WHEN section_ord = 0 THEN {CLEAN.format("piece")} ELSE {CLEAN.format("regexp_replace(piece, '(?s)^.*?</h[1-6]>', '')")} END AS content FROM s)
+SELECT * FROM c WHERE section_ord > 0 OR content <> ''
 """
 )
 def html_to_sections(spark, d):

@@ -37,7 +37,7 @@ def section_type(title: Column) -> Column:
 def text_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, section_ord, title, section_type, content: one section for each paragraph between blank lines."""
     parts = F.filter(F.transform(F.split(text, "\n\n"), lambda p: F.trim(F.regexp_replace(p, r"^\s+|\s+$", ""))), lambda p: p != "")
-    return docs.select(key, F.posexplode(parts).alias("section_ord", "content")).select(key, F.col("section_ord").cast("long").alias("section_ord"), F.lit("").alias("title"), F.lit("Other").alias("section_type"), "content")
+    return docs.select(key, F.posexplode_outer(parts).alias("section_ord", "content")).where("content IS NOT NULL").select(key, F.col("section_ord").cast("long").alias("section_ord"), F.lit("").alias("title"), F.lit("Other").alias("section_type"), "content")
 
 
 def body_size(lines: DataFrame) -> DataFrame:
@@ -77,11 +77,16 @@ def line_sections(lines: DataFrame) -> DataFrame:
 
 
 def html_sections(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, section_ord, title, content: paragraphs under the nearest heading before them, from simple markup."""
-    body = F.regexp_replace(F.regexp_replace(F.col(html), r"(?s)<(script|style)\b.*?</\1>", ""), r"(?s)<!--.*?-->", "")
-    pieces = F.split(body, r"<h[1-6][^>]*>")
-    rows = pages.select(key, F.posexplode(F.slice(pieces, 2, 1 << 20)).alias("section_ord", "piece"))
+    """key, section_ord, title, content: paragraphs under the nearest heading before them, from simple markup.
+
+    What stands before the first heading is section 0, without a title, if it has text; the headings'
+    sections count from 1. The document's head is no text.
+    """
+    body = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(html), r"(?s)<!--.*?-->", ""), r"(?s)<(script|style)\b.*?</\1>", ""), r"(?s)<head\b.*?</head>", "")
+    rows = pages.select(key, F.posexplode_outer(F.split(body, r"<h[1-6][^>]*>")).alias("section_ord", "piece")).where("piece IS NOT NULL")
     clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"\s+", " "))
-    title = F.regexp_extract("piece", r"(?s)^(.*?)</h[1-6]>", 1)
-    rest = F.regexp_replace("piece", r"(?s)^.*?</h[1-6]>", "")
-    return rows.select(key, F.col("section_ord").cast("long").alias("section_ord"), clean(title).alias("title"), clean(rest).alias("content"))
+    lead = F.col("section_ord") == 0
+    title = F.when(lead, "").otherwise(clean(F.regexp_extract("piece", r"(?s)^(.*?)</h[1-6]>", 1)))
+    rest = F.when(lead, F.col("piece")).otherwise(F.regexp_replace("piece", r"(?s)^.*?</h[1-6]>", ""))
+    out = rows.select(key, F.col("section_ord").cast("long").alias("section_ord"), title.alias("title"), clean(rest).alias("content"))
+    return out.where("section_ord > 0 OR content <> ''")
