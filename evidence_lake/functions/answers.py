@@ -55,7 +55,7 @@ def json_candidate(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def parsed(raw: Column) -> Column:
     """The answer: the whole text if it is one JSON object, else its candidate; null if neither holds a classification."""
     whole = F.from_json(raw, ANSWER)
-    inner = F.from_json(json_candidate(raw), ANSWER)
+    inner = F.from_json(json_candidate(F.when(whole["classification"].isNull(), raw)), ANSWER)  # the scan has only the rest to read
     return F.when(whole["classification"].isNotNull(), whole).when(inner["classification"].isNotNull(), inner)
 
 

@@ -56,3 +56,18 @@ def by_category(rows: DataFrame, key: str) -> DataFrame:
     block = F.concat(F.lit("\n"), F.upper("category"), F.lit(" (avg "), F.format_string("%.3f", "mean"), F.lit("):\n"), F.array_join(F.col("p.l"), "\n"))
     parts = groups.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("first", block.alias("b")))).alias("q"))
     return parts.select(key, F.array_join(F.col("q.b"), "\n").alias("block"))
+
+
+def classification(papers: DataFrame, blocks: DataFrame, template: str, categories: dict[str, str], schema: str, extra: dict[str, str] | None = None) -> DataFrame:
+    """paper_id, prompt of papers (paper_id, title, abstract, keywords) with their evidence blocks (paper_id, block).
+
+    A paper without evidence has no extracts heading, nor the blank lines after it.
+    """
+    extra = extra or {}
+    check_template("user prompt", template, {"categories", "title", "abstract", "keywords", "chunks_info", "schema", *extra})
+    lines = F.lit("\n".join(f"{k} – {v}" for k, v in categories.items()))
+    values = {"categories": lines, "title": F.col("title"), "abstract": F.coalesce("abstract", F.lit("N/A")), "keywords": F.array_join(F.coalesce("keywords", F.array().cast("array<string>")), ", "), "chunks_info": F.col("block"), "schema": F.lit(schema)}
+    whole = filled(template, **values, **{k: F.lit(v) for k, v in extra.items()})
+    bare = F.regexp_replace(whole, r"(?i)\*\*Relevant Extracts[^\n]*\*\*[ \t]*\n(?:[ \t]*\n)*", "")  # fixed value: the heading that templates have
+    joined = papers.join(blocks.select("paper_id", "block"), "paper_id", "left")
+    return joined.select("paper_id", F.when(F.col("block").isNull(), bare).otherwise(whole).alias("prompt"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,49 @@ def replace_papers(points: DataFrame, new: DataFrame, col: str = "paper_id") ->
     return points.join(new.select(col).distinct(), col, "left_anti").select(points.columns).unionByName(new)
 
 
+def delete_counted(rows: DataFrame, gone: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows that stay, one row `removed` with the number of those that go) of a delete; a null condition keeps the row."""
+    hit = F.coalesce(gone, F.lit(False))
+    return rows.where(~hit), rows.agg(F.count_if(hit).alias("removed"))
+
+
+class MetadataStore:
+    """Metadata rows keyed by (doc_id, type, strategy) on shared storage: the first write of a key stays, deletes say how many went."""
+
+    KEYS = ["doc_id", "type", "strategy"]
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.store = Store(spark, path)
+
+    def _rows(self) -> DataFrame:
+        found = self.store.read()
+        return found if found is not None else self.store.spark.createDataFrame([], "doc_id string, type string, strategy string, content string")
+
+    def insert(self, new: DataFrame) -> None:
+        self.store.write(insert_absent(self._rows(), new.select(*self.KEYS, "content"), self.KEYS, "content"))
+
+    def retrieve(self, doc_id: str, type_: str, strategy: str) -> str | None:
+        """The content; None where there is none or it is empty."""
+        row = self._rows().where((F.col("doc_id") == doc_id) & (F.col("type") == type_) & (F.col("strategy") == strategy)).select("content").first()  # a key has one row
+        return row[0] if row and row[0] else None
+
+    def list_docs(self) -> DataFrame:
+        return self._rows().select("doc_id").distinct().orderBy("doc_id")
+
+    def _delete(self, gone: Column) -> int:
+        kept, removed = delete_counted(self._rows(), gone)
+        n = removed.first()[0]
+        if n:
+            self.store.write(kept)
+        return n
+
+    def delete_doc(self, doc_id: str) -> int:
+        return self._delete(F.col("doc_id") == doc_id)
+
+    def delete_by_strategy(self, strategy: str) -> int:
+        return self._delete(F.col("strategy") == strategy)
+
+
 def payload_keys(points: DataFrame, payload: str = "payload") -> DataFrame:
     """The distinct keys of a map column."""
     return points.select(F.explode(F.map_keys(payload)).alias("key")).distinct()
@@ -61,21 +104,38 @@ def upload_errors(uploads: DataFrame, most_bytes: int, suffixes: tuple[str, ...]
 
 
 class Store:
-    """A points table on shared storage: versions as Parquet folders, a pointer written last.
+    """A points table on shared storage: versions as Parquet folders, and numbered pointers to them.
 
-    A reader sees the version the pointer names, so a failed write leaves the live one as it is.
+    A reader follows the pointer of the highest number. A pointer is written aside and renamed to a number
+    that isn't taken; so a write that fails at any step leaves the live version as it is, and of two
+    writers one is told.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._fs_path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-        self._conf = spark._jsc.hadoopConfiguration()
+        self._fs = self._fs_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _last(self) -> int:
+        """The highest pointer's number; 0 without any."""
+        top = self._fs_path(f"{self.path}/pointers")
+        if not self._fs.exists(top):
+            return 0
+        names = [f.getPath().getName() for f in self._fs.listStatus(top)]
+        return max((int(n) for n in names if n.isdigit()), default=0)
 
     def _pointer(self) -> dict | None:
-        path = self._fs_path(f"{self.path}/current")
-        if not path.getFileSystem(self._conf).exists(path):
-            return None
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/current").collect()))
+        n = self._last()
+        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/pointers/{n:012d}").collect())) if n else None
+
+    def _point(self, n: int, pointer: dict) -> None:
+        aside, there = self._fs_path(f"{self.path}/pointers/_{uuid.uuid4().hex}"), self._fs_path(f"{self.path}/pointers/{n:012d}")
+        out = self._fs.create(aside, False)
+        out.write(bytearray(json.dumps(pointer).encode()))
+        out.close()
+        if self._fs.exists(there) or not self._fs.rename(aside, there):
+            self._fs.delete(aside, False)
+            raise RuntimeError("another writer was first")
 
     def read(self) -> DataFrame | None:
         now = self._pointer()
@@ -86,6 +146,7 @@ class Store:
 
     def write(self, points: DataFrame, settings: dict | None = None, dims: int | None = None, vector: str = "dense") -> None:
         """A new version; settings (model, chunking) must not change once there are points; vectors must have `dims`."""
+        n = self._last()
         old = self.settings()
         for key, value in (settings or {}).items():
             if key in old and old[key] != value:
@@ -94,8 +155,7 @@ class Store:
         points.write.parquet(f"{self.path}/{version}")
         if dims is not None and not self.spark.read.parquet(f"{self.path}/{version}").where(F.coalesce(F.size(vector), F.lit(-1)) != dims).isEmpty():
             raise ValueError(f"vectors of other than {dims} dimensions")
-        pointer = json.dumps({"version": version, "settings": old | (settings or {})})
-        self.spark.createDataFrame([(pointer,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
+        self._point(n + 1, {"version": version, "settings": old | (settings or {})})
 
     def upsert(self, new: DataFrame, **kind) -> None:
         old = self.read()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidence_lake.functions.text import overlap_score
+from evidence_lake.functions.text import overlap_score, py_strip
 from evidence_lake.operators.retrieval import small
 
 Scorer = Callable[[Column, Column], Column]
@@ -32,7 +32,7 @@ def cascade(rows: DataFrame, steps: list[tuple[Scorer, int | None]], k: int, by:
 
 def best_by_text(rows: DataFrame, by: list[str], score: str, ties: list[str]) -> DataFrame:
     """One row for each text (stripped, not blank): the best score, the first of equals."""
-    keyed = rows.withColumn("_text", F.trim("text")).where(F.col("_text") != "")
+    keyed = rows.withColumn("_text", py_strip(F.col("text"))).where(F.col("_text") != "")
     order = Window.partitionBy(*by, "_text").orderBy(F.desc(score), *[F.asc(t) for t in ties])
     return keyed.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_text")
 
@@ -52,6 +52,19 @@ def global_pool(evidence: DataFrame, category_queries: DataFrame, k: int, scorer
     return rerank(pool.join(small(category_queries), F.lit(True)), scorer, k, ["paper_id", "category"])
 
 
+def category_query(categories: DataFrame) -> DataFrame:
+    """category, query: the first condensed sentence, else the first template (both arrays); a category without either raises when it is read."""
+    first = F.coalesce(F.try_element_at("condensed", F.lit(1)), F.try_element_at("templates", F.lit(1)))
+    return categories.select("category", F.coalesce(first, F.raise_error(F.concat(F.lit("no query for category "), "category")).cast("string")).alias("query"))
+
+
+def by_text(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """One row for each text that isn't blank: the last of equal texts, as a later one takes the earlier one's place."""
+    keyed = rows.withColumn("_text", py_strip(F.col("text"))).where("_text <> ''")
+    last = Window.partitionBy(*by, "_text").orderBy(*[F.desc(c) for c in order])
+    return keyed.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_text")
+
+
 def select_evidence(hits: DataFrame, k: int) -> DataFrame:
     """paper_id, id, category, text, score, rank: the best category of each text, then the paper's k best.
 

@@ -166,3 +166,13 @@ def expand_query(query: str, generated: list[str]) -> str:
     """The query with hypothetical documents after it; failed and empty ones don't count."""
     good = [d for d in generated if d.strip() and "failed" not in d.lower()]
     return "\n\n".join([query, *good])
+
+
+def with_hypothetical(queries: DataFrame, made: DataFrame) -> DataFrame:
+    """queries (query_id, text) with retrieval_text: the text and the generated documents (query_id, n, text) in order, failed and empty ones left out; the text alone without any.
+
+    Candidates are searched by retrieval_text, rerankers read text.
+    """
+    good = made.where((F.trim("text") != "") & ~F.lower("text").contains("failed")).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("n", F.trim("text").alias("t")))).alias("made"))  # a few a query
+    more = F.array_join(F.col("made.t"), "\n\n")
+    return queries.join(good, "query_id", "left").select(*queries.columns, F.when(F.col("made").isNull(), F.col("text")).otherwise(F.concat("text", F.lit("\n\n"), more)).alias("retrieval_text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Job states and what may follow each.
@@ -62,3 +62,44 @@ def listing(papers: DataFrame, sections: DataFrame, refs: DataFrame, key: str =
     count = lambda df, name: df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
     joined = papers.join(count(sections, "n_sections"), key, "left").join(count(refs, "n_refs"), key, "left")
     return joined.withColumn("n_sections", F.coalesce("n_sections", F.lit(0).cast("long"))).withColumn("n_refs", F.coalesce("n_refs", F.lit(0).cast("long")))
+
+
+def recent(rows: DataFrame, most: int, key: str, created: str = "created_at") -> DataFrame:
+    """The `most` rows created last, with their place from 1; ties by key."""
+    order = [F.desc(created), F.desc(key)]
+    return rows.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def workspace_counts(documents: DataFrame, papers: DataFrame, tasks: DataFrame) -> DataFrame:
+    """One row: how many documents, distinct papers (paper_id) and distinct tasks (task_key) there are."""
+    one = lambda df, c, name: df.agg(c.alias(name))
+    counts = [one(documents, F.count(F.lit(1)), "document_count"), one(papers, F.countDistinct("paper_id"), "paper_count"), one(tasks, F.countDistinct("task_key"), "task_count")]
+    return counts[0].join(F.broadcast(counts[1]), F.lit(True)).join(F.broadcast(counts[2]), F.lit(True))  # rows of one number
+
+
+def result_records(papers: DataFrame, sections: DataFrame, refs: DataFrame, key: str = "paper_id") -> DataFrame:
+    """A flat record for each paper: its columns, arrays as JSON, and its numbers of sections, references and references to data sources."""
+    n_sections = sections.groupBy(key).agg(F.count(F.lit(1)).alias("num_sections"))
+    n_refs = refs.groupBy(key).agg(F.count(F.lit(1)).alias("num_references"), F.count_if("is_data_source").alias("data_source_references"))
+    flat = [F.to_json(c).alias(c) if kind.startswith("array") else F.col(c) for c, kind in papers.dtypes]
+    joined = papers.select(*flat).join(n_sections, key, "left").join(n_refs, key, "left")
+    return joined.na.fill(0, ["num_sections", "num_references", "data_source_references"])
+
+
+class RunStore:
+    """Runs on shared storage: a row for each run (run_id, kind, status, created_at), and its results as JSON lines."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def save(self, run_id: str, kind: str, status: str, created_at: str, results: DataFrame) -> None:
+        """The results first, the run's row last: a run that is listed has its results."""
+        results.write.json(f"{self.path}/results/{run_id}")
+        row = self.spark.createDataFrame([(run_id, kind, status, created_at)], "run_id string, kind string, status string, created_at string")
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}/runs")
+
+    def runs(self, most: int = 100) -> DataFrame:
+        return recent(self.spark.read.parquet(f"{self.path}/runs"), most, "run_id").drop("place")
+
+    def results(self, run_id: str) -> DataFrame:
+        return self.spark.read.json(f"{self.path}/results/{run_id}")

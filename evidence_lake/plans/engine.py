@@ -31,7 +31,6 @@ class Engine:
     def index(self, papers: DataFrame, sections: DataFrame, replace: bool = False) -> DataFrame:
         """Indexes papers; returns (paper_id, error) of those without a chunk. Indexed papers raise unless replaced."""
         points = self.build(papers, sections)
-        failed = index.without_chunks(papers, points)
         now = self.store.read()
         if now is not None:
             known = now.select("paper_id").distinct().join(papers.select("paper_id"), "paper_id", "left_semi")
@@ -42,7 +41,7 @@ class Engine:
         else:
             points = index.upsert(points.limit(0), points)
         self.store.write(points, self.settings.index_settings(), self.settings.dims)
-        return failed
+        return index.without_chunks(papers, self.points())
 
     def points(self) -> DataFrame:
         found = self.store.read()
@@ -53,8 +52,18 @@ class Engine:
     def papers(self) -> DataFrame:
         return self.points().groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_chunks"))
 
-    def explore(self, queries: DataFrame, filters: dict | None = None, top_k: int | None = None, mode: str | None = None) -> DataFrame:
-        """Search results of queries (query_id, text): cut, then the threshold."""
+    def explore(self, queries: DataFrame, filters: dict | None = None, top_k: int | None = None, mode: str | None = None, generated: DataFrame | None = None, scorer=None) -> DataFrame:
+        """Search results of queries (query_id, text): cut, then the threshold.
+
+        With generated documents (query_id, n, text) candidates are searched by the text and these. With a
+        scorer, rerank_top_k candidates are reranked with the original queries and cut to top_k.
+        """
+        asked = queries.select("query_id", "text")
+        if scorer is not None:
+            n = max(top_k or self.settings.top_k, retrieval.DEFAULTS["rerank_top_k"])
+            return self.rescored(self.explore(asked, filters, n, mode, generated), asked, top_k or self.settings.top_k, scorer)
+        if generated is not None:
+            queries = retrieval.with_hypothetical(asked, generated).select("query_id", F.col("retrieval_text").alias("text"))
         s, k = self.settings, top_k or self.settings.top_k
         scope, rest = retrieval.split_filter(filters, self.points().columns)
         rows = retrieval.matching(self.points(), rest, scope)
@@ -85,7 +94,7 @@ class Engine:
         hits = scored.withColumn("rank0", F.row_number().over(w) - 1).where(F.col("rank0") < task.top_k).drop("q", "query", "dense")
         return rerank.mine_evidence(hits, task.top_k, list(task.sections)) if task.kind == "miner" else rerank.select_evidence(hits, task.top_k)
 
-    def classify(self, key: str, responses: DataFrame, rescore: bool = False) -> DataFrame:
+    def classify(self, key: str, responses: DataFrame) -> DataFrame:
         """paper_id, codes, confidence, probabilities, parsed_ok, attempt from answers (paper_id, attempt, raw): the first that reads, else the fallback."""
         task = self.registry.get(key)
         read = responses.withColumn("answer", answers.parsed(F.col("raw")))
@@ -95,15 +104,17 @@ class Engine:
         return papers.join(best, "paper_id", "left").select("paper_id", "attempt", chosen.alias("d")).select("paper_id", "attempt", "d.*")
 
     def mine(self, key: str, responses: DataFrame) -> DataFrame:
-        """paper_id, description, items from one answer a paper."""
-        self.registry.get(key)
-        return responses.select("paper_id", answers.mined(F.col("raw")).alias("m")).select("paper_id", "m.*")
+        """paper_id, description, items, evidences (id, text, score, best first) of every indexed paper from one answer a paper; without an answer no description nor items."""
+        task = self.registry.get(key)
+        found = self.evidence(task).groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "text", "score"))).alias("evidences"))  # task.top_k at most
+        read = responses.select("paper_id", answers.mined(F.col("raw")).alias("m"))
+        return self.papers().select("paper_id").join(read, "paper_id", "left").join(found, "paper_id", "left").select("paper_id", "m.description", "m.items", "evidences")
 
     def prompt(self, key: str) -> DataFrame:
         """paper_id, block: the evidence of a classifier by category."""
         return prompts.by_category(self.evidence(self.registry.get(key)), "paper_id")
 
-    def rescored(self, results: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    def rescored(self, results: DataFrame, queries: DataFrame, k: int, scorer=overlap_score) -> DataFrame:
         """Results reranked with their original queries."""
-        rows = results.join(retrieval.small(queries.select("query_id", F.col("text").alias("query"))), "query_id")
-        return rerank.rerank(rows, overlap_score, k, ["query_id"])
+        rows = results.drop("rank", "rank_score").join(retrieval.small(queries.select("query_id", F.col("text").alias("query"))), "query_id")
+        return rerank.rerank(rows, scorer, k, ["query_id"])

@@ -29,9 +29,15 @@ def scan(spark: SparkSession, path: str, unique_stems: bool = False) -> DataFram
     return files
 
 
+def readable(content) -> F.col:
+    """Bytes as UTF-8 text; bytes that aren't are left out (with U+FFFD, where there are any)."""
+    text = content.cast("string")
+    return F.coalesce(F.try_validate_utf8(text), F.replace(F.make_valid_utf8(text), F.lit("\uFFFD"), F.lit("")))
+
+
 def text_papers(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(papers, sections) of text and markdown files: a section for each paragraph."""
-    docs = files.select(F.col("stem").alias("paper_id"), F.decode("content", "UTF-8").alias("text"))
+    docs = files.select(F.col("stem").alias("paper_id"), readable(F.col("content")).alias("text"))
     papers = docs.select("paper_id", F.col("paper_id").alias("title"), F.lit(None).cast("string").alias("abstract"))
     return papers, text_sections(docs, "paper_id", "text")
 
