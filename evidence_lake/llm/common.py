@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -57,25 +58,34 @@ def released(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _tidied(batches, f: Callable):
-    """f's batches; then memory that the task no longer uses goes back to the system, as workers stay for later stages."""
+def _trim() -> None:
+    """Memory that nothing uses goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def _tidied(batches, f: Callable, encodes: bool):
+    """f's batches. Workers stay for later stages: one that turns to other work drops its tokenizers, and after a task unused memory is given back."""
+    tokens = sys.modules.get("evidence_lake.llm.tokens")
+    if tokens and not encodes and tokens.LOADED:
+        tokens.LOADED.clear()
+        _trim()
     try:
         yield from f(batches)
     finally:
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        _trim()
 
 
-def in_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
-    """df.mapInArrow(f, schema) with batches bounded by bytes, and with tidy workers."""
+def in_arrow(df: DataFrame, f: Callable, schema, encodes: bool = False) -> DataFrame:
+    """df.mapInArrow(f, schema) with batches bounded by bytes, and with tidy workers; `encodes`: f uses tokenizers."""
     conf = df.sparkSession.conf
     if int(conf.get(BATCH_CONF).rstrip("b")) > BATCH_BYTES:
         conf.set(BATCH_CONF, str(BATCH_BYTES))
-    return df.mapInArrow(lambda batches: _tidied(batches, f), schema)
+    return df.mapInArrow(lambda batches: _tidied(batches, f, encodes), schema)
 
 
 def words(text: Column) -> Column:

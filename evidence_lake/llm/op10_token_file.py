@@ -176,7 +176,7 @@ def written(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = own.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    return staged(dealt.transform(in_arrow, run, "shard long, record long, before long, n_ids long, body binary"), "token-file")
+    return staged(dealt.transform(in_arrow, run, "shard long, record long, before long, n_ids long, body binary", encodes=True), "token-file")
 
 
 def read_back(file: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             at += int(ends[-1])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return staged(own.transform(in_arrow, run, STAGED), "tokenised")
+    return staged(own.transform(in_arrow, run, STAGED, encodes=True), "tokenised")
 
 
 def global_offsets(parts: DataFrame) -> DataFrame:

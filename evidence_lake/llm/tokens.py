@@ -191,14 +191,14 @@ def with_end(ids: np.ndarray, size: np.ndarray, end: int = END_ID) -> tuple[np.n
     return out, size + 1
 
 
-_LOADED: dict[str, TextEncoder] = {}
+LOADED: dict[str, TextEncoder] = {}
 
 
 def encoder(path: str) -> TextEncoder:
     """One encoder for each Python worker and file."""
-    if path not in _LOADED:
-        _LOADED[path] = TextEncoder(path)
-    return _LOADED[path]
+    if path not in LOADED:
+        LOADED[path] = TextEncoder(path)
+    return LOADED[path]
 
 
 def encoded(batches: Iterable[pa.RecordBatch], path: str, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
