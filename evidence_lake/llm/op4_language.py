@@ -205,7 +205,7 @@ def known_shares(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
 
     def run(batches):
         for batch in batches:
-            for rows in slices(batch, "text", 4 << 20):
+            for rows in slices(batch, "text", 2 << 20):
                 pred, _, n, known = shared.value.judge_known(rows.column("text"))
                 good = [i for i, (p, x) in enumerate(zip(pred, rows.column("lang").to_pylist())) if p == x and n[i]]
                 yield pa.RecordBatch.from_arrays([pa.array([pred[i] for i in good], pa.string()), pa.array(known[good] / n[good])], names=["lang", "share"])
@@ -235,7 +235,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", least: dict[
 
     def run(batches):
         for batch in batches:
-            for rows in slices(batch, text_col, 4 << 20):  # the workers stay for the next stages
+            for rows in slices(batch, text_col, 2 << 20):  # the workers stay for the next stages
                 if least is None:
                     lang, score = shared.value.judge(rows.column(text_col))
                     more = []

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import regex
 
 #: Split pieces kept in a worker's cache; beyond it only those of the batch at hand stay (results don't change).
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
 END_ID = 1
 #: Words of other characters than these below U+0250 that print go through the library whole; there lower case and NFC are plain.
 _RARE = r"[^!-~\x{A1}-\x{24F}]"
@@ -170,7 +170,7 @@ class TextEncoder:
         return (np.concatenate([np.array(x, np.uint32) for x in ids]) if ids else np.zeros(0, np.uint32)), size
 
 
-def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about most_bytes of text each."""
     size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     run = np.cumsum(size) // most_bytes
