@@ -16,6 +16,7 @@ from evidence_lake.llm.op7_html import op7_html
 from evidence_lake.llm.op8_topk import OP8_SQL, op8_topk
 from evidence_lake.llm.op9_mixing import op9_mixing
 from evidence_lake.llm.op10_token_file import op10_token_file
+from evidence_lake.llm.op11_lexical import OP11_SQL, op11_lexical
 from evidence_lake.llm.op12_neighbours import OP12_SQL, op12_neighbours
 from evidence_lake.llm.op13_whitening import op13_whitening
 
@@ -30,8 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_mixing": op9_mixing,
     "op10_token_file": op10_token_file,
+    "op11_lexical": op11_lexical,
     "op12_neighbours": op12_neighbours,
     "op13_whitening": op13_whitening,
     "substring_repeats_inside": substring_repeats_inside,
 }
-ORACLE_SQL: dict[str, str] = {"op1_quality": OP1_SQL, "op8_topk": OP8_SQL, "op12_neighbours": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality": OP1_SQL, "op8_topk": OP8_SQL, "op11_lexical": OP11_SQL, "op12_neighbours": OP12_SQL}
