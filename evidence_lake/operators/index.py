@@ -103,12 +103,10 @@ def upload_errors(uploads: DataFrame, most_bytes: int, suffixes: tuple[str, ...]
     return uploads.select("filename", reason.alias("reason")).where("reason IS NOT NULL")
 
 
-class Store:
-    """A points table on shared storage: versions as Parquet folders, and numbered pointers to them.
+class Numbered:
+    """Small JSON records on shared storage, numbered from 1. A record is written aside and renamed to a number that isn't taken, so that one writer of two is told.
 
-    A reader follows the pointer of the highest number. A pointer is written aside and renamed to a number
-    that isn't taken; so a write that fails at any step leaves the live version as it is, and of two
-    writers one is told.
+    A rename is atomic on HDFS and local disks; on object stores without one, two writers need a lock of their own.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -116,27 +114,58 @@ class Store:
         self._fs_path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._fs_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _last(self) -> int:
-        """The highest pointer's number; 0 without any."""
-        top = self._fs_path(f"{self.path}/pointers")
-        if not self._fs.exists(top):
-            return 0
-        names = [f.getPath().getName() for f in self._fs.listStatus(top)]
-        return max((int(n) for n in names if n.isdigit()), default=0)
+    def names(self, path: str) -> list[str]:
+        """Names in a folder; none if it isn't there."""
+        top = self._fs_path(path)
+        return [f.getPath().getName() for f in self._fs.listStatus(top)] if self._fs.exists(top) else []
 
-    def _pointer(self) -> dict | None:
-        n = self._last()
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/pointers/{n:012d}").collect())) if n else None
+    def numbers(self) -> list[int]:
+        return sorted(int(n) for n in self.names(self.path) if n.isdigit())
 
-    def _point(self, n: int, pointer: dict) -> None:
-        aside, there = self._fs_path(f"{self.path}/pointers/_{uuid.uuid4().hex}"), self._fs_path(f"{self.path}/pointers/{n:012d}")
+    def last(self) -> int:
+        """The highest number; 0 without any."""
+        return max(self.numbers(), default=0)
+
+    def read(self, n: int | None = None) -> dict | None:
+        """A record, the last by default."""
+        n = self.last() if n is None else n
+        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/{n:012d}").collect())) if n else None
+
+    def add(self, n: int, record: dict) -> None:
+        aside, there = self._fs_path(f"{self.path}/_{uuid.uuid4().hex}"), self._fs_path(f"{self.path}/{n:012d}")
         out = self._fs.create(aside, False)
-        out.write(bytearray(json.dumps(pointer).encode()))
+        out.write(bytearray(json.dumps(record).encode()))
         out.close()
         if self._fs.exists(there) or not self._fs.rename(aside, there):
             self._fs.delete(aside, False)
             raise RuntimeError("another writer was first")
 
+    def remove(self, path: str) -> None:
+        self._fs.delete(self._fs_path(path), True)
+
+
+class Store:
+    """A points table on shared storage: versions as Parquet folders, and numbered pointers to them.
+
+    A reader follows the pointer of the highest number; so a write that fails at any step leaves the live
+    version as it is, and of two writers one is told. Each write is a whole version: for many small ones see
+    deltas.DeltaIndex.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.pointers = Numbered(spark, f"{self.path}/pointers")
+        self._fs_path, self._fs = self.pointers._fs_path, self.pointers._fs
+
+    def _last(self) -> int:
+        return self.pointers.last()
+
+    def _pointer(self) -> dict | None:
+        return self.pointers.read()
+
+    def _point(self, n: int, pointer: dict) -> None:
+        self.pointers.add(n, pointer)
+
     def read(self) -> DataFrame | None:
         now = self._pointer()
         return self.spark.read.parquet(f"{self.path}/{now['version']}") if now else None

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evidence_lake.functions import prompts
-from evidence_lake.operators import index, rerank, retrieval, runs
+from evidence_lake.operators import deltas, index, rerank, retrieval, runs
 from evidence_lake.plans.chunk_queries import docs, table
 from evidence_lake.plans.search_queries import HIT_SQL, SELECTED, hits
+from evidence_lake.session import shared_dir
 from evidence_lake.sources import files
 
 QUERIES: dict = {}
@@ -64,11 +67,58 @@ def category_query_choice(spark, d):
     return rerank.category_query(rows)
 
 
-@query("SELECT source, doc_id, text FROM (SELECT source, doc_id, left(text, 5) AS text FROM documents) WHERE trim(text) <> '' QUALIFY row_number() OVER (PARTITION BY source, regexp_replace(text, '^\\s+|\\s+$', '', 'g') ORDER BY doc_id DESC) = 1")
+@query("SELECT source, doc_id, text FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS text FROM documents) WHERE trim(text) <> '' QUALIFY row_number() OVER (PARTITION BY source, regexp_replace(text, '^\\s+|\\s+$', '', 'g') ORDER BY doc_id DESC, text DESC) = 1")
 def reindex_by_text(spark, d):
-    """Of a source's passages that start alike (first five characters as the passage) the last."""
-    rows = docs(spark, d).select("source", "doc_id", F.substring("text", 1, 5).alias("text"))
-    return rerank.by_text(rows, ["source"], ["doc_id"])
+    """Of a source's equal passages (lines) the last."""
+    rows = docs(spark, d).select("source", "doc_id", F.explode(F.split("text", "\n")).alias("text"))
+    return rerank.by_text(rows, ["source"], ["doc_id", "text"])
+
+
+def delta_rows(rows):
+    """Documents' rows for the index: an id, the text, and a vector of the text's characters and lines."""
+    return rows.select(F.col("doc_id").alias("paper_id"), F.concat(F.lit("c"), "doc_id").alias("id"), "lang", "text", F.array(F.length("text"), F.size(F.split("text", "\n"))).cast("array<double>").alias("dense"))
+
+
+@query(
+    """
+WITH a AS (SELECT doc_id, lang, text, 1 AS step FROM documents
+  UNION ALL SELECT doc_id, lang, text || ' again', 2 FROM documents WHERE doc_id % 3 = 0
+  UNION ALL SELECT doc_id, lang, NULL, 3 FROM documents WHERE doc_id % 5 = 0
+  UNION ALL SELECT doc_id, 'again', text, 4 FROM documents WHERE doc_id % 10 = 0)
+SELECT doc_id AS paper_id, lang, CAST(length(text) AS INTEGER) AS n, md5(text) AS digest FROM a QUALIFY step = max(step) OVER (PARTITION BY doc_id) AND step <> 3
+"""
+)
+def index_delta_merge(spark, d):
+    """All documents, then a third written again, a fifth deleted and a tenth written once more, each as a delta; buckets are compacted in between."""
+    rows, store = docs(spark, d), deltas.DeltaIndex(spark, f"{shared_dir(spark)}/delta-index-{uuid.uuid4().hex}", buckets=8)
+    store.upsert(delta_rows(rows))
+    store.upsert(delta_rows(rows.where("doc_id % 3 = 0").withColumn("text", F.concat("text", F.lit(" again")))))
+    store.compact()
+    store.delete(rows.where("doc_id % 5 = 0").select(F.col("doc_id").alias("paper_id")))
+    store.upsert(delta_rows(rows.where("doc_id % 10 = 0").withColumn("lang", F.lit("again"))))
+    return store.read().select("paper_id", "lang", F.length("text").alias("n"), F.md5("text").alias("digest"))
+
+
+@query(
+    """
+WITH r AS (SELECT doc_id, CASE WHEN i % 7 = 3 AND doc_id % 4 = 1 THEN 'vector with entries that are no numbers' WHEN doc_id % 9 = 2 AND i = 1 THEN 'a required field is null' END AS error
+  FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE doc_id % 11 <> 5)),
+s AS (SELECT doc_id, min(error) AS error, count(*) AS n FROM r GROUP BY doc_id)
+SELECT documents.doc_id AS paper_id, CASE WHEN s.doc_id IS NULL THEN 'no rows to index' ELSE error END AS error, CASE WHEN error IS NULL THEN coalesce(n, 0) ELSE 0 END AS live FROM documents LEFT JOIN s USING (doc_id)
+"""
+)
+def index_bad_document_isolated(spark, d):
+    """Lines of all documents, some with a bad vector or without an id: a document with one is an error, the others go live."""
+    rows = docs(spark, d).where("doc_id % 11 <> 5").select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    broken = (F.col("i") % 7 == 3) & (F.col("paper_id") % 4 == 1)
+    vector = F.array(F.length("line").cast("double"), F.when(~broken, F.lit(1.0)))
+    rows = rows.select("paper_id", F.when(~((F.col("paper_id") % 9 == 2) & (F.col("i") == 1)), F.concat_ws("-", "paper_id", "i")).alias("id"), vector.alias("dense"))
+    papers = docs(spark, d).select(F.col("doc_id").alias("paper_id"))
+    good, errors = deltas.checked(rows, papers, dims=2)
+    store = deltas.DeltaIndex(spark, f"{shared_dir(spark)}/delta-index-{uuid.uuid4().hex}", buckets=8)
+    store.upsert(good)
+    live = store.read().groupBy("paper_id").agg(F.count(F.lit(1)).alias("live"))
+    return papers.join(errors, "paper_id", "left").join(live, "paper_id", "left").select("paper_id", "error", F.coalesce("live", F.lit(0)).alias("live"))
 
 
 TEMPLATE = "Categories:\n{categories}\nTitle: {title}\nAbstract: {abstract}\nKeywords: {keywords}\n**Relevant Extracts:**\n\n{chunks_info}\nAnswer as {schema}."

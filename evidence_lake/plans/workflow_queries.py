@@ -185,12 +185,29 @@ def token_usage(spark, d):
     return table(spark, d, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("calls"), F.sum(n).alias("chars"), F.round(F.avg(n), 6).alias("mean_chars"))
 
 
-@query()
+PIECES_SQL = """'"(?:[^"\\\\]|\\\\.)*"?|[{}]|[^"{}]+'"""
+
+
+@query(
+    f"""
+WITH b AS (SELECT conv_id, turn, text, '{{"reasoning": ' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ', "classification": ["' || left(role, 1) || '", "B"], "confidence": 0.5, "secondary_labels": ["' || role || '"], "extras": {{"turn":' || turn || '}}}}' AS body FROM conversations),
+r AS (SELECT *, CASE turn % 4 WHEN 0 THEN body WHEN 1 THEN 'Sure:' || chr(10) || '```json' || chr(10) || body || chr(10) || '```' WHEN 2 THEN 'so ' || body || ' then }}' ELSE text END AS raw FROM b),
+p AS (SELECT *, string_split(raw, '```') AS parts, regexp_extract_all(substr(raw, strpos(raw, '{{')), {PIECES_SQL}, 0, 's') AS pieces FROM r),
+n AS (SELECT *, list_transform(pieces, lambda x: CASE x WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) AS steps FROM p),
+e AS (SELECT *, CASE WHEN contains(raw, '{{') THEN list_filter(range(1, len(steps) + 1), lambda i: steps[i] = -1 AND list_sum(steps[1:i]) = 0)[1] END AS stop FROM n),
+c AS (SELECT *, CASE WHEN json_valid(raw) THEN raw WHEN len(parts) > 2 AND starts_with(parts[2], 'json') THEN substr(parts[2], 5) ELSE list_aggregate(pieces[1:stop], 'string_agg', '') END AS found FROM e),
+j AS (SELECT conv_id, turn, CASE WHEN json_valid(found) AND found ->> '$.classification' IS NOT NULL THEN found END AS a FROM c)
+SELECT conv_id, turn, CASE WHEN a IS NULL THEN 'F' WHEN a ->> '$.classification[0]' IN ({", ".join(f"'{x}'" for x in codes.ACCESS_LABELS)}) THEN (a ->> '$.classification[0]') || ',B' ELSE 'B' END AS codes,
+  CASE WHEN a IS NULL THEN 0.0 ELSE CAST(a ->> '$.confidence' AS DOUBLE) END AS confidence, CAST(length(a ->> '$.reasoning') AS INTEGER) AS n_reasoning, a ->> '$.secondary_labels[0]' AS secondary, a ->> '$.extras' AS extras, a IS NOT NULL AS parsed_ok
+FROM j
+"""
+)
 def answer_parse(spark, d):
-    """Answers in prose and fences, some broken, read into decisions; the balanced scan is beyond SQL and tested in Python."""
-    kind = F.col("turn") % 4
-    body = F.concat(F.lit('{"classification": ["'), F.substring("text", 1, 1), F.lit('", "B"], "confidence": 0.5}'))
-    raw = F.when(kind == 0, body).when(kind == 1, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("so {"), F.substring(body, 2, 999), F.lit(" then"))).otherwise(F.col("text"))
+    """Answers with the turn's text as reasoning, bare, in a fence or in prose, and plain texts, read into decisions, secondary labels and extras."""
+    kind, role = F.col("turn") % 4, F.col("role")
+    reasoning = F.regexp_replace(F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("t"))), r'(?s)^\{"t":(.*)\}$', "$1")
+    body = F.concat(F.lit('{"reasoning": '), reasoning, F.lit(', "classification": ["'), F.substring(role, 1, 1), F.lit('", "B"], "confidence": 0.5, "secondary_labels": ["'), role, F.lit('"], "extras": {"turn":'), F.col("turn").cast("string"), F.lit("}}"))
+    raw = F.when(kind == 0, body).when(kind == 1, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("so "), body, F.lit(" then }"))).otherwise(F.col("text"))
     rows = table(spark, d, "conversations").select("conv_id", "turn", answers.parsed(raw).alias("a"))
     out = rows.withColumn("dec", answers.decision(F.col("a"), codes.ACCESS_LABELS, "F"))
-    return out.select("conv_id", "turn", F.array_join("dec.codes", ",").alias("codes"), "dec.confidence", "dec.parsed_ok")
+    return out.select("conv_id", "turn", F.array_join("dec.codes", ",").alias("codes"), "dec.confidence", F.length("a.reasoning").alias("n_reasoning"), F.element_at("dec.secondary_labels", 1).alias("secondary"), "dec.extras", "dec.parsed_ok")

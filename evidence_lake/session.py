@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +22,13 @@ def session(app: str = "evidence_lake", shuffle_partitions: int | None = None, *
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a session of one process gets a temporary one; on a cluster that is an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="evidence_lake_")
+    return where.rstrip("/")
