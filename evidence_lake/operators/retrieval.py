@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_lake.functions.vectors import dot, max_sim
-from evidence_lake.operators import blocks
+from evidence_lake.operators import blocks, postings
 
 #: Query tables of at most so many rows are broadcast.
 BROADCAST_QUERIES = 10_000
@@ -75,6 +75,11 @@ def sparse(query_terms: DataFrame, point_terms: DataFrame, k: int) -> DataFrame:
     return top(pairs.groupBy("query_id", "id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score")), k, ["query_id"])
 
 
+def sparse_texts(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score, rank as by `sparse` over the terms of queries (query_id, text) and points (id, text): blocks with bounds in place of a join of terms."""
+    return top(postings.sparse(queries, points, k), k, ["query_id"])
+
+
 def keyword_hits(text: Column, words: list[str]) -> Column:
     """Sum over the words (repeated ones count again) of their occurrences as substrings."""
     low = F.lower(text)

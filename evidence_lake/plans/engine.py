@@ -69,7 +69,7 @@ class Engine:
         rows = retrieval.matching(self.points(), rest, scope)
         how = retrieval.clamp_mode(mode or s.mode, {"dense", "sparse"}, mode is not None)
         near = lambda n: retrieval.dense(queries.select("query_id", self.embed(F.col("text")).alias("q")), rows.select("id", F.col("dense").alias("v")), n, dims=s.dims)
-        by_terms = lambda n: retrieval.sparse(embedding.sparse_terms(queries, "query_id", "text"), embedding.sparse_terms(rows, "id", "text"), n)
+        by_terms = lambda n: retrieval.sparse_texts(queries.select("query_id", "text"), rows.select("id", "text"), n)
         if how == "dense_only":
             hits = near(k)
         elif how == "sparse_only":

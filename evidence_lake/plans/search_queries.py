@@ -62,14 +62,14 @@ qt AS (SELECT item_id AS query_id, term, round(ln(1 + count(*)), 6) AS qw FROM (
 ss AS (SELECT query_id, id, round(sum(qw * w), 6) AS score FROM dt JOIN qt USING (term) GROUP BY ALL)"""
 
 
-def terms(spark, d):
-    q = embedding.sparse_terms(table(spark, d, "benchmark"), "item_id", "text").withColumnRenamed("item_id", "query_id")
-    return q, embedding.sparse_terms(docs(spark, d), "doc_id", "text").withColumnRenamed("doc_id", "id")
+def sparse(spark, d, k):
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return retrieval.sparse_texts(q, docs(spark, d).select(F.col("doc_id").alias("id"), "text"), k)
 
 
 @query(f"WITH {TERMS} {RANKED.format('ss', 10)}")
 def search_sparse(spark, d):
-    return retrieval.sparse(*terms(spark, d), 10)
+    return sparse(spark, d, 10)
 
 
 KEYWORDS = "the of was the"
@@ -112,7 +112,7 @@ SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY sc
 """
 )
 def search_hybrid_rrf(spark, d):
-    return retrieval.hybrid(text_dense(spark, d, 50), retrieval.sparse(*terms(spark, d), 50), 10)
+    return retrieval.hybrid(text_dense(spark, d, 50), sparse(spark, d, 50), 10)
 
 
 @query(
@@ -149,7 +149,7 @@ s AS (SELECT query_id, id, len(list_filter(ql.bs, lambda b: list_contains(dl.bs,
 )
 def late_maxsim(spark, d):
     embed = embedding.late_tokens(8)
-    candidates = retrieval.sparse(*terms(spark, d), 20).persist()  # read twice
+    candidates = sparse(spark, d, 20).persist()  # read twice
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), embed(F.col("text")).alias("ql"))
     texts = docs(spark, d).select(F.col("doc_id").alias("id"), "text").join(candidates.select("id").distinct(), "id", "left_semi")
     v = texts.select("id", F.array_distinct(embed(F.col("text"))).alias("dl"))  # equal vectors have one maximum
@@ -162,7 +162,7 @@ SETS = f"dset AS (SELECT doc_id AS id, list_distinct({TOKENS.format('text')}) AS
 
 def pairs_with_sets(spark, d, k):
     """Candidates with the word sets of both texts, made once a text."""
-    c = retrieval.sparse(*terms(spark, d), k).select("query_id", "id", "score").persist()  # read twice
+    c = sparse(spark, d, k).select("query_id", "id", "score").persist()  # read twice
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(word_tokens(F.col("text"))).alias("query"))
     texts = docs(spark, d).select(F.col("doc_id").alias("id"), "text").join(c.select("id").distinct(), "id", "left_semi")
     v = texts.select("id", F.array_distinct(word_tokens(F.col("text"))).alias("text"))
