@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidence_lake.functions import answers, prompts
 from evidence_lake.functions.text import overlap_score
-from evidence_lake.operators import chunking, embedding, index, rerank, retrieval, runs
+from evidence_lake.operators import chunking, embedding, index, late, rerank, retrieval, runs
 from evidence_lake.plans.tasks import MOST_ATTEMPTS, Registry, Settings, Task
 
 
@@ -52,13 +52,20 @@ class Engine:
     def papers(self) -> DataFrame:
         return self.points().groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_chunks"))
 
-    def explore(self, queries: DataFrame, filters: dict | None = None, top_k: int | None = None, mode: str | None = None, generated: DataFrame | None = None, scorer=None) -> DataFrame:
+    def explore(self, queries: DataFrame, filters: dict | None = None, top_k: int | None = None, mode: str | None = None, generated: DataFrame | None = None, scorer=None, late_encoder: late.TokenEncoder | None = None) -> DataFrame:
         """Search results of queries (query_id, text): cut, then the threshold.
 
         With generated documents (query_id, n, text) candidates are searched by the text and these. With a
-        scorer, rerank_top_k candidates are reranked with the original queries and cut to top_k.
+        scorer, or an encoder of tokens for late interaction, rerank_top_k candidates are reranked with the
+        original queries and cut to top_k.
         """
         asked = queries.select("query_id", "text")
+        if late_encoder is not None:
+            n = max(top_k or self.settings.top_k, retrieval.DEFAULTS["rerank_top_k"])
+            found = self.explore(asked, filters, n, mode, generated).drop("rank", "rank_score")
+            texts = found.select("id", "text").dropDuplicates(["id"])
+            best = late.rerank(found.select("query_id", "id"), asked, texts, top_k or self.settings.top_k, late_encoder)
+            return found.join(best.withColumnRenamed("score", "rank_score"), ["query_id", "id"])
         if scorer is not None:
             n = max(top_k or self.settings.top_k, retrieval.DEFAULTS["rerank_top_k"])
             return self.rescored(self.explore(asked, filters, n, mode, generated), asked, top_k or self.settings.top_k, scorer)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidence_lake.functions.text import set_similarity, word_tokens
-from evidence_lake.operators import embedding, rerank, retrieval
+from evidence_lake.operators import embedding, late, rerank, retrieval
 from evidence_lake.plans.chunk_queries import TOKENS, docs, table
 
 QUERIES: dict = {}
@@ -156,6 +156,26 @@ def late_maxsim(spark, d):
     return retrieval.late_rerank(candidates, q, v, 5)
 
 
+VECTOR = "list_transform(range(8), lambda i: ('0x' || substr(md5(tok), 4 * i + 1, 4))::BIGINT / 32768 - 1)"
+
+
+@query(
+    f"""
+WITH {TERMS}, c AS ({RANKED.format("ss", 20)}),
+dv AS (SELECT id, list_transform(x, lambda y: y / sqrt(list_inner_product(x, x))) AS v FROM (SELECT id, {VECTOR} AS x FROM (SELECT doc_id AS id, unnest(list_distinct({TOKENS.format("text")})) AS tok FROM documents) WHERE id IN (SELECT id FROM c))),
+qv AS (SELECT query_id, tok, list_transform(x, lambda y: y / sqrt(list_inner_product(x, x))) AS v FROM (SELECT query_id, tok, {VECTOR} AS x FROM (SELECT item_id AS query_id, unnest(list_distinct({TOKENS.format("text")})) AS tok FROM benchmark))),
+m AS (SELECT c.query_id, c.id, tok, max(list_inner_product(qv.v, dv.v)) AS best FROM c JOIN qv USING (query_id) JOIN dv USING (id) GROUP BY ALL),
+s AS (SELECT query_id, id, round(sum(best), 6) AS score FROM m GROUP BY ALL)
+{RANKED.format("s", 5)}
+"""
+)
+def late_token_matrices(spark, d):
+    """Candidates of the sparse search by late interaction of real-valued token vectors of whole texts."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    candidates = sparse(spark, d, 20).select("query_id", "id").persist()  # read twice
+    return late.rerank(candidates, q, docs(spark, d).select(F.col("doc_id").alias("id"), "text"), 5)
+
+
 JACCARD = "round(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))), 6)"
 SETS = f"dset AS (SELECT doc_id AS id, list_distinct({TOKENS.format('text')}) AS x FROM documents), qset AS (SELECT item_id AS query_id, list_distinct({TOKENS.format('text')}) AS y FROM benchmark)"
 
