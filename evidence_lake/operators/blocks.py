@@ -8,6 +8,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidence_lake.session import stored
+
 POINT_ROWS = 4096
 QUERY_ROWS = 1024
 #: Query blocks of at most so many bytes go to every task; more are dealt into groups of this size.
@@ -107,7 +109,8 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, dims: int, scope: str
     kinds = dict(queries.dtypes) | {"id": dict(points.dtypes)["id"]}
     p = packed(spread(points), "id", "v", dims, POINT_ROWS, scope)
     q = packed(queries, "query_id", "q", dims, QUERY_ROWS, scope)
-    q = q.select(F.col("ids").alias("q_ids"), F.col("n").alias("q_n"), F.col("cells").alias("q_cells"), *(["scope"] if scope else [])).persist()
+    q = q.select(F.col("ids").alias("q_ids"), F.col("n").alias("q_n"), F.col("cells").alias("q_cells"), *(["scope"] if scope else []))
+    q = stored(q, "query-blocks")  # measured, then met
     pairs = p.join(q, "scope").drop("scope") if scope else met(p, q)
 
     def run(batches):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evidence_lake.functions.text import set_similarity, word_tokens
 from evidence_lake.operators import embedding, late, rerank, retrieval
 from evidence_lake.plans.chunk_queries import TOKENS, docs, table
+from evidence_lake.session import stored
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -149,7 +150,7 @@ s AS (SELECT query_id, id, len(list_filter(ql.bs, lambda b: list_contains(dl.bs,
 )
 def late_maxsim(spark, d):
     embed = embedding.late_tokens(8)
-    candidates = sparse(spark, d, 20).persist()  # read twice
+    candidates = stored(sparse(spark, d, 20), "candidates")  # read twice
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), embed(F.col("text")).alias("ql"))
     texts = docs(spark, d).select(F.col("doc_id").alias("id"), "text").join(candidates.select("id").distinct(), "id", "left_semi")
     v = texts.select("id", F.array_distinct(embed(F.col("text"))).alias("dl"))  # equal vectors have one maximum
@@ -172,7 +173,7 @@ s AS (SELECT query_id, id, round(sum(best), 6) AS score FROM m GROUP BY ALL)
 def late_token_matrices(spark, d):
     """Candidates of the sparse search by late interaction of real-valued token vectors of whole texts."""
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    candidates = sparse(spark, d, 20).select("query_id", "id").persist()  # read twice
+    candidates = stored(sparse(spark, d, 20).select("query_id", "id"), "candidates")  # read twice
     return late.rerank(candidates, q, docs(spark, d).select(F.col("doc_id").alias("id"), "text"), 5)
 
 
@@ -182,7 +183,7 @@ SETS = f"dset AS (SELECT doc_id AS id, list_distinct({TOKENS.format('text')}) AS
 
 def pairs_with_sets(spark, d, k):
     """Candidates with the word sets of both texts, made once a text."""
-    c = sparse(spark, d, k).select("query_id", "id", "score").persist()  # read twice
+    c = stored(sparse(spark, d, k).select("query_id", "id", "score"), "candidates")  # read twice
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(word_tokens(F.col("text"))).alias("query"))
     texts = docs(spark, d).select(F.col("doc_id").alias("id"), "text").join(c.select("id").distinct(), "id", "left_semi")
     v = texts.select("id", F.array_distinct(word_tokens(F.col("text"))).alias("text"))

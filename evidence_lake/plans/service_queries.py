@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from evidence_lake.functions import prompts
-from evidence_lake.operators import deltas, index, rerank, retrieval, runs
-from evidence_lake.plans.chunk_queries import docs, table
+from evidence_lake.operators import deltas, index, rerank, retrieval, runs, titles, turns
+from evidence_lake.plans.chunk_queries import TOKENS, docs, table
 from evidence_lake.plans.search_queries import HIT_SQL, SELECTED, hits
 from evidence_lake.session import shared_dir
 from evidence_lake.sources import files
@@ -121,6 +121,54 @@ def index_bad_document_isolated(spark, d):
     return papers.join(errors, "paper_id", "left").join(live, "paper_id", "left").select("paper_id", "error", F.coalesce("live", F.lit(0)).alias("live"))
 
 
+@query(
+    f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+t AS (SELECT doc_id, line, list_distinct({TOKENS.format("line")}) AS x FROM l),
+r AS (SELECT '10.5555/' || item_id AS doi, list_distinct({TOKENS.format("line")}) AS y FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark)),
+s AS (SELECT DISTINCT x FROM (SELECT list_sort(x) AS x FROM t) WHERE len(x) > 0),
+p AS (SELECT x, doi, len(list_intersect(x, y)) AS c, len(x) AS a, len(y) AS b FROM s, r WHERE len(y) > 0),
+k AS (SELECT x, doi, CASE WHEN c = least(a, b) THEN 1.0::DOUBLE ELSE round(2.0::DOUBLE * c / (a + b), 6) END AS score FROM p WHERE c > 0),
+m AS (SELECT x, doi, score FROM k WHERE score >= 0.9 QUALIFY row_number() OVER (PARTITION BY x ORDER BY score DESC, doi) = 1)
+SELECT doc_id, md5(line) AS line, doi, score FROM t JOIN m ON list_sort(t.x) = m.x
+"""
+)
+def doi_by_title(spark, d):
+    """Every line of the documents against the lines of benchmark items as titles with a DOI."""
+    lines = docs(spark, d).select("doc_id", F.explode(F.split("text", "\n")).alias("title"))
+    references = table(spark, d, "benchmark").select(F.concat(F.lit("10.5555/"), "item_id").alias("doi"), F.explode(F.split("text", "\n")).alias("title"))
+    found = titles.matched(lines.select(F.struct("doc_id", F.md5("title").alias("line")).alias("title_id"), "title"), references)
+    return found.select("title_id.*", "doi", "score")
+
+
+RETRY_SQL = f"""
+WITH p AS (SELECT DISTINCT conv_id FROM conversations),
+r AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS attempt, CASE WHEN turn % 4 = 3 THEN '{{"classification": ["A"]}}' WHEN turn % 5 <> 2 THEN text END AS raw FROM conversations),
+a AS (SELECT * FROM r WHERE attempt <= 3 AND raw IS NOT NULL),
+v AS (SELECT conv_id, min(attempt) AS ok FROM a WHERE starts_with(raw, '{{"classification"') GROUP BY conv_id),
+s AS (SELECT a.*, ok, coalesce(attempt < ok, true) AS bad FROM a LEFT JOIN v USING (conv_id) WHERE attempt <= coalesce(ok, 3)),
+g AS (SELECT conv_id, count(*) AS n_samples, arg_max(raw, attempt) AS raw, coalesce(string_agg(chr(10) || 'assistant: ' || raw || chr(10) || 'user: {turns.CORRECTION}', '' ORDER BY attempt) FILTER (bad AND attempt < 3), '') AS more FROM s GROUP BY conv_id)
+SELECT p.conv_id, ok AS attempt, md5(raw) AS raw, md5('system: classify' || chr(10) || 'user: paper ' || p.conv_id || coalesce(more, '')) AS history, coalesce(n_samples, 0) AS n_samples
+FROM p LEFT JOIN v USING (conv_id) LEFT JOIN g USING (conv_id)
+"""
+
+
+@query(RETRY_SQL)
+def retry_with_corrections(spark, d):
+    """Each conversation's turns as answers to one prompt, some of them null (failed generations) and some that read; histories and samples of three rounds."""
+    from pyspark.sql import Window
+
+    rows = table(spark, d, "conversations")
+    attempt = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    raw = F.when(F.col("turn") % 4 == 3, '{"classification": ["A"]}').when(F.col("turn") % 5 != 2, F.col("text"))
+    responses = rows.select(F.col("conv_id").alias("paper_id"), attempt.alias("attempt"), raw.alias("raw"))
+    prompt = F.array(turns.message("system", F.lit("classify")), turns.message("user", F.concat(F.lit("paper "), "conv_id")))
+    papers = rows.select("conv_id").distinct().select(F.col("conv_id").alias("paper_id"), prompt.alias("messages"))
+    out = turns.retried(papers, turns.canned(responses))
+    history = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
+    return out.select(F.col("paper_id").alias("conv_id"), "attempt", F.md5("raw").alias("raw"), F.md5(history).alias("history"), F.size("samples").cast("long").alias("n_samples"))
+
+
 TEMPLATE = "Categories:\n{categories}\nTitle: {title}\nAbstract: {abstract}\nKeywords: {keywords}\n**Relevant Extracts:**\n\n{chunks_info}\nAnswer as {schema}."
 CATEGORIES = {"A": "open", "B": "closed"}
 SCHEMA = '{"type": "object"}'
