@@ -141,6 +141,51 @@ def doi_by_title(spark, d):
     return found.select("title_id.*", "doi", "score")
 
 
+def tei_documents(spark, d):
+    """Documents as TEI: a header, a division for each line, and two entries of a bibliography; every 50th isn't well-formed."""
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    parts = F.transform(F.split("text", "\n"), lambda line, i: F.concat(F.lit("<div><head>Part "), i.cast("string"), F.lit('</head><p>'), escaped(line), F.lit('<ref type="bibr" target="#b0"/></p></div>')))
+    head = F.concat(F.lit('<title level="m">Volume</title><title level="a">On '), "source", F.lit(" "), "doc_id", F.lit("</title><persName><forename>Ann</forename><surname>"), "lang", F.lit('</surname></persName><date when="'), (1990 + F.col("doc_id") % 30).cast("string"), F.lit('-05-01"/><idno type="DOI">10.5555/'), "doc_id", F.lit("</idno><keywords><term>"), "lang", F.lit("</term><term> </term></keywords>"))
+    entry = lambda n: F.concat(F.lit(f'<biblStruct><title level="a">Work {n} of '), "source", F.lit('</title><title level="j">Journal</title><persName><surname>Bee</surname></persName><date when="2001"/></biblStruct>'))
+    xml = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader>'), head, F.lit("</teiHeader><text><body>"), F.array_join(parts, ""), F.lit('</body><back><div type="references"><listBibl>'), entry(1), entry(2), F.lit("</listBibl></div></back></text></TEI>"))
+    return files.tei_papers(docs(spark, d).where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("paper_id"), F.when(F.col("doc_id") % 50 == 7, F.concat(xml, F.lit("<"))).otherwise(xml).alias("xml")))
+
+
+@query(
+    """
+SELECT CAST(doc_id AS VARCHAR) AS paper_id, CASE WHEN bad THEN CAST(doc_id AS VARCHAR) ELSE 'On ' || source || ' ' || doc_id END AS title, CASE WHEN bad THEN '' ELSE 'Ann ' || lang END AS authors, CASE WHEN NOT bad THEN CAST(1990 + doc_id % 30 AS INTEGER) END AS year,
+  CASE WHEN NOT bad THEN '10.5555/' || doc_id END AS doi, CASE WHEN bad THEN '' ELSE lang END AS keywords, bad AS failed
+FROM (SELECT *, doc_id % 50 = 7 AS bad FROM documents WHERE text IS NOT NULL)
+"""
+)
+def tei_metadata(spark, d):
+    rows = files.tei_metadata(tei_documents(spark, d))
+    return rows.select("paper_id", "title", F.array_join("authors", "; ").alias("authors"), "year", "doi", F.array_join("keywords", "; ").alias("keywords"), F.col("error").isNotNull().alias("failed"))
+
+
+@query(
+    """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL AND doc_id % 50 <> 7),
+c AS (SELECT doc_id, i, trim(regexp_replace(line || ' (#b0)', '\\s+', ' ', 'g')) AS content FROM l),
+u AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, content ORDER BY i) = 1)
+SELECT CAST(doc_id AS VARCHAR) AS paper_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS section_ord, 'Part ' || i AS title, md5(replace(content, ' ', '')) AS content, '#b0' AS cited FROM u
+"""
+)
+def tei_sections(spark, d):
+    rows = files.tei_sections(tei_documents(spark, d))
+    return rows.select("paper_id", "section_ord", "title", F.md5(F.replace("content", F.lit(" "), F.lit(""))).alias("content"), F.array_join("references_cited", "; ").alias("cited"))
+
+
+@query(
+    """
+SELECT CAST(doc_id AS VARCHAR) AS paper_id, n - 1 AS ref_ord, 'Bee. Work ' || n || ' of ' || source || '. Journal. 2001' AS raw_text, 'Work ' || n || ' of ' || source AS title, CAST(2001 AS INTEGER) AS year, 'Journal' AS journal
+FROM documents, (SELECT unnest([1, 2])::BIGINT AS n) WHERE text IS NOT NULL AND doc_id % 50 <> 7
+"""
+)
+def tei_references(spark, d):
+    return files.tei_references(tei_documents(spark, d)).select("paper_id", "ref_ord", "raw_text", "title", "year", "journal")
+
+
 RETRY_SQL = f"""
 WITH p AS (SELECT DISTINCT conv_id FROM conversations),
 r AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS attempt, CASE WHEN turn % 4 = 3 THEN '{{"classification": ["A"]}}' WHEN turn % 5 <> 2 THEN text END AS raw FROM conversations),

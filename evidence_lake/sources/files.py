@@ -136,6 +136,17 @@ def tei_sections(parsed: DataFrame) -> DataFrame:
     return rows.select("paper_id", F.col("section_ord").cast("long").alias("section_ord"), "s.title", section_type(F.col("s.title")).alias("section_type"), "s.content", "s.references_cited")
 
 
+def tei_metadata(parsed: DataFrame) -> DataFrame:
+    """A row for each document: title, authors, year, DOI, journal, abstract, keywords, and the error of one that can't be parsed."""
+    return parsed.select("paper_id", "title", "authors", "year", "doi", "journal", "abstract", "keywords", "error")
+
+
+def tei_references(parsed: DataFrame) -> DataFrame:
+    """A row for each entry of the documents' bibliographies, in order; entries that stand twice are two."""
+    rows = parsed.select("paper_id", F.posexplode("refs").alias("ref_ord", "r"))
+    return rows.select("paper_id", F.col("ref_ord").cast("long").alias("ref_ord"), "r.raw_text", "r.title", "r.authors", "r.year", "r.doi", "r.journal")
+
+
 LOADERS: dict[str, Callable] = {"text": text_papers, "tei": tei_papers}
 
 
