@@ -1,7 +1,7 @@
 """Ranked lexical search over a clustered index whose documents recursive graph bisection has reordered.
 
 Index: documents become (terms, counts). A tree of bisections, fitted on a bounded sample, deals all documents
-into leaves; a leaf's documents lie in blocks of bounded size, and each block is reordered by recursive graph
+into leaves (very long ones lie apart); a leaf's documents lie in blocks of bounded size, and each block is reordered by recursive graph
 bisection: halves swap the documents that most lower the cost of the terms' gaps, then each half does the same.
 Runs of the order are shards: postings of all terms, with the largest impact of each term.
 
@@ -26,7 +26,7 @@ from evidence_lake.llm.common import in_arrow, staged
 
 #: A block is reordered in one piece: at most so many documents and, but for a single document, bytes of terms.
 BLOCK_DOCS = 8192
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 SHARD_DOCS = 1024
 #: Bisection ends at so few documents.
 LEAST_DOCS = 32
@@ -130,45 +130,54 @@ def _edges(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, _Ids]:
 
 @dataclass
 class Tree:
-    """Leaves by number: node i has the children 2i and 2i + 1, and for each term what it says for the second one."""
+    """Leaves by number: node i has the children 2i and 2i + 1, and for each known term what it says for the second one.
+
+    shares: the leaves' shares of the sample, by documents and by bytes of terms.
+    """
 
     depth: int
-    nodes: dict[int, dict[bytes, float]]
-    shares: dict[int, float]
+    numbers: dict[bytes, int]
+    weights: dict[int, np.ndarray]
+    shares: dict[int, tuple[float, float]]
 
     def leaf(self, terms: list[bytes]) -> int:
-        node = 1
+        known, node = [n for n in map(self.numbers.get, terms) if n is not None], 1
         for _ in range(self.depth):
-            weights = self.nodes.get(node, {})
-            node = 2 * node + (sum(weights.get(t, 0.0) for t in terms) > 0)
+            node = 2 * node + (node in self.weights and bool(self.weights[node][known].sum() > 0))
         return node
 
 
 def fitted_tree(sample: list[bytes], depth: int) -> Tree:
     """Bisections of a sample's documents, depth levels of them."""
-    nodes: dict[int, dict[bytes, float]] = {}
+    weights: dict[int, np.ndarray] = {}
     doc, term, ids = _edges(sample)
+    doc, term, useful = _told_apart(doc, term, len(sample), len(ids))
     words = list(ids)
+    numbers = {words[i]: n for n, i in enumerate(useful.tolist())}
 
-    def grow(node: int, doc: np.ndarray, term: np.ndarray, n: int, names: list[bytes]) -> None:
+    def grow(node: int, doc: np.ndarray, term: np.ndarray, n: int, names: np.ndarray) -> None:
         if node >= 1 << depth or n < 2:
             return
         doc, term, own = _told_apart(doc, term, n, len(names))
-        names = [names[i] for i in own.tolist()]
+        names = names[own]
         second = halved(doc, term, n, len(names))
         side, sizes = second[doc], (n // 2, n - n // 2)
         there = np.bincount(term[side], minlength=len(names))
         here = np.bincount(term, minlength=len(names)) - there
-        says = np.log((there + 1) / (sizes[1] + 2)) - np.log((here + 1) / (sizes[0] + 2))
-        nodes[node] = dict(zip(names, says.tolist()))
+        weights[node] = np.zeros(len(numbers), np.float32)
+        weights[node][names] = np.log((there + 1) / (sizes[1] + 2)) - np.log((here + 1) / (sizes[0] + 2))
         for part in (False, True):
             edges, place = side == part, np.cumsum(second == part) - 1
             grow(2 * node + part, place[doc[edges]], term[edges], sizes[part], names)
 
-    grow(1, doc, term, len(sample), words)
-    tree = Tree(depth, nodes, {})
-    seen = Counter(tree.leaf(x.split()) for x in sample)
-    tree.shares = {leaf: many / max(1, len(sample)) for leaf, many in seen.items()}
+    grow(1, doc, term, len(sample), np.arange(len(numbers)))
+    tree = Tree(depth, numbers, weights, {})
+    docs, size = Counter(), Counter()
+    for x in sample:
+        leaf = tree.leaf(x.split())
+        docs[leaf] += 1
+        size[leaf] += len(x)
+    tree.shares = {leaf: (many / len(sample), size[leaf] / sum(size.values())) for leaf, many in docs.items()}
     return tree
 
 
@@ -188,9 +197,9 @@ def _forward(batches):
 
 
 def _dealt(batches, tree: Tree, lanes: dict[int, int]):
-    """Each document with its leaf and one of the leaf's lanes."""
+    """Each document with its leaf and one of the leaf's lanes; long documents have lanes of their own, as leaf 0."""
     for batch in batches:
-        leaves = [tree.leaf(x.split()) for x in batch.column("terms").to_pylist()] if tree.depth else [1] * batch.num_rows
+        leaves = [0 if len(x) > SAMPLE_BYTES else tree.leaf(x.split()) if tree.depth else 1 for x in batch.column("terms").to_pylist()]
         turn = (batch.column("row").to_numpy() * 0x9E3779B1 >> 7).tolist()
         lane = [t % lanes.get(leaf, 1) for leaf, t in zip(leaves, turn)]
         yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int32()), pa.array(lane, pa.int32()), *batch.columns], names=["leaf", "lane", *batch.schema.names])
@@ -261,14 +270,16 @@ def indexed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
     """The index of all documents; those without a term, or text, aren't in it. Ids may be null or repeat."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     forward = staged(own.transform(in_arrow, _forward, FORWARD), "lexical-forward")
-    n_docs, n_terms = forward.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    long = F.length("terms") > SAMPLE_BYTES
+    sums = [F.coalesce(F.sum(x), F.lit(0)) for x in ("n", F.when(~long, F.length("terms")), F.when(long, F.length("terms")))]
+    n_docs, n_terms, short_bytes, long_bytes = forward.agg(F.count(F.lit(1)), *sums).first()
     depth = min(LEAVES.bit_length() - 1, max(0, math.ceil(math.log2(max(1, n_docs) / block_docs))))
-    tree = Tree(0, {}, {1: 1.0})
+    tree = Tree(0, {}, {}, {1: (1.0, 1.0)})
     if depth:
         rate = max(1, n_docs // SAMPLE)
-        taken = forward.where((F.pmod(F.xxhash64("row"), F.lit(rate)) == 0) & (F.length("terms") <= SAMPLE_BYTES)).select("row", "terms")
+        taken = forward.where((F.pmod(F.xxhash64("row"), F.lit(rate)) == 0) & ~long).select("row", "terms")
         tree = fitted_tree([bytes(r.terms) for r in sorted(taken.collect(), key=lambda r: r.row)], depth)  # a bounded sample
-    lanes = {leaf: math.ceil(share * n_docs / block_docs) for leaf, share in tree.shares.items()}
+    lanes = {leaf: math.ceil(max(docs * n_docs / block_docs, size * short_bytes / BLOCK_BYTES)) for leaf, (docs, size) in tree.shares.items()} | {0: math.ceil(long_bytes / BLOCK_BYTES) or 1}
     dealt = forward.transform(in_arrow, lambda b: _dealt(b, tree, lanes), f"leaf int, lane int, {FORWARD}")
     blocks = dealt.repartition("leaf", "lane").sortWithinPartitions("leaf", "lane", "row")
     return Index(staged(blocks.transform(in_arrow, lambda b: _sharded(b, n_docs, n_terms, block_docs, shard_docs), SHARDS), "lexical-shards"), n_docs, n_terms)
