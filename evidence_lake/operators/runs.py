@@ -103,3 +103,9 @@ class RunStore:
 
     def results(self, run_id: str) -> DataFrame:
         return self.spark.read.json(f"{self.path}/results/{run_id}")
+
+
+def usage_so_far(calls: DataFrame, by: list[str], order: list[str], used: str, provider: str, last: int) -> DataFrame:
+    """calls with so_far (the sum in their order), by_<provider> (that of the provider's calls alone) and last_<n> over the last n calls."""
+    all_, own = Window.partitionBy(*by).orderBy(*order), Window.partitionBy(*by, provider).orderBy(*order)
+    return calls.withColumns({"so_far": F.sum(used).over(all_), f"by_{provider}": F.sum(used).over(own), f"last_{last}": F.sum(used).over(all_.rowsBetween(1 - last, 0))})

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from evidence_lake.functions import prompts
-from evidence_lake.operators import deltas, index, rerank, retrieval, runs, titles, turns
+from evidence_lake.operators import deltas, index, jobs, rerank, retrieval, runs, titles, turns
 from evidence_lake.plans.chunk_queries import TOKENS, docs, table
 from evidence_lake.plans.search_queries import HIT_SQL, SELECTED, hits
 from evidence_lake.session import shared_dir
@@ -186,6 +186,44 @@ def tei_references(spark, d):
     return files.tei_references(tei_documents(spark, d)).select("paper_id", "ref_ord", "raw_text", "title", "year", "journal")
 
 
+#: What events ask of a job.
+ASKED = {"signup": "queued", "view": "running", "purchase": "completed_with_errors", "click": "cancel_requested", "error": "failed"}
+LEGAL_SQL = " OR ".join(f"(split_part(acc, '|', 1) = '{s}' AND x IN ({', '.join(repr(t) for t in ts)}))" for s, ts in jobs.MOVES.items() if ts)
+
+
+def moves(spark, d):
+    to = F.create_map(*[F.lit(x) for both in ASKED.items() for x in both])[F.col("event_type")]
+    return table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("ts").alias("at"), F.col("event_id").alias("n"), to.alias("to"))
+
+
+@query(
+    f"""
+WITH m AS (SELECT user_id AS job_id, ts, event_id, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ASKED.items())} ELSE '' END AS x FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+r AS (SELECT job_id, count(*) AS n, list_reduce(list(x ORDER BY ts, event_id), lambda acc, x: CASE WHEN {LEGAL_SQL} THEN x || '|' || (CAST(split_part(acc, '|', 2) AS BIGINT) + 1) ELSE acc END, '{jobs.START}|0') AS e FROM m GROUP BY job_id)
+SELECT job_id, split_part(e, '|', 1) AS state, CAST(split_part(e, '|', 2) AS BIGINT) AS accepted, n - CAST(split_part(e, '|', 2) AS BIGINT) AS rejected FROM r
+"""
+)
+def job_states(spark, d):
+    """Users as jobs: their events ask for moves; which state they end in, and how many moves were legal."""
+    return jobs.folded(moves(spark, d))
+
+
+USAGE = "length(text) + 4 * (turn + 1)"
+
+
+@query(
+    f"""
+WITH u AS (SELECT conv_id, turn, role, coalesce({USAGE}, 0) AS used FROM conversations)
+SELECT conv_id, turn, role, CAST(used AS BIGINT) AS used, CAST(sum(used) OVER (PARTITION BY conv_id ORDER BY turn, role) AS BIGINT) AS so_far, CAST(sum(used) OVER (PARTITION BY conv_id, role ORDER BY turn) AS BIGINT) AS by_role,
+  CAST(sum(used) OVER (PARTITION BY conv_id ORDER BY turn, role ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS last_3 FROM u
+"""
+)
+def usage_running(spark, d):
+    """What each call of a conversation uses, with running sums by conversation and role and over the last three calls."""
+    used = table(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce(F.expr(USAGE), F.lit(0)).cast("long").alias("used"))
+    return runs.usage_so_far(used, ["conv_id"], ["turn", "role"], "used", "role", 3)
+
+
 RETRY_SQL = f"""
 WITH p AS (SELECT DISTINCT conv_id FROM conversations),
 r AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS attempt, CASE WHEN turn % 4 = 3 THEN '{{"classification": ["A"]}}' WHEN turn % 5 <> 2 THEN text END AS raw FROM conversations),
