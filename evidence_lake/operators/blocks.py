@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -88,17 +91,38 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * SPLIT_BYTES else df
 
 
-def met(points: DataFrame, queries: DataFrame) -> DataFrame:
-    """Pairs of a block of points and a block of queries; large query sets are dealt into groups, each of which meets the points in as many lanes as there are cores."""
+def met(points: DataFrame, queries: DataFrame, scope: bool = False) -> DataFrame:
+    """Pairs of a block of points and a block of queries, with `scope` of equal scope only.
+
+    Query blocks of a checked size go to every task. More are dealt into groups, each of which meets the points in
+    as many lanes as there are cores; a scope that many blocks have is dealt like the whole table.
+    """
     size = queries.agg(F.sum(F.length("q_cells"))).first()[0] or 0
-    groups = -(-size // BROADCAST_BYTES)
+    groups, key = -(-size // BROADCAST_BYTES), ["scope"] if scope else []
     if groups <= 1:
-        return points.join(F.broadcast(queries), F.lit(True))
+        return points.join(F.broadcast(queries), key or F.lit(True)).drop(*key)
     lanes = points.sparkSession.sparkContext.defaultParallelism
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     p = points.withColumn("lane", F.pmod(F.xxhash64("cells"), F.lit(lanes)).cast("int")).withColumn("group", each(groups))
     q = queries.withColumn("group", F.pmod(F.xxhash64("q_cells"), F.lit(groups)).cast("int")).withColumn("lane", each(lanes))
-    return p.join(q, ["group", "lane"])
+    return p.join(q, [*key, "group", "lane"]).drop(*key)
+
+
+def products(vectors: list[list[float]], dims: int):
+    """A vectorised function of a vector column: its inner products with each of a few vectors, to six digits; null for vectors that are null or of other dimensions."""
+    sides = np.asarray(vectors, np.float64).reshape(-1, dims)
+
+    @F.pandas_udf("array<double>")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            good = np.array([x is not None and len(x) == dims for x in rows], bool)
+            out = np.full(len(rows), None, object)
+            if good.any():
+                found = rounded(np.stack([np.asarray(x, np.float64) for x in rows[good]]) @ sides.T)
+                out[good] = pd.Series(list(found)).to_numpy()
+            yield pd.Series(out)
+
+    return score
 
 
 def nearest(queries: DataFrame, points: DataFrame, k: int, dims: int, scope: str | None = None) -> DataFrame:
@@ -111,7 +135,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, dims: int, scope: str
     q = packed(queries, "query_id", "q", dims, QUERY_ROWS, scope)
     q = q.select(F.col("ids").alias("q_ids"), F.col("n").alias("q_n"), F.col("cells").alias("q_cells"), *(["scope"] if scope else []))
     q = stored(q, "query-blocks")  # measured, then met
-    pairs = p.join(q, "scope").drop("scope") if scope else met(p, q)
+    pairs = met(p, q, bool(scope))
 
     def run(batches):
         for batch in batches:

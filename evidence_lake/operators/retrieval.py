@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidence_lake.functions.vectors import dot, max_sim
+from evidence_lake.functions.vectors import dot, max_sim, norm, unit
 from evidence_lake.operators import blocks, postings
 
 #: Query tables of at most so many rows are broadcast.
@@ -69,6 +69,38 @@ def dense(queries: DataFrame, points: DataFrame, k: int, scope: str | None = Non
     return top(pairs.select("query_id", "id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score")), k, ["query_id"])
 
 
+#: Lengths within this of 1 count as normalised.
+UNIT_SLACK = 1e-6
+
+
+def vector_facts(points: DataFrame, v: str = "v") -> dict:
+    """What holds for a table's vectors: n, dims (null if they differ), least and largest length, whether they are normalised; null vectors don't count."""
+    length = norm(F.col(v))
+    row = points.where(F.col(v).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.min(F.size(v)).alias("low"), F.max(F.size(v)).alias("high"), F.min(length).alias("least"), F.max(length).alias("most")).first()
+    return {"n": row.n, "dims": row.low if row.low == row.high else None, "least_norm": row.least, "most_norm": row.most, "normalised": bool(row.n) and abs(row.least - 1) <= UNIT_SLACK and abs(row.most - 1) <= UNIT_SLACK}
+
+
+def cosine(queries: DataFrame, points: DataFrame, k: int, facts: dict | None = None) -> DataFrame:
+    """query_id, id, score, rank by the cosine of q and v, to six digits; a zero vector's is 0.
+
+    facts: the points' vector_facts, as kept beside an index; normalised points go as they are.
+    """
+    facts = facts or vector_facts(points)
+    if facts["n"] and not facts["dims"]:
+        raise ValueError("vectors of different dimensions have no cosine")
+    own = points if facts["normalised"] else points.withColumn("v", unit(F.col("v").cast("array<double>")))
+    return dense(queries.withColumn("q", unit(F.col("q").cast("array<double>"))), own, k, dims=facts["dims"] or 1)
+
+
+def transformed(queries: DataFrame, chain: list, text: str = "text") -> DataFrame:
+    """queries with `text` put through a chain of column transforms, in order; the text as asked stays as original_text. An empty result falls back to the text before it."""
+    out = queries.withColumn("original_text", F.col(text))
+    for step in chain:
+        new = step(F.col(text))
+        out = out.withColumn(text, F.when(F.coalesce(F.trim(new), F.lit("")) != "", new).otherwise(F.col(text)))
+    return out
+
+
 def sparse(query_terms: DataFrame, point_terms: DataFrame, k: int) -> DataFrame:
     """query_id, id, score, rank by an inverted-index join on terms: sums of products of weights."""
     pairs = point_terms.join(small(query_terms.select("query_id", "term", F.col("weight").alias("qw"))), "term")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidence_lake.functions import answers, prompts
 from evidence_lake.functions.text import overlap_score
-from evidence_lake.operators import chunking, embedding, index, late, rerank, retrieval, runs
+from evidence_lake.operators import blocks, chunking, embedding, index, late, rerank, retrieval, runs
 from evidence_lake.plans.tasks import MOST_ATTEMPTS, Registry, Settings, Task
 
 
@@ -93,12 +93,13 @@ class Engine:
         """Every paper's evidence for a task: all (paper, template) searches in one job."""
         rows = task.queries()
         t = self.spark.createDataFrame(rows, "category string, category_ord int, template_ord int, query string").withColumn("q", self.embed(F.col("query")))
-        scored = retrieval.small(t).join(self.points(), F.lit(True))
-        from evidence_lake.functions.vectors import dot_unrolled
-
-        scored = scored.withColumn("score", F.round(dot_unrolled(F.col("q"), F.col("dense"), self.settings.dims), 6))
+        asked = t.orderBy("category_ord", "template_ord").collect()  # a task's templates
+        names = F.array(*[F.struct(F.lit(r.category).alias("category"), F.lit(r.category_ord).alias("category_ord"), F.lit(r.template_ord).alias("template_ord")) for r in asked])
+        scores = blocks.products([r.q for r in asked], self.settings.dims)(F.col("dense"))
+        both = self.points().withColumn("hit", F.explode(F.arrays_zip(names.alias("of"), scores.alias("score")))).drop("dense")
+        scored = both.select("*", "hit.of.*", "hit.score").drop("hit").where("score IS NOT NULL")
         w = Window.partitionBy("paper_id", "category_ord", "template_ord").orderBy(F.desc("score"), "id")
-        hits = scored.withColumn("rank0", F.row_number().over(w) - 1).where(F.col("rank0") < task.top_k).drop("q", "query", "dense")
+        hits = scored.withColumn("rank0", F.row_number().over(w) - 1).where(F.col("rank0") < task.top_k)
         return rerank.mine_evidence(hits, task.top_k, list(task.sections)) if task.kind == "miner" else rerank.select_evidence(hits, task.top_k)
 
     def classify(self, key: str, responses: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidence_lake.functions.text import set_similarity, word_tokens
-from evidence_lake.operators import embedding, late, rerank, retrieval
+from evidence_lake.operators import embedding, idsets, late, rerank, retrieval
 from evidence_lake.plans.chunk_queries import TOKENS, docs, table
 from evidence_lake.session import stored
 
@@ -73,6 +73,40 @@ def search_sparse(spark, d):
     return sparse(spark, d, 10)
 
 
+@query(f"WITH c AS (SELECT doc_id FROM documents WHERE length(text) % 3 = 0), s AS ({DENSE} WHERE b.vec_id IN (SELECT doc_id FROM c)) {RANKED.format('s', 10)}")
+def search_among_ids(spark, d):
+    """Dense search among the ids that another table names: documents of certain lengths."""
+    ids = docs(spark, d).where(F.length("text") % 3 == 0).select(F.col("doc_id").alias("id"))
+    return retrieval.dense(vector_queries(spark, d).drop("label"), idsets.among(points(spark, d).drop("label"), ids), 10, dims=DIMS)
+
+
+@query(
+    f"""
+WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, CASE WHEN b.vec_id % 97 = 5 THEN 0.0 ELSE round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) END AS score FROM embeddings a, embeddings b)
+{RANKED.format("s", 10)}
+"""
+)
+def search_cosine(spark, d):
+    """Cosine over vectors of other lengths than 1 (the length differs with the id, some are zero)."""
+    longer = F.transform("v", lambda x: x.cast("double") * F.when(F.col("id") % 97 == 5, 0.0).otherwise(1.0 + F.col("id") % 5))
+    return retrieval.cosine(vector_queries(spark, d).drop("label"), points(spark, d).select("id", longer.alias("v")), 10)
+
+
+CHAIN_TOKENS = TOKENS.format("regexp_replace(lower(text), '[aeiou]', '', 'g')")
+
+
+@query(
+    f"""
+WITH {TERMS.replace(TOKENS.format("text"), CHAIN_TOKENS).replace("doc_id, unnest(" + CHAIN_TOKENS, "doc_id, unnest(" + TOKENS.format("text"))} {RANKED.format("ss", 10)}
+"""
+)
+def search_transformed(spark, d):
+    """Items asked through a chain of transforms: lower case, then without vowels."""
+    chain = [F.lower, lambda c: F.regexp_replace(c, "[aeiou]", "")]
+    q = retrieval.transformed(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), chain)
+    return retrieval.sparse_texts(q, docs(spark, d).select(F.col("doc_id").alias("id"), "text"), 10)
+
+
 KEYWORDS = "the of was the"
 HITS = " + ".join(f"(len(string_split(lower(text), '{w}')) - 1)" for w in KEYWORDS.split())
 
