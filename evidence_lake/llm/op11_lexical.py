@@ -130,7 +130,7 @@ def _edges(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, _Ids]:
 
 @dataclass
 class Tree:
-    """Leaves by number: node i has the children 2i and 2i + 1, and for each known term what it says for the second one.
+    """Leaves by number: node i has the children 2i and 2i + 1, and for each known term what it says for the second one; documents go there whose terms say more than those of half the node's sample.
 
     shares: the leaves' shares of the sample, by documents and by bytes of terms.
     """
@@ -138,18 +138,20 @@ class Tree:
     depth: int
     numbers: dict[bytes, int]
     weights: dict[int, np.ndarray]
+    least: dict[int, float]
     shares: dict[int, tuple[float, float]]
 
     def leaf(self, terms: list[bytes]) -> int:
         known, node = [n for n in map(self.numbers.get, terms) if n is not None], 1
         for _ in range(self.depth):
-            node = 2 * node + (node in self.weights and bool(self.weights[node][known].sum() > 0))
+            node = 2 * node + (node in self.weights and bool(self.weights[node][known].sum(dtype=float) > self.least[node]))
         return node
 
 
 def fitted_tree(sample: list[bytes], depth: int) -> Tree:
     """Bisections of a sample's documents, depth levels of them."""
     weights: dict[int, np.ndarray] = {}
+    least: dict[int, float] = {}
     doc, term, ids = _edges(sample)
     doc, term, useful = _told_apart(doc, term, len(sample), len(ids))
     words = list(ids)
@@ -166,12 +168,16 @@ def fitted_tree(sample: list[bytes], depth: int) -> Tree:
         here = np.bincount(term, minlength=len(names)) - there
         weights[node] = np.zeros(len(numbers), np.float32)
         weights[node][names] = np.log((there + 1) / (sizes[1] + 2)) - np.log((here + 1) / (sizes[0] + 2))
+        said = np.bincount(doc, weights[node][names][term].astype(float), minlength=n)
+        least[node] = float(np.median(said))
+        second = said > least[node]
+        side = second[doc]
         for part in (False, True):
             edges, place = side == part, np.cumsum(second == part) - 1
-            grow(2 * node + part, place[doc[edges]], term[edges], sizes[part], names)
+            grow(2 * node + part, place[doc[edges]], term[edges], int((second == part).sum()), names)
 
     grow(1, doc, term, len(sample), np.arange(len(numbers)))
-    tree = Tree(depth, numbers, weights, {})
+    tree = Tree(depth, numbers, weights, least, {})
     docs, size = Counter(), Counter()
     for x in sample:
         leaf = tree.leaf(x.split())
@@ -274,7 +280,7 @@ def indexed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
     sums = [F.coalesce(F.sum(x), F.lit(0)) for x in ("n", F.when(~long, F.length("terms")), F.when(long, F.length("terms")))]
     n_docs, n_terms, short_bytes, long_bytes = forward.agg(F.count(F.lit(1)), *sums).first()
     depth = min(LEAVES.bit_length() - 1, max(0, math.ceil(math.log2(max(1, n_docs) / block_docs))))
-    tree = Tree(0, {}, {}, {1: (1.0, 1.0)})
+    tree = Tree(0, {}, {}, {}, {1: (1.0, 1.0)})
     if depth:
         rate = max(1, n_docs // SAMPLE)
         taken = forward.where((F.pmod(F.xxhash64("row"), F.lit(rate)) == 0) & ~long).select("row", "terms")
