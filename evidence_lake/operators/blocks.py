@@ -11,8 +11,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidence_lake.session import stored
-
 POINT_ROWS = 4096
 QUERY_ROWS = 1024
 #: Query blocks of at most so many bytes go to every task; more are dealt into groups of this size.
@@ -91,13 +89,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * SPLIT_BYTES else df
 
 
-def met(points: DataFrame, queries: DataFrame, scope: bool = False) -> DataFrame:
+def met(points: DataFrame, queries: DataFrame, scope: bool = False, size: int | None = None) -> DataFrame:
     """Pairs of a block of points and a block of queries, with `scope` of equal scope only.
 
     Query blocks of a checked size go to every task. More are dealt into groups, each of which meets the points in
-    as many lanes as there are cores; a scope that many blocks have is dealt like the whole table.
+    as many lanes as there are cores; a scope that many blocks have is dealt like the whole table. size: of the
+    queries' cells in bytes, measured if it isn't given.
     """
-    size = queries.agg(F.sum(F.length("q_cells"))).first()[0] or 0
+    if size is None:
+        size = queries.agg(F.sum(F.length("q_cells"))).first()[0] or 0
     groups, key = -(-size // BROADCAST_BYTES), ["scope"] if scope else []
     if groups <= 1:
         return points.join(F.broadcast(queries), key or F.lit(True)).drop(*key)
@@ -134,8 +134,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, dims: int, scope: str
     p = packed(spread(points), "id", "v", dims, POINT_ROWS, scope)
     q = packed(queries, "query_id", "q", dims, QUERY_ROWS, scope)
     q = q.select(F.col("ids").alias("q_ids"), F.col("n").alias("q_n"), F.col("cells").alias("q_cells"), *(["scope"] if scope else []))
-    q = stored(q, "query-blocks")  # measured, then met
-    pairs = met(p, q, bool(scope))
+    pairs = met(p, q, bool(scope), queries.count() * dims * 8)
 
     def run(batches):
         for batch in batches:
