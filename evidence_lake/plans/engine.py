@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from evidence_lake.functions import answers, prompts
 from evidence_lake.functions.text import overlap_score
-from evidence_lake.operators import blocks, chunking, embedding, index, late, rerank, retrieval, runs
+from evidence_lake.operators import blocks, chunking, embedding, index, late, rerank, retrieval, runs, turns
 from evidence_lake.plans.tasks import MOST_ATTEMPTS, Registry, Settings, Task
+from evidence_lake.session import stored
+
+SYSTEM = "You classify scientific papers by the evidence given, and answer with one JSON object."
+TEMPLATE = "Categories:\n{categories}\n\nTitle: {title}\nAbstract: {abstract}\nKeywords: {keywords}\n\n**Relevant Extracts:**\n\n{chunks_info}\n\nAnswer with an object of this schema: {schema}"
+SCHEMA = '{"reasoning": "text", "confidence": "0 to 1", "classification": ["codes"]}'
 
 
 class Engine:
@@ -111,6 +116,19 @@ class Engine:
         chosen = answers.decision(answers.parsed(F.col("raw")), task.table, task.default, task.multi_label)
         return papers.join(best, "paper_id", "left").select("paper_id", "attempt", chosen.alias("d")).select("paper_id", "attempt", "d.*")
 
+    def run_classifier(self, key: str, papers: DataFrame, generate: turns.Generator, template: str = TEMPLATE, schema: str = SCHEMA, system: str = SYSTEM) -> DataFrame:
+        """paper_id, attempt, codes, confidence, probabilities, secondary_labels, extras, parsed_ok, messages, samples: the whole classification of papers (paper_id, title, abstract, keywords).
+
+        Evidence by category makes each paper's prompt; `generate` answers the open papers in rounds, with the
+        history of their unreadable answers; a paper without a readable one gets the fallback. Each round is stored.
+        """
+        task = self.registry.get(key)
+        prompt = prompts.classification(papers, self.prompt(key), template, task.table, schema)
+        asked = prompt.select("paper_id", F.array(turns.message("system", F.lit(system)), turns.message("user", F.col("prompt"))).alias("messages"))
+        out = turns.retried(asked, generate, MOST_ATTEMPTS, keep=stored)
+        chosen = answers.decision(F.when(F.col("attempt").isNotNull(), answers.parsed(F.col("raw"))), task.table, task.default, task.multi_label)
+        return out.select("paper_id", "attempt", "raw", "messages", "samples", chosen.alias("d")).select("paper_id", "attempt", "d.*", "raw", "messages", "samples")
+
     def mine(self, key: str, responses: DataFrame) -> DataFrame:
         """paper_id, description, items, evidences (id, text, score, best first) of every indexed paper from one answer a paper; without an answer no description nor items."""
         task = self.registry.get(key)

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from evidence_lake.operators.index import Store
 from evidence_lake.plans.engine import Engine
@@ -36,6 +37,26 @@ def test_index_explore_classify(spark, tmp_path):
     assert e.prompt("data_accessibility").count() == 3
 
 
+def test_whole_classification_with_corrections(spark, tmp_path):
+    e = Engine(spark, Settings(f"file://{tmp_path}/w", dims=16))
+    e.index(*papers(spark, "p", "q", "r"))
+
+    def generate(open_, attempt):
+        """p reads at once, q after one correction, r never."""
+        good, told = F.lit('{"classification": ["B"], "confidence": 0.5}'), F.size("messages") > 2
+        return open_.select("paper_id", F.when((F.col("paper_id") == "p") | (F.col("paper_id") == "q") & told, good).otherwise("so it is").alias("raw"))
+
+    meta = spark.createDataFrame([(k, f"Title {k}", None, ["water"]) for k in "pqr"], "paper_id string, title string, abstract string, keywords array<string>")
+    got = {r.paper_id: r for r in e.run_classifier("data_accessibility", meta, generate).collect()}
+    assert {k: (r.attempt, r.codes, len(r.messages), [x.parsed_ok for x in r.samples]) for k, r in got.items()} == {
+        "p": (1, ["B"], 2, [True]),
+        "q": (2, ["B"], 4, [False, True]),
+        "r": (None, ["F"], 6, [False] * 3),
+    }
+    prompt = got["q"].messages[1].content
+    assert "Title q" in prompt and "Relevant Extracts" in prompt and "data set number" in prompt and "Abstract: N/A" in prompt
+
+
 def test_task_rules(tmp_path):
     good = {"key": "my_task", "labels": [{"code": "a", "name": "A"}, {"code": "b"}], "default_label": "a"}
     t = parse(good)
