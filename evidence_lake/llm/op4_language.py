@@ -12,18 +12,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidence_lake.llm.common import documents, in_arrow
 from evidence_lake.llm.tokens import slices
 
-#: Bounds of the sample the model is fitted on, and of the model.
+#: Bound of the sample the model is fitted on; the model holds every word and n-gram of the sample.
 TRAIN_DOCS = 1000  # of each language, about, by the hash of their ids; the sample's row keys are broadcast
-WORDS = 8000  # of each language
-NGRAMS = 6000  # of each language and length
 LONGEST = 4
-MIN_COUNT = 2
 SMOOTH = 0.5
 BLOCK = 8  # languages scored at a time
 UNKNOWN = "und"
@@ -184,14 +181,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     every = grams[0]
     for g in grams[1:]:
         every = every.unionByName(g)
-    group = Window.partitionBy("lang", "size")
-    every = every.withColumn("total", F.sum("n").over(group)).withColumn("r", F.row_number().over(group.orderBy(F.desc("n"), "gram")))
-    most = F.when(F.col("size") == 0, WORDS).otherwise(NGRAMS)
     counts: dict[int, dict[tuple[str, str], int]] = {}
     totals: dict[tuple[int, str], int] = {}
-    for r in every.where((F.col("r") <= most) & ((F.col("n") >= MIN_COUNT) | (F.col("size") == 1))).collect():
-        counts.setdefault(r["size"], {})[(r["lang"], r["gram"])] = r["n"]
-        totals[(r["size"], r["lang"])] = r["total"]
+    for size, lang, gram, n in every.select("size", "lang", "gram", "n").toLocalIterator():
+        counts.setdefault(size, {})[(lang, gram)] = n
+        totals[(size, lang)] = totals.get((size, lang), 0) + n
     return Model(sorted(langs, key=lambda x: x.encode()), counts, totals)
 
 
