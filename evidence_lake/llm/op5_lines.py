@@ -1,10 +1,11 @@
 """Line dedup by a deletion-neighbourhood join.
 
-A line is dropped when an earlier line of the corpus equals it or, from LEAST_CHARS characters on, is
-one edit away (a character inserted, deleted or replaced). Equal lines are found by their digest
-alone. Of two lines one edit apart, either the first characters are the same, up to nearly half, or the
-last ones; so a distinct line posts keys of these two ends, and where another has the same end, emits
-the variants of the rest: itself and itself without each of its characters, hashed with the end's key.
+A line is dropped when an earlier line of the corpus equals it or is one edit away (a character
+inserted, deleted or replaced); a caller can ask for more characters before one edit counts. Equal
+lines are found by their digest alone. Of two lines one edit apart, either the first characters are the
+same, up to nearly half, or the last ones; so a distinct line posts keys of these two ends, and where
+another has the same end, emits the variants of the rest: itself and itself without each of its
+characters, hashed with the end's key. Lines too short to have ends emit the variants of the whole line.
 Lines that share a variant with the deletion at the same place differ by a replacement, a line that is
 another's variant by an insertion; so the earliest line of each variant is found by windows, never by
 pairs (distinct lines of one variant are as many as a place has characters, at most); the edit distance
@@ -22,9 +23,7 @@ from pyspark.sql import functions as F
 from evidence_lake.llm.common import BROADCAST_ROWS, documents, in_arrow, released, staged
 from evidence_lake.llm.tokens import slices
 
-#: Of shorter lines (without the white space around them) one edit says too little; only repeats of them are dropped.
-LEAST_CHARS = 20
-#: The query and the pipeline drop repeats of every line that isn't blank.
+#: Characters (without the white space around a line) from which on repeats, or lines one edit away, are dropped: all but blank lines.
 NOT_BLANK = 1
 _BLANK = "\t\n\v\f\r "
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -48,7 +47,13 @@ def ends(line: str) -> list[int]:
     return out
 
 
-def _lines(batches, least_repeat: int):
+def posted(line: str) -> list[int | None]:
+    """`ends` of the line; null for an end of no characters, which every short line would share."""
+    n, keys = len(line), ends(line)
+    return [k if end_size(n + (r > 1)) else None for r, k in enumerate(keys)]
+
+
+def _lines(batches, least_repeat: int, least_edited: int):
     for batch in batches:
         for rows in slices(batch, "text", 4 << 20):
             d, k, n, g, h = [], [], [], [], []
@@ -56,7 +61,7 @@ def _lines(batches, least_repeat: int):
                 for i, line in enumerate((text or "").split("\n")):
                     line = line.strip(_BLANK)
                     if len(line) >= least_repeat:
-                        d.append(doc), k.append(key), n.append(i), g.append(xxhash.xxh3_128_digest(line.encode())), h.append(ends(line) if len(line) >= LEAST_CHARS else [])
+                        d.append(doc), k.append(key), n.append(i), g.append(xxhash.xxh3_128_digest(line.encode())), h.append(posted(line) if len(line) >= least_edited else [])
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.int64()), pa.array(n, pa.int32()), pa.array(g, pa.binary()), pa.array(h, pa.list_(pa.int64()))], names=["doc_id", "row_key", "line", "digest", "ends"])
 
 
@@ -126,25 +131,28 @@ def place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row_key", "line")
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_repeat: int = LEAST_CHARS) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_repeat: int = NOT_BLANK, least_edited: int = NOT_BLANK) -> DataFrame:
     """row_key, doc_id, dropped: the numbers (from 0) of the lines to drop, ascending, of each row that has some.
 
     row_key is monotonically_increasing_id over docs, which must be a stable table (files). Lines are
     what `\\n` separates, compared without the ASCII white space around them. Null or empty texts have
-    no lines to drop. Lines under least_repeat (1 to LEAST_CHARS) characters stay. Rows that repeat a doc_id are documents of their own. Empty table: no rows.
+    no lines to drop. Lines under least_repeat (1 or more) characters stay; lines under least_edited
+    (least_repeat or more) go as exact repeats only. Rows that repeat a doc_id are documents of their own. Empty table: no rows.
     Extra columns are ignored.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_key"), F.col(text_col).cast("string").alias("text"))
-    lines = staged(own.transform(in_arrow, lambda batches: _lines(batches, least_repeat), LINES), "lines")
+    lines = staged(own.transform(in_arrow, lambda batches: _lines(batches, least_repeat, least_edited), LINES), "lines")
     keyed = lines.select("digest", place().alias("p"))
     distinct = staged(lines.select("digest", place().alias("p"), "ends").groupBy("digest").agg(F.min("p").alias("first"), F.first("ends").alias("ends"), F.count(F.lit(1)).alias("many")), "distinct-lines")
 
     # lines that share an end with another, which has it as its own and not as that of a longer line
     at = F.struct("first.row_key", "first.line")
-    end = distinct.select(at.alias("at"), F.posexplode("ends").alias("role", "end"))
+    end = distinct.select(at.alias("at"), F.posexplode("ends").alias("role", "end")).where("end IS NOT NULL")
     shared = end.groupBy("end").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("role") < 2).alias("own")).where("n > 1 AND own > 0").select("end")
     roles = end.join(shared, "end", "left_semi").groupBy("at").agg(F.collect_set("role").alias("roles"))  # four at most
-    near = distinct.select("digest", "first", at.alias("at")).join(roles, "at")
+    short = F.when((F.size("ends") > 0) & F.col("ends")[0].isNull(), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))  # the whole line
+    near = distinct.select("digest", "first", at.alias("at"), short.alias("short")).join(roles, "at", "left")
+    near = near.withColumn("roles", F.array_union("short", F.coalesce("roles", F.array().cast("array<int>")))).where(F.size("roles") > 0)
     near = staged(near.select("digest", "first", F.sort_array("roles").alias("roles")), "near-lines")
     near = near.orderBy("first").select(F.monotonically_increasing_id().alias("number"), "digest", "first", "roles")  # numbers follow the order of lines
     by_row = near.groupBy(F.col("first.row_key").alias("row_key")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "number", "digest", "roles")).alias("want"))  # a text's own lines
@@ -175,10 +183,10 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.groupBy(F.col("p.row_key").alias("row_key")).agg(F.first("p.doc_id").alias("doc_id"), F.sort_array(F.collect_list("p.line")).alias("dropped"))  # a text's own lines
 
 
-def without_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", least_repeat: int = LEAST_CHARS) -> DataFrame:
+def without_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", least_repeat: int = NOT_BLANK, least_edited: int = NOT_BLANK) -> DataFrame:
     """docs (a stable table) with the dropped lines cut out of the text; rows of which no word is left go, rows without lines to drop stay as they are; other columns keep names and values."""
     cols = docs.columns
-    drops = dropped_lines(docs, id_col, text_col, least_repeat).select("row_key", "dropped")
+    drops = dropped_lines(docs, id_col, text_col, least_repeat, least_edited).select("row_key", "dropped")
     own = docs.select(F.struct(*[F.col(c) for c in cols]).alias("row"), F.monotonically_increasing_id().alias("row_key")).join(drops, "row_key", "left")
     left = F.filter(F.split(F.col("row")[text_col], "\n"), lambda x, i: ~F.array_contains("dropped", i))
     text = F.when(F.col("dropped").isNull(), F.col("row")[text_col]).otherwise(F.array_join(left, "\n"))
@@ -188,4 +196,4 @@ def without_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, dropped (line numbers), n_dropped of every document that loses lines."""
-    return dropped_lines(documents(spark, sf_dir), least_repeat=NOT_BLANK).select("doc_id", "dropped", F.size("dropped").cast("long").alias("n_dropped"))
+    return dropped_lines(documents(spark, sf_dir)).select("doc_id", "dropped", F.size("dropped").cast("long").alias("n_dropped"))

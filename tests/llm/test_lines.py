@@ -56,7 +56,7 @@ def edit(rng, line, times):
 
 def corpus():
     rng = random.Random(11)
-    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice([19, 24, 40]))) + "." for _ in range(40)]
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(n)) + "." for n in [19, 24, 40] * 13 + list(range(1, 20)) * 2]
     rows = [(None, None), (3, ""), (3, "\n\n"), (8, " \t" + base[0] + " ")]
     for i in range(80):
         rows.append((rng.randrange(40) if i % 9 else None, "\n".join(edit(rng, rng.choice(base), rng.randrange(3)) for _ in range(rng.randrange(1, 5)))))
@@ -64,26 +64,28 @@ def corpus():
     return rows
 
 
-def test_against_brute_force(spark, tmp_path):
+@pytest.mark.parametrize("least", [1, 20])
+def test_against_brute_force(spark, tmp_path, least):
     df = spark.createDataFrame([(d, t, 5, "x") for d, t in corpus()], "doc_id long, text string, line int, digest string").repartition(3)
     df.write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
     from pyspark.sql import functions as F
 
     rows = df.select(F.monotonically_increasing_id().alias("k"), "doc_id", "text").collect()
-    got = {r.row_key: (r.doc_id, r.dropped) for r in o.dropped_lines(df).collect()}
+    got = {r.row_key: (r.doc_id, r.dropped) for r in o.dropped_lines(df, least_repeat=least, least_edited=least).collect()}
     lines = sorted((((r.doc_id is None, r.doc_id or 0, r.k), i, x.strip(o._BLANK)) for r in rows for i, x in enumerate((r.text or "").split("\n"))), key=lambda z: z[:2])
-    lines = [x for x in lines if len(x[2]) >= o.LEAST_CHARS]
+    lines = [x for x in lines if len(x[2]) >= least]
     want = {}
     for j, (key, i, x) in enumerate(lines):
         if any(distance_one(x, y) for _, _, y in lines[:j]):
             want.setdefault(key[2], []).append(i)
     assert {k: v[1] for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
-    left = {r.text for r in o.without_lines(df).collect()}
-    assert o.without_lines(df).columns == df.columns
+    out = o.without_lines(df, least_repeat=least, least_edited=least)
+    left = {r.text for r in out.collect()}
+    assert out.columns == df.columns
     assert None in left and "" in left  # rows without lines to drop stay
     n_gone = sum(1 for r in rows if r.k in want and all(i in want[r.k] or not x.strip(o._BLANK) for i, x in enumerate(r.text.split("\n"))))
-    assert o.without_lines(df).count() == len(rows) - n_gone
+    assert out.count() == len(rows) - n_gone
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, "short")]])
@@ -94,10 +96,14 @@ def test_nothing_to_drop(spark, tmp_path, rows):
     assert o.without_lines(df).count() == len(rows)
 
 
-def test_repeats_of_short_lines_are_dropped(spark, tmp_path):
+def test_short_lines(spark, tmp_path):
     rows = [(1, "And ornd.\n\n}"), (2, " And ornd.\t\nAnd orn.\n\n"), (3, "And ornd."), (None, "}\nx"), (4, "y\nz\ny\nbut this line is a long one")]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
-    assert {r.doc_id: r.dropped for r in o.op5_lines(spark, str(tmp_path)).collect()} == {2: [0], 3: [0], None: [0], 4: [2]}
     df = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    repeats = o.dropped_lines(df, least_edited=20).collect()  # of lines this short, exact repeats only
+    assert {r.doc_id: r.dropped for r in repeats} == {2: [0], 3: [0], None: [0], 4: [2]}
     want = {1: "And ornd.\n\n}", 2: "And orn.\n\n", None: "x", 4: "y\nz\nbut this line is a long one"}
-    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, df, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.text for r in o.without_lines(df, least_edited=20).collect()} == want
+    # lines of any length that are one edit away
+    assert {r.doc_id: r.dropped for r in o.op5_lines(spark, str(tmp_path)).collect()} == {2: [0, 1], 3: [0], None: [0, 1], 4: [0, 1, 2]}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, df, str(tmp_path)).collect()} == {1: "And ornd.\n\n}", 4: "but this line is a long one"}
