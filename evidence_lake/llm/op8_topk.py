@@ -223,8 +223,13 @@ def visiting(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "ve
     asked = blocks.where("q_n > 0").select("block", "dim", "n", "ids", "kind", "cells", "q_at", "q_cut").repartition(max(1, -(-n_queries // (4 * QUERY_ROWS))))
     q_blocks = staged(asked.transform(in_arrow, lambda b: _queries(b, QUERY_ROWS), QUERIES), "query-blocks")
     summaries = staged(blocks.select("block", "dim", "centre", "radius").transform(in_arrow, _bounds_rows, "dim int, blocks binary, centres binary, radii binary"), "block-bounds")
-    # each query block meets each row of bounds of its dimension: never a pair of vectors, and no block's rows
-    met = q_blocks.select("q_block", "dim", "q_n", "q_cut", "q_cells").join(summaries, "dim")
+    # each query block meets each row of bounds of its dimension: never a pair of vectors, and no block's rows. A
+    # dimension may be that of the whole table, so query blocks are dealt into groups and bounds into lanes
+    lanes, groups = (max(1, min(vectors.sparkSession.sparkContext.defaultParallelism, x.count())) for x in (summaries, q_blocks))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = q_blocks.select("q_block", "dim", "q_n", "q_cut", "q_cells").withColumn("group", F.pmod("q_block", F.lit(groups)).cast("int")).withColumn("lane", each(lanes))
+    bounds = summaries.withColumn("lane", F.pmod(F.xxhash64("blocks"), F.lit(lanes)).cast("int")).withColumn("group", each(groups))
+    met = asked.join(bounds, ["dim", "group", "lane"])
     return blocks, q_blocks, staged(met.transform(in_arrow, _visits, "q_block long, block long, rows binary"), "visits")
 
 
