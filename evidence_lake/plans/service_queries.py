@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from evidence_lake.functions import prompts
-from evidence_lake.operators import deltas, index, jobs, rerank, retrieval, runs, titles, turns
+from evidence_lake.operators import deltas, index, jobs, rerank, results, retrieval, runs, titles, turns
 from evidence_lake.plans.chunk_queries import TOKENS, docs, table
 from evidence_lake.plans.search_queries import HIT_SQL, SELECTED, hits
 from evidence_lake.session import shared_dir
@@ -308,3 +308,51 @@ def result_records(spark, d):
     sections = docs(spark, d).select(F.col("doc_id").alias("paper_id"), F.explode_outer(F.split("text", "\n")).alias("content"))
     refs = table(spark, d, "labels").select(F.col("doc_id").alias("paper_id"), (F.col("quality") == 1).alias("is_data_source"))
     return runs.result_records(papers, sections, refs)
+
+
+@query(
+    """SELECT CAST(doc_id AS VARCHAR) AS id, COALESCE(source, '') AS paper_id, COALESCE(text, '') AS text, 'other' AS section_type,
+              COALESCE(lang, source, '') AS section_title, COALESCE(source, lang, '') AS title, FALSE AS is_metadata,
+              n_chars / 1000.0::DOUBLE AS similarity_score, COALESCE(r.quality::DOUBLE, n_chars / 1000.0::DOUBLE) AS rank_score,
+              'dense' AS source_kind, CAST(to_json({'toxic': r.toxic}) AS VARCHAR) AS artifacts
+       FROM documents LEFT JOIN labels r USING (doc_id) WHERE COALESCE(n_chars, 0) >= 500"""
+)
+def search_result_mapping(spark, d):
+    """Documents as chunks of a search, ranked by their quality where there is one."""
+    marks = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("rank_score"), "toxic")
+    chunks = docs(spark, d).select(F.col("doc_id").alias("id"), F.col("source").alias("paper_id"), "text", F.col("lang").alias("section_title"), F.col("source").alias("title"), (F.col("n_chars") / 1000.0).alias("score"))
+    return results.search_results(chunks.join(marks, "id", "left"), "dense", 0.5).withColumnRenamed("source", "source_kind")
+
+
+REPORT_SQL = """
+WITH r AS (
+  SELECT doc_id, list_sort(coalesce(list(quality) FILTER (quality IS NOT NULL), [])) AS q, list_sort(coalesce(list(toxic) FILTER (toxic IS NOT NULL), [])) AS t
+  FROM labels GROUP BY doc_id
+), l AS (
+  SELECT CAST(d.doc_id AS VARCHAR) AS paper_id, list_concat(
+    ['# Paper ID: ' || d.doc_id || chr(10), '**Title:** ' || coalesce(nullif(source, ''), 'N/A') || chr(10), '**First Author:** N/A' || chr(10),
+     '**Publication Year:** N/A' || chr(10), '**DOI:** N/A' || chr(10), '**Journal:** N/A' || chr(10), '**Analysis Type:** quality' || chr(10),
+     '**PDF Path:** N/A' || chr(10), chr(10) || '---' || chr(10), '## Abstract' || chr(10), coalesce(nullif(text, ''), 'N/A') || chr(10),
+     '## Keywords' || chr(10), coalesce(nullif(lang, ''), 'N/A') || chr(10), '## Extracted Data Sources' || chr(10)],
+    CASE WHEN r.q IS NULL THEN ['No data sources extracted.' || chr(10)] ELSE flatten(list_transform(r.q, lambda x:
+      ['- **Source Name:** quality' || chr(10), '  - **URL:** N/A' || chr(10), '  - **Explanation:** ' || x || chr(10), '  - **Section Found:** labels' || chr(10) || chr(10)])) END,
+    [chr(10) || '---' || chr(10), '## Data Sources Description' || chr(10), coalesce(CAST(n_chars AS VARCHAR), 'N/A') || chr(10)],
+    CASE WHEN len(r.t) > 0 THEN list_concat([chr(10) || '---' || chr(10), '## Confidence Scores' || chr(10)], list_transform(r.t, lambda x: '- **toxic:** ' || x || chr(10) || chr(10))) ELSE [] END
+  ) AS lines FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id
+)
+SELECT paper_id, array_to_string(lines, chr(10)) AS report FROM l
+"""
+
+
+@query(REPORT_SQL)
+def paper_reports(spark, d):
+    """A report of each document with its labels as what was extracted."""
+    marks = table(spark, d, "labels").groupBy("doc_id").agg(F.sort_array(F.collect_list("quality")).alias("q"), F.sort_array(F.collect_list("toxic")).alias("t"))
+    none = F.lit(None).cast("string")
+    source = lambda x: F.struct(F.lit("quality").alias("source_name"), none.alias("url"), x.alias("explanation"), F.lit("labels").alias("section_found"))
+    papers = docs(spark, d).join(marks, "doc_id", "left").select(
+        F.col("doc_id").cast("string").alias("paper_id"), F.col("source").alias("title"), *[none.alias(c) for c in ("first_author", "publication_year", "doi", "journal", "path")],
+        F.lit("quality").alias("analysis_type"), F.col("text").alias("abstract"), F.array("lang").alias("keywords"), F.transform("q", source).alias("sources"),
+        F.col("n_chars").alias("description"), F.transform("t", lambda x: F.struct(F.lit("toxic").alias("name"), x.alias("score"))).alias("scores"), F.lit(None).cast("array<string>").alias("dois"),
+    )
+    return results.reports(papers)

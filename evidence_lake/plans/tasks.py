@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+import tomllib
 from dataclasses import dataclass, field
 from pathlib import Path
+from typing import ClassVar
 
 from evidence_lake.functions.codes import ACCESS_LABELS, REGION_LABELS, TYPE_LABELS
 
@@ -84,6 +86,47 @@ def _builtin(key: str, label: str, table: dict[str, str], default: str) -> Task:
 PAPER_KINDS = {"RESEARCH": "Original research", "REVIEW": "Review", "MODEL": "Modelling study", "OTHER": "Other", "UNCLEAR": "Unclear"}
 
 
+#: Eight ways in which papers speak of what a miner looks for.
+MINERS = {
+    "find_data_sources": (
+        "data were obtained from",
+        "a database or registry was used",
+        "survey data set and the years it covers",
+        "satellite images or remote sensing products as inputs",
+        "records of an agency, an archive or a station network",
+        "field samples, measurements or interviews of our own",
+        "simulation output or reanalysis taken as input",
+        "data availability: where the data of this paper are",
+    ),
+    "find_supplementary_links": (
+        "supplementary material available at",
+        "link to a repository",
+        "supporting information can be found online",
+        "code and scripts are archived under",
+        "data deposited with a DOI or accession number",
+        "appendix with further tables and figures",
+        "additional files of this article",
+        "project page, tool or dashboard on the web",
+    ),
+    "identify_key_references": (
+        "builds on earlier work",
+        "following the method of",
+        "as first shown by",
+        "in agreement with previous studies",
+        "in contrast to what others found",
+        "the theory or model that this paper adopts",
+        "reviews that sum up the field",
+        "the study that is replicated or extended here",
+    ),
+}
+#: Key, label and the sections that are searched (fixed values; none: all).
+MINER_KINDS = (
+    ("find_data_sources", "Data sources", ()),
+    ("find_supplementary_links", "Supplementary links", ()),
+    ("identify_key_references", "Key references", ("Introduction", "Literature Review", "Background", "Methods", "Discussion")),
+)
+
+
 class Registry:
     """Tasks by key; the built-in ones can't be replaced."""
 
@@ -93,9 +136,7 @@ class Registry:
             _builtin("geo", "Geographic scope", REGION_LABELS, "H"),
             _builtin("data_type", "Data type", TYPE_LABELS, "H"),
             _builtin("paper_type", "Paper type", PAPER_KINDS, "UNCLEAR"),
-            Task("find_data_sources", "miner", "Data sources", top_k=15, templates=("data were obtained from", "database or registry used", "survey data set")),
-            Task("find_supplementary_links", "miner", "Supplementary links", top_k=15, templates=("supplementary material available at", "repository link")),
-            Task("identify_key_references", "miner", "Key references", top_k=15, templates=("builds on earlier work", "following the method of"), sections=("Introduction", "Literature Review", "Background", "Methods", "Discussion")),
+            *(Task(key, "miner", label, top_k=TOP_K["miner"], templates=MINERS[key], sections=where) for key, label, where in MINER_KINDS),
         ]
         self._builtin = {t.key: t for t in own}
         self._added: dict[str, Task] = {}
@@ -140,6 +181,12 @@ class Settings:
     threshold: float | None = None
     extra: dict = field(default_factory=dict)
 
+    #: Section and key of each setting in a workspace file (fixed values).
+    FILE: ClassVar[dict[str, tuple[str, str]]] = {
+        "chunker": ("indexing", "chunker"), "chunk_min": ("indexing", "min_chunk_size"), "chunk_size": ("indexing", "chunk_size"), "chunk_overlap": ("indexing", "chunk_overlap"),
+        "dims": ("indexing", "dims"), "mode": ("retrieval", "mode"), "prefetch_k": ("retrieval", "prefetch_k"), "rrf_k": ("retrieval", "rrf_k"), "threshold": ("retrieval", "threshold"),
+        "top_k": ("llm", "workflow_top_k"),
+    }
     FROZEN = ("chunker", "chunk_min", "chunk_size", "chunk_overlap", "dims")
 
     def index_settings(self) -> dict:
@@ -147,3 +194,27 @@ class Settings:
 
     def chunker_params(self) -> dict:
         return {"paragraph": {"least_chars": self.chunk_min}, "fixed_size": {"size": self.chunk_size, "overlap": self.chunk_overlap}}.get(self.chunker, {})
+
+    @classmethod
+    def read(cls, file: str, path: str | None = None) -> Settings:
+        """Settings of a workspace's TOML file; what is absent or empty takes its default, other keys go into extra. path: the workspace, else the file's folder."""
+        at = Path(file)
+        if not at.exists():
+            raise FileNotFoundError(f"no settings under {file}")
+        data = tomllib.loads(at.read_text())
+        own = {name: data.get(part, {}).get(key) for name, (part, key) in cls.FILE.items()}
+        known = set(cls.FILE.values())
+        extra = {f"{part}.{key}": v for part, keys in data.items() if isinstance(keys, dict) for key, v in keys.items() if (part, key) not in known}
+        return cls(path or at.resolve().parent.as_uri(), **{k: v for k, v in own.items() if v not in (None, "", 0)}, extra=extra)
+
+    def write(self, file: str) -> None:
+        """The settings as TOML, read again by `read`."""
+        parts: dict[str, dict] = {}
+        for name, (part, key) in self.FILE.items():
+            if getattr(self, name) is not None:
+                parts.setdefault(part, {})[key] = getattr(self, name)
+        for key, value in self.extra.items():
+            part, _, name = key.partition(".")
+            parts.setdefault(part, {})[name] = value
+        # JSON's strings, numbers, booleans and lists are TOML's, too
+        Path(file).write_text("\n".join(f"[{part}]\n" + "".join(f"{k} = {json.dumps(v)}\n" for k, v in keys.items()) for part, keys in parts.items()))

@@ -6,6 +6,8 @@ import xml.etree.ElementTree as ET
 from collections.abc import Callable
 
 import pandas as pd
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,11 @@ def supported(path) -> F.col:
 
 
 def scan(spark: SparkSession, path: str, unique_stems: bool = False) -> DataFrame:
-    """path, stem, content of the supported files under a folder; with unique_stems the last path of each stem."""
+    """path, stem, content of the supported files under a folder, or of one file (ValueError, if it isn't supported); with unique_stems the last path of each stem."""
+    whole = path if ":/" in path else Path(path).absolute().as_posix()
+    one = F.endswith("path", F.lit("/" + whole.split(":", 1)[-1].strip("/")))
+    if spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(one & ~supported(F.col("path"))).select("path").limit(1).count():
+        raise ValueError(f"{path} isn't one of {', '.join(SUFFIXES)}")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     files = files.where(supported(F.col("path"))).withColumn("stem", stem(F.col("path")))
     if unique_stems:
@@ -29,6 +35,11 @@ def scan(spark: SparkSession, path: str, unique_stems: bool = False) -> DataFram
     return files
 
 
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """path of the supported files under a folder, in order; contents aren't read."""
+    return scan(spark, path).select("path").orderBy("path")
+
+
 def readable(content) -> F.col:
     """Bytes as UTF-8 text; bytes that aren't are left out (with U+FFFD, where there are any)."""
     text = content.cast("string")
