@@ -1,9 +1,9 @@
-"""Matching titles to a reference table: a similarity join of token sets with prefix and length filters.
+"""Matching titles to a reference table: a similarity join of token sets with prefix filters.
 
 The likeness of two titles is 1 if one's tokens are all in the other's, else the Dice coefficient of the token
-sets. Tokens are ordered by rarity over both tables. Titles of a Dice coefficient of at least `least` share so
-many tokens that one of a title's rarest tokens is among those of the other; a contained title's rarest token is, too.
-So only pairs that meet in such a token are compared, and no pair that qualifies is lost.
+sets. A title that holds all of a reference, or has a Dice coefficient of at least `least` with it, has one of so many
+of the reference's rarest tokens; a title that a reference holds has its longest token there, too. So only
+pairs that meet in such a token are compared, where they meet, and no pair that qualifies is lost.
 """
 
 from __future__ import annotations
@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidence_lake.functions.text import word_tokens
+from evidence_lake.session import stored
+
+#: Postings of references of at most so many bytes are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def likeness(x: Column, y: Column) -> Column:
@@ -24,31 +28,44 @@ def _sets(df: DataFrame, title: str) -> DataFrame:
     return df.withColumn("tokens", F.array_sort(F.array_distinct(F.coalesce(word_tokens(F.col(title)), F.array().cast("array<string>"))))).where(F.size("tokens") > 0)
 
 
-def _by_rarity(sets: DataFrame, counts: DataFrame) -> DataFrame:
-    """tokens and the same by rarity."""
-    each = sets.select("tokens", F.explode("tokens").alias("token")).join(counts, "token")
-    return each.groupBy("tokens").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("rare")).select("tokens", F.col("rare.token").alias("rare"))  # a title's tokens
+def _posted(refs: DataFrame, own: DataFrame, share: float) -> DataFrame:
+    """meet, doi, y: the references under their rarest tokens (a), as many as a likeness may do without and one more, and under all tokens (b)."""
+    each = refs.select("ref", F.explode("tokens").alias("token"))
+    asked = own.select(F.explode("tokens").alias("token")).join(each.select("token").distinct(), "token", "left_semi")
+    counts = asked.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    by_rarity = each.join(counts, "token", "left").groupBy("ref").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("rare"))  # a reference's tokens
+    size = F.size("rare")
+    first = F.slice(F.col("rare.token"), F.lit(1), (size - F.ceil(size * share - 1e-9) + 1).cast("int"))
+    keyed = by_rarity.select("ref", F.explode(F.concat(_keys("a", first), _keys("b", F.col("rare.token")))).alias("meet"))
+    return keyed.join(refs, "ref").select("meet", "ref", "doi", F.col("tokens").alias("y"))
+
+
+def _keys(kind: str, tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.concat(F.lit(kind), t))
 
 
 def matched(titles: DataFrame, references: DataFrame, least: float = 0.9, title_id: str = "title_id", name: str = "title") -> DataFrame:
     """title_id, doi, score: for each title (title_id, title) the reference (doi, title) of the greatest likeness, if it is at least `least`; ties to the smaller doi.
 
-    Titles that are null or without tokens match nothing. Equal titles are compared once.
+    Titles that are null or without tokens match nothing. Postings of references of at most `BROADCAST_BYTES` go
+    to the titles, which stay where they are; with more, only keys of titles and references meet by token.
     """
-    own, known = _sets(titles.select(title_id, name), name), _sets(references.select("doi", name), name)
-    asked = own.select("tokens").distinct()
-    refs = known.where(F.col("doi").isNotNull()).groupBy("tokens").agg(F.min("doi").alias("doi"))
-    counts = asked.unionByName(refs.select("tokens")).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    a, b = _by_rarity(asked, counts), _by_rarity(refs, counts)
-    share = least / (2 - least)  # of a title's tokens that a likeness of `least` needs in common, at any length of the other
-    first = F.slice("rare", F.lit(1), (F.size("rare") - F.ceil(F.size("rare") * share - 1e-9) + 1).cast("int"))
-    pair = ["x", "y"]
-    small = F.col("x_size") <= F.col("y_size")
-    near = (F.col("x_size") >= F.col("y_size") * share - 1e-9) & (F.col("y_size") >= F.col("x_size") * share - 1e-9)
-    posted = lambda df, side, tokens: df.select(F.col("tokens").alias(side), F.size("tokens").alias(f"{side}_size"), F.explode(tokens).alias("token"))
-    one = posted(a, "x", first).join(posted(b, "y", F.col("tokens")), "token").where(near | small)
-    two = posted(b, "y", F.slice("rare", 1, 1)).join(posted(a, "x", F.col("tokens")), "token").where(~small)
-    pairs = one.select(*pair).unionByName(two.select(*pair)).distinct()
-    scored = pairs.select(*pair, likeness(F.col("x"), F.col("y")).alias("score")).where(F.col("score") >= least)
-    best = scored.join(refs, F.col("y") == refs["tokens"]).groupBy("x").agg(F.min(F.struct((-F.col("score")).alias("s"), "doi")).alias("best"))
-    return own.join(best, F.col("tokens") == F.col("x")).select(title_id, F.col("best.doi").alias("doi"), (-F.col("best.s")).alias("score"))
+    own = _sets(titles.select(title_id, name), name).select(title_id, F.col("tokens")).withColumn("row_key", F.monotonically_increasing_id())
+    known = _sets(references.select("doi", name), name).where(F.col("doi").isNotNull())
+    refs = stored(known.groupBy("tokens").agg(F.min("doi").alias("doi")).withColumn("ref", F.monotonically_increasing_id()), "references")
+    share = least / (2 - least)  # of a reference's tokens that a likeness of `least` needs in common, at any length of the title
+    posted = stored(_posted(refs, own, share), "postings")
+    large = (posted.agg(F.sum(F.length("meet") + F.length(F.array_join("y", " ")) + 16)).first()[0] or 0) > BROADCAST_BYTES
+    own = stored(own, "titles") if large else own  # keys have to stay
+    longest = F.array_max(F.transform("tokens", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    meets = F.explode(F.concat(_keys("a", F.col("tokens")), F.array(F.concat(F.lit("b"), longest)))).alias("meet")
+    fits = F.when(F.col("meet").startswith("a"), F.col("size") >= F.col("y_size") * share - 1e-9).otherwise(F.col("size") <= F.col("y_size"))
+    sized = posted.withColumn("y_size", F.size("y"))
+    if large:
+        keys = own.select("row_key", F.size("tokens").alias("size"), meets).join(sized.select("meet", "ref", "y_size"), "meet").where(fits).select("row_key", "ref").distinct()
+        pairs = keys.join(refs.withColumnRenamed("tokens", "y"), "ref").join(own, "row_key")
+    else:
+        pairs = own.withColumn("size", F.size("tokens")).select("*", meets).join(F.broadcast(sized), "meet").where(fits)
+    score = likeness(F.col("tokens"), F.col("y"))
+    best = pairs.select("row_key", title_id, "doi", score.alias("score")).where(F.col("score") >= least).groupBy("row_key", title_id).agg(F.min(F.struct((-F.col("score")).alias("s"), "doi")).alias("best"))
+    return best.select(title_id, F.col("best.doi").alias("doi"), (-F.col("best.s")).alias("score"))

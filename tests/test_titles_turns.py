@@ -76,3 +76,19 @@ def test_rounds_generate_once_and_see_the_history(spark, tmp_path):
     papers = spark.createDataFrame([(i, [("user", "u")]) for i in range(3)], "paper_id long, messages array<struct<role:string,content:string>>")
     rows = turns.retried(papers, generate, 3, keep=keep).collect()
     assert made == ["round-1", "round-2", "round-3"] and [r.attempt for r in rows] == [2, 2, 2]
+
+
+def test_titles_meet_references_without_copies_of_their_texts(spark, monkeypatch):
+    """Long titles aren't shuffled once for each of their tokens; references too large to be sent around give the same."""
+    rng = random.Random(4)
+    refs = [(f"10.1/{i}", " ".join(f"w{rng.randint(0, 400)}" for _ in range(12))) for i in range(40)]
+    own = [(i, " ".join(f"w{rng.randint(0, 4000)}" for _ in range(1500)) + " " + refs[i % 40][1]) for i in range(60)] + [(100 + i, r[1] + " more") for i, r in enumerate(refs)]
+    frames = spark.createDataFrame(own, "title_id long, title string"), spark.createDataFrame(refs, "doi string, title string")
+    found = titles.matched(*frames)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert all("token" not in line for line in shuffles), shuffles
+    want = brute(own, refs, 0.9)
+    assert {r.title_id: (r.doi, r.score) for r in found.collect()} == want
+    monkeypatch.setattr(titles, "BROADCAST_BYTES", 0)
+    assert {r.title_id: (r.doi, r.score) for r in titles.matched(*frames).collect()} == want
