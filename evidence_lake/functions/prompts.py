@@ -49,11 +49,21 @@ def concatenated(rows: DataFrame, key: str, order: str = "rank") -> DataFrame:
     return parts.select(key, F.array_join(F.col("evidences.snippet"), "\n\n").alias("answer"), "evidences")
 
 
+def three_digits(c: Column, plain: Column) -> Column:
+    """A decimal to three digits, halves up; numbers that no decimal holds as they print."""
+    return F.coalesce(F.round(c, 3).cast("string"), F.format_string("%.3f", plain))
+
+
 def by_category(rows: DataFrame, key: str) -> DataFrame:
-    """key, block: for each category in the order of its first rank its mean score and its scored texts."""
-    line = F.concat(F.lit("  • "), F.format_string("%.3f", "score"), F.lit(": "), F.col("text"))
-    groups = rows.groupBy(key, "category").agg(F.min("rank").alias("first"), F.avg("score").alias("mean"), F.sort_array(F.collect_list(F.struct("rank", line.alias("l")))).alias("p"))
-    block = F.concat(F.lit("\n"), F.upper("category"), F.lit(" (avg "), F.format_string("%.3f", "mean"), F.lit("):\n"), F.array_join(F.col("p.l"), "\n"))
+    """key, block: for each category in the order of its first rank its mean score and its scored texts.
+
+    Means are of decimals, so they are the same in any order of the rows, and halves are exactly halves.
+    """
+    exact = F.col("score").try_cast("decimal(28,12)")
+    line = F.concat(F.lit("  • "), three_digits(exact, F.col("score")), F.lit(": "), F.col("text"))
+    mean = F.when(F.count(exact) == F.count("score"), F.avg(exact))
+    groups = rows.groupBy(key, "category").agg(F.min("rank").alias("first"), mean.alias("mean"), F.avg("score").alias("plain"), F.sort_array(F.collect_list(F.struct("rank", line.alias("l")))).alias("p"))
+    block = F.concat(F.lit("\n"), F.upper("category"), F.lit(" (avg "), three_digits(F.col("mean"), F.col("plain")), F.lit("):\n"), F.array_join(F.col("p.l"), "\n"))
     parts = groups.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("first", block.alias("b")))).alias("q"))
     return parts.select(key, F.array_join(F.col("q.b"), "\n").alias("block"))
 

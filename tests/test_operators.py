@@ -254,3 +254,13 @@ def test_late_vectors_are_of_the_whole_text(spark):
     got = one(spark, embedding.late_tokens(8)(F.col("s")), s=body)
     places = [int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 8 for t in tokens]
     assert got == [[float(i == b) for i in range(8)] for b in places]
+
+
+def test_mean_scores_round_as_decimals(spark):
+    """The mean of 0.06 and 0.057 is 0.0585, though the double is just below; so in any order."""
+    for scores in [(0.06, 0.057), (0.063, 0.071, 0.035, 0.065)]:
+        rows = [("p", "open", i + 1, "t", x) for i, x in enumerate(scores)]
+        df = spark.createDataFrame(rows, "paper_id string, category string, rank long, text string, score double")
+        assert prompts.by_category(df, "paper_id").first().block.startswith("\nOPEN (avg 0.059):\n  • 0.06")
+    odd = spark.createDataFrame([("p", "open", 1, "t", 1e30), ("p", "open", 2, "u", float("nan"))], "paper_id string, category string, rank long, text string, score double")
+    assert prompts.by_category(odd, "paper_id").first().block.endswith(": u")
