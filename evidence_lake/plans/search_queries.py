@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidence_lake.functions.text import set_similarity, word_tokens
+from evidence_lake.functions.vectors import let
 from evidence_lake.operators import embedding, idsets, late, rerank, retrieval
 from evidence_lake.plans.chunk_queries import TOKENS, docs, table
 from evidence_lake.session import stored
@@ -258,17 +259,33 @@ h AS (SELECT doc_id AS paper_id, ord AS id, text, category, category_ord, templa
 hits AS (SELECT *, row_number() OVER (PARTITION BY paper_id, category_ord, template_ord ORDER BY score DESC, id) - 1 AS rank0 FROM h QUALIFY rank0 < 6)"""
 
 
+def best_lines(papers, k: int):
+    """papers (paper_id, text) with each text's k best lines for every template, taken from the text as one row."""
+    sides = [F.array_distinct(word_tokens(F.lit(q))) for *_, q in TEMPLATES]
+
+    def scored(line, i):
+        scores = lambda x: F.array(*[set_similarity(x, y) for y in sides])
+        return let(F.trim(line), lambda t: F.struct(i.cast("long").alias("id"), t.alias("text"), let(F.array_distinct(word_tokens(t)), scores).alias("scores")))
+
+    def best(lines, j, category, category_ord, template_ord):
+        order = F.array_sort(F.transform(lines, lambda s: F.struct((-s["scores"][j]).alias("down"), s["id"].alias("id"), s["text"].alias("text"), s["scores"][j].alias("score"))))
+        return F.transform(F.slice(order, 1, k), lambda s: F.struct(s["id"].alias("id"), s["text"].alias("text"), F.lit(category).alias("category"), F.lit(category_ord).alias("category_ord"), F.lit(template_ord).alias("template_ord"), s["score"].alias("score")))
+
+    found = let(F.transform(F.split("text", "\n"), scored), lambda lines: F.flatten(F.array(*[best(lines, j, *t[:3]) for j, t in enumerate(TEMPLATES)])))
+    return papers.select("paper_id", F.explode(found).alias("h")).select("paper_id", "h.*")
+
+
 def hits(spark, d, k: int = 6):
-    """The k best lines of each document for each template: one table of (document, template) searches."""
+    """The k best lines of each document for each template: one table of (document, template) searches.
+
+    Texts are dealt out once, by document, and all that follows for a document stays in its partition.
+    """
     from pyspark.sql import Window
 
-    lines = docs(spark, d).select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("id", "text"))
-    lines = lines.select("paper_id", F.col("id").cast("long").alias("id"), F.trim("text").alias("text")).withColumn("x", F.array_distinct(word_tokens(F.col("text"))))
-    t = spark.createDataFrame(TEMPLATES, "category string, category_ord int, template_ord int, query string").withColumn("y", F.array_distinct(word_tokens(F.col("query"))))
-    rows = lines.join(F.broadcast(t), F.lit(True)).withColumn("score", set_similarity(F.col("x"), F.col("y")))
-    w = Window.partitionBy("paper_id", "category_ord", "template_ord").orderBy(F.desc("score"), "id")
+    papers = table(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), "text").repartition("paper_id")
+    w = Window.partitionBy("paper_id", "category_ord", "template_ord").orderBy(F.desc("score"), "id")  # rows of equal ids, too
     kind = F.when(F.col("id") == 0, "Introduction").otherwise("Other")
-    return rows.withColumn("rank0", F.row_number().over(w) - 1).where(F.col("rank0") < k).withColumn("section_type", kind).drop("x", "y", "query")
+    return best_lines(papers, k).withColumn("rank0", F.row_number().over(w) - 1).where(F.col("rank0") < k).withColumn("section_type", kind)
 
 
 BEST = "SELECT * FROM {0} WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY paper_id, text ORDER BY score DESC, category_ord, template_ord, rank0) = 1"
