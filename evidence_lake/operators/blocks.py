@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +13,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Arrow batches for Python workers hold about so many bytes at most (and a row at least).
+BATCH_BYTES = 4 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Queries of a block that are multiplied with a block of points at once.
+TILE_ROWS = 128
 POINT_ROWS = 4096
 QUERY_ROWS = 1024
 #: Query blocks of at most so many bytes go to every task; more are dealt into groups of this size.
@@ -36,6 +43,31 @@ def best(scores: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def small_batches(spark) -> None:
+    """From now on Arrow batches hold BATCH_BYTES at most: blocks are large rows, of which the usual number would be a whole partition."""
+    if int(spark.conf.get(BATCH_CONF).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
+def _tidied(batches, f: Callable):
+    """f's batches; after a task memory that nothing uses goes back to the system, as workers stay for later stages."""
+    try:
+        yield from f(batches)
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
+def in_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
+    """df.mapInArrow(f, schema) with batches bounded by bytes."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(lambda batches: _tidied(batches, f), schema)
+
+
 def packed(df: DataFrame, name: str, vector: str, dims: int, rows: int, scope: str | None) -> DataFrame:
     """Blocks of df (name, vector, scope): ids in ascending order and their vectors as one matrix. Vectors that are null, of other dimensions or with null components take no part."""
     kind = dict(df.dtypes)[name]
@@ -79,7 +111,7 @@ def packed(df: DataFrame, name: str, vector: str, dims: int, rows: int, scope: s
         yield from (block(key, parts) for key, parts in held.items())
 
     cols = [F.col(name).alias("id"), F.col(vector).alias("v"), *([F.col(scope).alias("scope")] if scope else [])]
-    return df.select(*cols).mapInArrow(run, schema)
+    return in_arrow(df.select(*cols), run, schema)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -140,8 +172,9 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, dims: int, scope: str
         for batch in batches:
             for i in range(batch.num_rows):
                 a, b = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float64).reshape(-1, dims) for c in ("q_cells", "cells"))
-                scores = rounded(a @ b.T)
-                row, col = np.nonzero(best(scores, k))
-                yield pa.RecordBatch.from_arrays([batch.column("q_ids")[i].values.take(pa.array(row)), batch.column("ids")[i].values.take(pa.array(col)), pa.array(scores[row, col])], names=["query_id", "id", "score"])
+                for at in range(0, len(a), TILE_ROWS):
+                    scores = rounded(a[at : at + TILE_ROWS] @ b.T)
+                    row, col = np.nonzero(best(scores, k))
+                    yield pa.RecordBatch.from_arrays([batch.column("q_ids")[i].values.take(pa.array(row + at)), batch.column("ids")[i].values.take(pa.array(col)), pa.array(scores[row, col])], names=["query_id", "id", "score"])
 
-    return pairs.select("q_ids", "q_cells", "ids", "cells").mapInArrow(run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+    return in_arrow(pairs.select("q_ids", "q_cells", "ids", "cells"), run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")

@@ -62,7 +62,7 @@ def matrices(texts: DataFrame, key: str, encoder: TokenEncoder, side: str = "doc
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(cells, pa.binary())], names=[key, "cells"])
 
     own = texts.select(F.col(key).alias("key"), F.array_distinct(F.coalesce(word_tokens(F.col(text)), F.array().cast("array<string>"))).alias("tokens"))
-    return own.mapInArrow(run, f"{key} {dict(texts.dtypes)[key]}, cells binary")
+    return blocks.in_arrow(own, run, f"{key} {dict(texts.dtypes)[key]}, cells binary")
 
 
 def max_sims(query: np.ndarray, documents: list[np.ndarray]) -> np.ndarray:
@@ -93,7 +93,7 @@ def scored(candidates: DataFrame, query_cells: DataFrame, document_cells: DataFr
                 scores[at] = max_sims(matrix(mine.dictionary[j]), [matrix(batch.column("cells")[i]) for i in at.tolist()])
             yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("id"), pa.array(blocks.rounded(scores))], names=["query_id", "id", "score"])
 
-    return pairs.select("query_id", "id", "q_cells", "cells").mapInArrow(run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+    return blocks.in_arrow(pairs.select("query_id", "id", "q_cells", "cells"), run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, points: DataFrame, k: int, encoder: TokenEncoder | None = None) -> DataFrame:

@@ -132,7 +132,8 @@ def _packed(df: DataFrame, name: str, text: Column, rows: int, prefix: str) -> D
                 lists = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids)
                 yield pa.RecordBatch.from_arrays([lists, pa.array([terms], pa.binary()), pa.array([cells], pa.binary())], names=[f"{prefix}ids", f"{prefix}terms", f"{prefix}cells"])
 
-    return df.select(F.col(name).alias("id"), F.coalesce(word_tokens(text), F.array().cast("array<string>")).alias("tokens")).mapInArrow(run, f"{prefix}ids array<{kind}>, {prefix}terms binary, {prefix}cells binary")
+    own = df.select(F.col(name).alias("id"), F.coalesce(word_tokens(text), F.array().cast("array<string>")).alias("tokens"))
+    return blocks.in_arrow(own, run, f"{prefix}ids array<{kind}>, {prefix}terms binary, {prefix}cells binary")
 
 
 def sparse(queries: DataFrame, points: DataFrame, k: int, text: str = "text") -> DataFrame:
@@ -169,7 +170,7 @@ def sparse(queries: DataFrame, points: DataFrame, k: int, text: str = "text") ->
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=["query_id", "id", "score"])
 
     types = [_arrow(queries, "query_id"), _arrow(points, "id"), pa.float64()]
-    return blocks.met(p, q).select("q_ids", "q_terms", "q_cells", "ids", "terms", "cells").mapInArrow(run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+    return blocks.in_arrow(blocks.met(p, q).select("q_ids", "q_terms", "q_cells", "ids", "terms", "cells"), run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
 
 
 def _arrow(df: DataFrame, name: str) -> pa.DataType:

@@ -39,3 +39,29 @@ def test_bounds_leave_out_blocks_and_documents():
         full = dict(zip(*map(np.ndarray.tolist, postings.scored(blocks[topic], *postings.asked(blocks[topic], queries)[j], 1))))
         cut = dict(zip(*map(np.ndarray.tolist, postings.scored(blocks[topic], *postings.asked(blocks[topic], queries)[j], least))))
         assert len(cut) < len(full) and {d: s for d, s in full.items() if s >= least}.items() <= cut.items()
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark, tmp_path):
+    """Blocks are rows of some MB: a task's blocks don't come as one batch; parsed documents go on in parts."""
+    from pyspark.sql import functions as F
+
+    from evidence_lake.operators import blocks
+    from evidence_lake.sources import files
+
+    kept = spark.conf.get(blocks.BATCH_CONF)
+    try:
+        spark.conf.set(blocks.BATCH_CONF, str(256 << 20))
+        rows = spark.range(12).coalesce(1).select(F.repeat(F.lit("x"), 1 << 20).alias("cells"))
+
+        def sizes(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+        assert max(r.n for r in blocks.in_arrow(rows, sizes, "n long").collect()) <= 2 * blocks.BATCH_BYTES
+        spark.conf.set(blocks.BATCH_CONF, str(256 << 20))
+        files.tei_papers(spark.createDataFrame([("a", "<TEI/>")], "paper_id string, xml string"))
+        assert int(spark.conf.get(blocks.BATCH_CONF).rstrip("b")) <= blocks.BATCH_BYTES
+    finally:
+        spark.conf.set(blocks.BATCH_CONF, kept)
