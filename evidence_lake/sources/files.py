@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidence_lake.functions.text import stem
+from evidence_lake.operators.blocks import small_batches
 from evidence_lake.sources.sections import section_type, text_sections
 
+#: Parsed documents go on when they stand for so many characters.
+PARSED_CHARS = 1 << 19
 SUFFIXES = (".pdf", ".txt", ".md", ".text")
 
 
@@ -127,9 +130,11 @@ def parse_tei(key: str, xml: str) -> dict:
 def tei_papers(files: DataFrame) -> DataFrame:
     """One parsed row for each (paper_id, xml); a document that can't be parsed keeps its id as title and says why."""
 
+    names = ["paper_id", "title", "abstract", "year", "doi", "journal", "authors", "keywords", "sections", "refs", "error"]
+
     def run(batches):
         for pdf in batches:
-            out = []
+            out, held = [], 0
             for key, xml in zip(pdf["paper_id"], pdf["xml"]):
                 row = {"paper_id": key, "title": key, "abstract": None, "year": None, "doi": None, "journal": None, "authors": [], "keywords": [], "sections": [], "refs": [], "error": None}
                 try:
@@ -137,8 +142,14 @@ def tei_papers(files: DataFrame) -> DataFrame:
                 except ET.ParseError as bad:
                     row["error"] = str(bad)
                 out.append(row)
-            yield pd.DataFrame(out, columns=["paper_id", "title", "abstract", "year", "doi", "journal", "authors", "keywords", "sections", "refs", "error"])
-
+                held += len(xml or "")
+                if held >= PARSED_CHARS:
+                    yield pd.DataFrame(out, columns=names)
+                    out, held = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=names)
+
+    small_batches(files.sparkSession)
     return files.select("paper_id", "xml").mapInPandas(run, PARSED)
 
 
