@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_lake.functions.text import nonblank, py_strip, uuid5
 from evidence_lake.functions.vectors import dot, norm
+from evidence_lake.operators.blocks import in_arrow
 
 Chunker = Callable[[Column], Column]
 
@@ -93,22 +94,48 @@ def semantic_last(sentences: DataFrame, key: str, order: str, text: str, vector:
     return parts.select(key, F.col("_chunk").cast("long").alias("chunk_ord"), F.array_join(F.col("p.t"), " ").alias("text"))
 
 
+def means_begin(vectors: list[np.ndarray], threshold: float) -> list[np.ndarray]:
+    """For each text (a matrix of its sentences' vectors) where a chunk begins: at a sentence whose cosine with the mean of the chunk so far is below the threshold.
+
+    All texts are folded side by side, the longest first, so that a step is one operation on those that go on.
+    """
+    sizes = np.array([len(v) for v in vectors], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    flat = np.concatenate(vectors)
+    flat = flat / (np.sqrt((flat * flat).sum(axis=1)) + 1e-9)[:, None]
+    starts = (np.cumsum(sizes) - sizes)[order]
+    alive = np.searchsorted(-sizes[order], -np.arange(sizes.max()), side="left")  # texts with more sentences than that
+    new = np.ones(len(flat), bool)
+    total, n = flat[starts[: alive[0]]], np.ones(alive[0])
+    for i, m in enumerate(alive.tolist()[1:], 1):
+        v, total, n = flat[starts[:m] + i], total[:m], n[:m]
+        mean = total / n[:, None]
+        same = (v * mean).sum(axis=1) / (np.sqrt((mean * mean).sum(axis=1)) + 1e-9) >= threshold
+        new[starts[:m] + i] = ~same
+        total, n = np.where(same[:, None], total + v, v), np.where(same, n + 1, 1.0)
+    return np.split(new, np.cumsum(sizes)[:-1])
+
+
 def semantic_mean(sentences: DataFrame, key: str, order: str, text: str, vector: str, threshold: float = 0.5) -> DataFrame:
-    """As semantic_last, against the normalised mean of the chunk so far; an order-dependent fold in each key."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        chunks: list[list[str]] = []
-        total, n = None, 0
-        for sent, vec in zip(pdf[text], pdf[vector]):
-            v = np.asarray(vec, float)
-            v = v / (np.linalg.norm(v) + 1e-9)
-            if n and float(v @ (total / n) / (np.linalg.norm(total / n) + 1e-9)) >= threshold:
-                chunks[-1].append(sent)
-                total, n = total + v, n + 1
-            else:
-                chunks.append([sent])
-                total, n = v, 1
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(chunks), "chunk_ord": range(len(chunks)), "text": [" ".join(c) for c in chunks]})
-
-    return sentences.groupBy(key).applyInPandas(fold, f"{key} {dict(sentences.dtypes)[key]}, chunk_ord long, text string")
+    """As semantic_last, against the normalised mean of the chunk so far; an order-dependent fold in each key. Vectors have one length."""
+    parts = sentences.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"), F.col(vector).cast("array<double>").alias("v")))).alias("p"))  # a text's sentences
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("v")
+            size = lists.value_lengths().to_numpy(zero_copy_only=False)
+            rows = lists.flatten()
+            cells = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+            new = means_begin(np.split(cells, np.cumsum(size)[:-1]), threshold)
+            flags = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.concatenate(new)))
+            yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column(key), flags], names=["p", key, "begins"])
+
+    kinds = dict(parts.dtypes)
+    texts = parts.select(F.col("p.t").alias("p"), key, F.col("p.v").alias("v"))
+    marked = in_arrow(texts, run, f"p array<string>, {key} {kinds[key]}, begins array<boolean>")
+    at = F.filter(F.transform("begins", lambda b, i: F.when(b, i)), lambda i: i.isNotNull())
+    cuts = marked.select(key, "p", at.alias("at"))
+    pieces = F.transform("at", lambda i, j: F.array_join(F.slice("p", i + 1, F.coalesce(F.try_element_at("at", j + 2), F.size("p")) - i), " "))
+    return cuts.select(key, F.posexplode(pieces).alias("chunk_ord", "text")).withColumn("chunk_ord", F.col("chunk_ord").cast("long"))

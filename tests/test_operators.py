@@ -264,3 +264,28 @@ def test_mean_scores_round_as_decimals(spark):
         assert prompts.by_category(df, "paper_id").first().block.startswith("\nOPEN (avg 0.059):\n  • 0.06")
     odd = spark.createDataFrame([("p", "open", 1, "t", 1e30), ("p", "open", 2, "u", float("nan"))], "paper_id string, category string, rank long, text string, score double")
     assert prompts.by_category(odd, "paper_id").first().block.endswith(": u")
+
+
+def test_semantic_means_as_a_plain_loop(spark):
+    """Texts of many lengths folded side by side, without a Python call for each."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    texts = {k: rng.integers(0, 3, (n, 4)).astype(float) for k, n in enumerate([1, 7, 30, 2, 1, 19, 4])}
+    rows = [(k, i, f"s{i}" if i % 5 else "", v.tolist()) for k, m in texts.items() for i, v in enumerate(m)]
+    rows += [(None, 0, "n", [1.0, 0.0, 0.0, 0.0])]
+    want = {(None, 0, "n")}
+    for k, m in texts.items():
+        chunks, total, n = [], None, 0
+        for i, v in enumerate(m):
+            v = v / (np.linalg.norm(v) + 1e-9)
+            if n and v @ (total / n) / (np.linalg.norm(total / n) + 1e-9) >= 0.5:
+                chunks[-1].append(f"s{i}" if i % 5 else "")
+                total, n = total + v, n + 1
+            else:
+                chunks.append([f"s{i}" if i % 5 else ""])
+                total, n = v, 1
+        want |= {(k, j, " ".join(c)) for j, c in enumerate(chunks)}
+    out = chunking.semantic_mean(spark.createDataFrame(rows, "k long, o long, t string, v array<double>").repartition(5), "k", "o", "t", "v", 0.5)
+    assert {tuple(r) for r in out.select("k", "chunk_ord", "text").collect()} == want
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
