@@ -44,9 +44,19 @@ def keywords(vocabulary: list[str]) -> Embedder:
 
 
 def sparse_terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, weight: log(1 + occurrences) of each token."""
-    terms = df.select(key, F.explode_outer(word_tokens(F.col(text))).alias("term")).where("term IS NOT NULL")
-    return terms.groupBy(key, "term").agg(F.round(F.log1p(F.count(F.lit(1))), 6).alias("weight"))
+    """key, term, weight: log(1 + occurrences) of each token.
+
+    A key's texts are counted as one row (its tokens in order, runs of equal ones), so no task holds a table of its terms.
+    """
+    texts = df.where(F.col(text).isNotNull()).repartition(key).groupBy(key).agg(F.array_join(F.collect_list(text), "\n").alias("_text"))  # mostly one a key
+
+    def counted(tokens: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(1), F.size(tokens)), lambda i: (i == 1) | (F.get(tokens, i - 1) != F.get(tokens, i - 2)))
+        runs = lambda at: F.transform(at, lambda i, j: F.struct(F.get(tokens, i - 1).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(tokens) + 1) - i).alias("n")))
+        return F.when(F.size(tokens) > 0, let(begins, runs))
+
+    terms = texts.select(key, F.explode(let(F.array_sort(word_tokens(F.col("_text"))), counted)).alias("t"))
+    return terms.select(key, "t.term", F.round(F.log1p(F.col("t.n").cast("long")), 6).alias("weight"))
 
 
 def late_tokens(dims: int = 8) -> Embedder:

@@ -289,3 +289,16 @@ def test_semantic_means_as_a_plain_loop(spark):
     out = chunking.semantic_mean(spark.createDataFrame(rows, "k long, o long, t string, v array<double>").repartition(5), "k", "o", "t", "v", 0.5)
     assert {tuple(r) for r in out.select("k", "chunk_ord", "text").collect()} == want
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sparse_terms_are_counted_in_their_texts(spark):
+    """No hash table of a task's terms; keys that stand twice, null keys and texts without tokens as before."""
+    import math
+    import re
+    from collections import Counter
+
+    rows = [(1, "a b a\nA c"), (2, None), (3, "-"), (None, "x x"), (1, "b"), (4, "z")]
+    out = embedding.sparse_terms(spark.createDataFrame(rows, "k long, t string"), "k", "t")
+    want = Counter((k, w) for k, t in rows for w in re.findall("[a-z]+", (t or "").lower()))
+    assert {(r.k, r.term): r.weight for r in out.collect()} == {x: round(math.log1p(n), 6) for x, n in want.items()}
+    assert not re.search(r"HashAggregate\(keys=\[k#\d+L?, term", out._jdf.queryExecution().executedPlan().toString())
