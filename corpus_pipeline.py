@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidence_lake.llm import tokens
-from evidence_lake.llm.common import shared_dir
+from evidence_lake.llm.common import shared_dir, staged
 from evidence_lake.llm.op2_packing import pack
 from evidence_lake.llm.op3_minhash import near_duplicate_rows
-from evidence_lake.llm.op4_language import UNKNOWN, fit, identify, known_shares
+from evidence_lake.llm.op4_language import UNKNOWN, fit, held_out, identify, is_typical, known_shares, learned
 from evidence_lake.llm.op5_lines import NOT_BLANK, without_lines
 from evidence_lake.llm.op9_mixing import mixed_rows
 
@@ -22,12 +22,23 @@ LEAST_KNOWN = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters and a clear language whose words they hold; gibberish and languages not learned go. The columns stay as they are."""
-    cols = docs.columns
-    model = fit(docs)
-    least = {lang: LEAST_KNOWN * share for lang, share in known_shares(docs, model).items()}
-    judged = identify(docs.select(F.struct(*cols).alias("row"), F.col("text").cast("string").alias("text")), model, least=least)
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE) & F.col("typical")).select("row.*")
+    """Documents with letters and a clear language whose words they hold; gibberish and languages not learned go. The columns stay as they are.
+
+    The model is of all labelled documents but those held out, what is usual of all held-out ones; a document's own words count as known only if others have them.
+    """
+    text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row_key"),
+        text.alias("text"),
+        F.when(learned(F.col("doc_id"), text, lang), lang).alias("own"),
+        F.when(held_out(F.col("doc_id")), lang).alias("checked"),
+    )
+    judged = staged(identify(rows, fit(docs), carry=["row_key", "checked"], own_col="own", counted=True), "language_id")
+    least = F.coalesce("share", F.lit(0.0)) * LEAST_KNOWN
+    known = judged.join(F.broadcast(known_shares(judged, "checked")), "lang_pred", "left")
+    kept = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE) & is_typical(F.col("n_pieces"), F.col("n_known"), least)
+    own = docs.select(F.monotonically_increasing_id().alias("row_key"), F.struct(*docs.columns).alias("row"))
+    return own.join(known.where(~kept).select("row_key"), "row_key", "left_anti").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

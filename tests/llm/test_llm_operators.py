@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from evidence_lake.llm import op1_quality, op4_language, op6_substring, op7_html, op8_topk, op9_mixing
@@ -383,3 +384,57 @@ def test_arrow_split_keeps_words():
     from evidence_lake.llm.op3_minhash import shingle_sets
 
     assert [len(s) for s in shingle_sets(texts)] == [1, 0, 0, 1]
+
+
+def letters(i):
+    return "".join("abcdefghijklmnopqrst"[i // 20**k % 20] for k in range(4))
+
+
+def brute_language(rows, texts):
+    """(language, score, pieces known) of texts by a model of all rows (text, lang)."""
+    runs = lambda t: regex.findall(r"\p{L}+", (t or "").lower())
+    cut = lambda w, n: [w] if n == 0 else [x[i : i + n] for x in [w if n == 1 else f" {w} "] for i in range(len(x) - n + 1)]
+    langs = sorted({x for _, x in rows})
+    counts = [{x: Counter() for x in langs} for _ in range(5)]
+    for text, lang in rows:
+        for n in range(5):
+            counts[n][lang].update(g for w in runs(text) for g in cut(w, n))
+    known = [set().union(*c.values()) for c in counts]
+    total = [{x: sum(c[x].values()) + 0.5 * (len(k) + 1) for x in langs} for c, k in zip(counts, known)]
+    out = []
+    for text in texts:
+        sums = dict.fromkeys(langs, 0.0)
+        for w in runs(text):
+            for n in (0, 4, 3, 2, 1):
+                if found := [g for g in cut(w, n) if g in known[n]]:
+                    for x in langs:
+                        sums[x] += sum(math.log((0.5 + counts[n][x][g]) / total[n][x]) for g in found) / len(found)
+                    break
+        best = max(langs, key=lambda x: sums[x])
+        out.append((best, 1 / sum(math.exp(s - sums[best]) for s in sums.values()), sum(w in counts[0][best] for w in runs(text))) if runs(text) else ("und", 0.0, 0))
+    return out
+
+
+@pytest.mark.parametrize("held, hot", [(0, 1), (30, 3), (400_000, 4096)])
+def test_words_held_or_joined_give_the_same_languages(spark, tmp_path, monkeypatch, held, hot):
+    monkeypatch.setattr(op4_language, "HELD_PAIRS", held)
+    monkeypatch.setattr(op4_language, "HOT", hot)
+    rng = random.Random(3)
+    vocab = {x: ["".join(rng.choice(abc) for _ in range(rng.randrange(1, 9))) for _ in range(25)] for x, abc in (("en", "abcdefgh"), ("fr", "efghijklé"), ("ru", "жзиклмнab"))}
+    rows = [doc(i, " ".join(rng.choice(vocab[x]) + rng.choice(["", "", ".", "'" + rng.choice(vocab[x])]) for _ in range(rng.randrange(1, 25))), x) for i, x in enumerate(["en", "fr", "ru"] * 30)]
+    rows += [doc(1000 + i, " ".join("".join(rng.choice("abefhiжз中文é") for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 9))), None) for i in range(60)]
+    rows += [doc(2000, None), doc(2001, "12 !"), doc(2002, "中 文", None), doc(2003, "a" * 3000, None)]
+    df = saved(spark, tmp_path, rows, DOCS)
+    learned = [(r.text, r.lang) for r in df.where(op4_language.learned(F.col("doc_id"), F.col("text"), F.col("lang"))).collect()]
+    got = op4_language.identify(df.select("doc_id", "text"), op4_language.fit(df), counted=True).collect()
+    assert len(got) == len(rows)
+    for r, (lang, score, known) in zip(got, brute_language(learned, [r.text for r in got])):
+        assert (r.lang_pred, r.n_known) == (lang, known) and abs(r.score - score) < 1e-3, r
+
+
+def test_every_document_is_learned_from(spark, tmp_path):
+    rows = [doc(i, f"{letters(i)}{letters(i + 7919)} qq", ["en", "fr"][i % 2]) for i in range(3000)]
+    docs = saved(spark, tmp_path, rows, DOCS)
+    model = op4_language.fit(docs)
+    n_learned = docs.where(op4_language.learned(F.col("doc_id"), F.col("text"), F.col("lang"))).count()
+    assert n_learned > 2100 and len(model.tables[0]) == n_learned + 1

@@ -72,3 +72,13 @@ def test_stages_on_nulls_repeats_and_clashing_names(spark, tmp_path):
         if i < 4:
             assert docs.columns == spark.read.parquet(str(tmp_path / "documents.parquet")).columns, name
     assert {r.doc_id for r in docs.select("doc_id").collect()} <= {1, 3}
+
+
+def test_gibberish_is_rejected_though_it_was_learned_from(spark, tmp_path):
+    rng = random.Random(8)
+    vocab = "the house and with water of that stood by an old river".split()
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randrange(5, 80))), "en") for i in range(120)]
+    junk = [(600 + i, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 10))) for _ in range(50)), "en") for i in range(12)]
+    spark.createDataFrame(rows + junk, "doc_id long, text string, lang string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.language_id(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(120))
