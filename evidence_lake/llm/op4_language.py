@@ -13,6 +13,7 @@ whichever words are held and in whatever order they are added.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -109,10 +110,11 @@ def _lists(owner: np.ndarray, n_lists: int, **values) -> pa.Array:
 
 
 class Model:
-    """langs; tables[0]: word -> row of the words held; a row's counts and weights (log frequency over base[0]) are those
-    of the languages that have it; base[n] is the log frequency of a word (0) or n-gram that a language hasn't.
+    """langs; held: the words held, tables[0]: word -> row of them; a row's counts and weights (log frequency over base[0]) are
+    those of the languages that have it; base[n] is the log frequency of a word (0) or n-gram that a language hasn't.
 
     words(gram, entries) and grams(size, gram, entries) are the whole tables, unless the words held are all there is.
+    The driver only has columns; tables are made where they are used.
     """
 
     def __init__(self, langs: list[str], counts: dict[int, dict[tuple[str, str], int]], totals: dict[tuple[int, str], int], sizes: dict[int, int] | None = None):
@@ -121,18 +123,25 @@ class Model:
         sizes = sizes or {n: len({gram for _, gram in own}) for n, own in counts.items()}
         total = np.array([[totals.get((n, x), 0) + SMOOTH * (sizes.get(n, 0) + 1) for x in langs] for n in range(LONGEST + 1)])
         self.base = np.rint(np.log(SMOOTH / total) * UNIT).astype(np.int64)
-        own, table = counts.get(0, {}), {}
-        row = np.fromiter((table.setdefault(gram, len(table)) for _, gram in own), np.int64, len(own))
-        owner = np.fromiter((number[lang] for lang, _ in own), np.int64, len(own))
-        count = np.fromiter(own.values(), np.int64, len(own))
+        own = counts.get(0, {})
+        self.hold(pa.array([gram for _, gram in own], pa.string()), np.fromiter((number[lang] for lang, _ in own), np.int64, len(own)), np.fromiter(own.values(), np.int64, len(own)))
+
+    def hold(self, gram: pa.Array, owner: np.ndarray, count: np.ndarray) -> None:
+        """Hold these words: of each pair the word, the number of the language and the count."""
+        coded = gram.dictionary_encode()
+        row = coded.indices.to_numpy(zero_copy_only=False)
         order = np.lexsort((owner, row))
-        self.tables = [table]
-        self.starts = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(table))))).astype(np.int64)
-        self.owners, self.counts = owner[order], count[order]
+        self.held = coded.dictionary
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(self.held))))).astype(np.int64)
+        self.owners, self.counts = owner[order].astype(np.int64), count[order].astype(np.int64)
         self.weights = [np.rint(np.log1p(self.counts / SMOOTH) * UNIT).astype(np.int64)]
 
+    @cached_property
+    def tables(self) -> list[dict[str, int]]:
+        return [dict(zip(self.held.to_pylist(), range(len(self.held))))]
+
     def __getstate__(self):
-        return self.__dict__ | {"words": None, "grams": None}
+        return {k: v for k, v in self.__dict__.items() if k != "tables"} | {"words": None, "grams": None}
 
     def number(self, langs: pa.Array) -> np.ndarray:
         """Numbers of languages, -1 for others."""
@@ -244,10 +253,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         if (held := held + n) > HELD_PAIRS:
             break
         least = b
-    counts = {(langs[lang], gram): n for gram, entries in sorted((tuple(r) for r in words.where(bits >= least).select("gram", "entries").toLocalIterator()), key=lambda r: r[0]) for lang, n in entries}
     every = words.select(F.lit(0).alias("size"), "gram", "entries").unionByName(grams)
     totals = {(size, langs[lang]): n for size, lang, n in every.select("size", F.explode("entries").alias("e")).groupBy("size", "e.lang").agg(F.sum("e.n")).collect()}
-    model = Model(langs, {0: counts}, totals, dict(tuple(r) for r in every.groupBy("size").count().collect()))
+    model = Model(langs, {}, totals, dict(tuple(r) for r in every.groupBy("size").count().collect()))
+    pairs = words.where(bits >= least).select("gram", F.explode("entries").alias("e")).select("gram", "e.lang", "e.n").toArrow()
+    order = pc.sort_indices(pairs, [("gram", "ascending"), ("lang", "ascending")])
+    gram, lang, n = (pairs.column(x).combine_chunks().take(order) for x in ("gram", "lang", "n"))
+    model.hold(gram, lang.to_numpy(zero_copy_only=False), n.to_numpy(zero_copy_only=False))
     model.words, model.grams = words, grams
     return model
 

@@ -2,8 +2,10 @@
 
 import math
 import os
+import pickle
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -438,3 +440,19 @@ def test_every_document_is_learned_from(spark, tmp_path):
     model = op4_language.fit(docs)
     n_learned = docs.where(op4_language.learned(F.col("doc_id"), F.col("text"), F.col("lang"))).count()
     assert n_learned > 2100 and len(model.tables[0]) == n_learned + 1
+
+
+def test_driver_makes_no_object_of_each_word(spark, tmp_path):
+    word = F.concat(*[F.substring(F.lit("abcdefghijklmnopqrst"), (F.floor(F.col("id") / 20**k) % 20 + 1).cast("int"), F.lit(1)) for k in range(4)])
+    spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(word, F.lit(" qq")).alias("text"), F.lit("en").alias("lang")).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    op4_language.fit(docs.limit(50))  # what Spark's Python side loads
+    tracemalloc.start()
+    try:
+        model = op4_language.fit(docs)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    n_words = docs.where(op4_language.learned(F.col("doc_id"), F.col("text"), F.col("lang"))).count() + 1
+    assert n_words > 40_000 and len(pickle.loads(pickle.dumps(model)).tables[0]) == n_words
+    assert most < 150 * n_words, most / n_words
