@@ -58,7 +58,7 @@ def released(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _trim() -> None:
+def trim() -> None:
     """Memory that nothing uses goes back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -73,11 +73,11 @@ def _tidied(batches, f: Callable, encodes: bool):
     tokens = sys.modules.get("evidence_lake.llm.tokens")
     if tokens and not encodes and tokens.LOADED:
         tokens.LOADED.clear()
-        _trim()
+        trim()
     try:
         yield from f(batches)
     finally:
-        _trim()
+        trim()
 
 
 def in_arrow(df: DataFrame, f: Callable, schema, encodes: bool = False) -> DataFrame:

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_lake.llm.common import documents, in_arrow, released, staged
+from evidence_lake.llm.common import documents, in_arrow, released, staged, trim
 from evidence_lake.llm.tokens import slices
 
 LONGEST = 4
@@ -114,7 +114,7 @@ class Model:
     those of the languages that have it; base[n] is the log frequency of a word (0) or n-gram that a language hasn't.
 
     words(gram, entries) and grams(size, gram, entries) are the whole tables, unless the words held are all there is.
-    The driver only has columns; tables are made where they are used.
+    The driver only has columns; tables and weights are made where they are used.
     """
 
     def __init__(self, langs: list[str], counts: dict[int, dict[tuple[str, str], int]], totals: dict[tuple[int, str], int], sizes: dict[int, int] | None = None):
@@ -133,15 +133,18 @@ class Model:
         order = np.lexsort((owner, row))
         self.held = coded.dictionary
         self.starts = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(self.held))))).astype(np.int64)
-        self.owners, self.counts = owner[order].astype(np.int64), count[order].astype(np.int64)
-        self.weights = [np.rint(np.log1p(self.counts / SMOOTH) * UNIT).astype(np.int64)]
+        self.owners, self.counts = owner[order].astype(np.int32), count[order].astype(np.int64)
+
+    @cached_property
+    def weights(self) -> list[np.ndarray]:
+        return [np.rint(np.log1p(self.counts / SMOOTH) * UNIT).astype(np.int64)]
 
     @cached_property
     def tables(self) -> list[dict[str, int]]:
         return [dict(zip(self.held.to_pylist(), range(len(self.held))))]
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "tables"} | {"words": None, "grams": None}
+        return {k: v for k, v in self.__dict__.items() if k not in ("tables", "weights")} | {"words": None, "grams": None}
 
     def number(self, langs: pa.Array) -> np.ndarray:
         """Numbers of languages, -1 for others."""
@@ -235,6 +238,14 @@ def _gram_counts(words: DataFrame) -> DataFrame:
     return counts.groupBy("size", "gram").agg(F.collect_list(F.struct("lang", "n")).alias("entries"))
 
 
+def _hold(model: Model, words: DataFrame) -> None:
+    """The model holds these words(gram, entries)."""
+    pairs = words.select("gram", F.explode("entries").alias("e")).select("gram", "e.lang", "e.n").toArrow()
+    pairs = pairs.take(pc.sort_indices(pairs, [("gram", "ascending"), ("lang", "ascending")]))
+    gram, lang, n = (pairs.column(x).combine_chunks() for x in ("gram", "lang", "n"))
+    model.hold(gram, lang.to_numpy(zero_copy_only=False), n.to_numpy(zero_copy_only=False))
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of all documents whose crc32(doc_id as text) mod 4 isn't 2; every label is learned, and every word."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -254,12 +265,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             break
         least = b
     every = words.select(F.lit(0).alias("size"), "gram", "entries").unionByName(grams)
-    totals = {(size, langs[lang]): n for size, lang, n in every.select("size", F.explode("entries").alias("e")).groupBy("size", "e.lang").agg(F.sum("e.n")).collect()}
-    model = Model(langs, {}, totals, dict(tuple(r) for r in every.groupBy("size").count().collect()))
-    pairs = words.where(bits >= least).select("gram", F.explode("entries").alias("e")).select("gram", "e.lang", "e.n").toArrow()
-    order = pc.sort_indices(pairs, [("gram", "ascending"), ("lang", "ascending")])
-    gram, lang, n = (pairs.column(x).combine_chunks().take(order) for x in ("gram", "lang", "n"))
-    model.hold(gram, lang.to_numpy(zero_copy_only=False), n.to_numpy(zero_copy_only=False))
+    marked = F.concat("entries", F.array(F.struct(F.lit(-1).alias("lang"), F.lit(1).cast("long").alias("n"))))
+    sums = [tuple(r) for r in every.select("size", F.explode(marked).alias("e")).groupBy("size", "e.lang").agg(F.sum("e.n")).collect()]
+    model = Model(langs, {}, {(size, langs[lang]): n for size, lang, n in sums if lang >= 0}, {size: n for size, lang, n in sums if lang < 0})
+    _hold(model, words.where(bits >= least))
+    trim()
     model.words, model.grams = words, grams
     return model
 
